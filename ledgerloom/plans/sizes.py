@@ -1,0 +1,18 @@
+"""Size checks made before a side is broadcast or handed to one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """True when `df` has no more than `rows` rows; reads no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast `df` only after a count proves it small; otherwise leave it to the optimizer."""
+    return F.broadcast(df) if at_most(df, rows) else df
