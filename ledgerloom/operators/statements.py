@@ -87,9 +87,10 @@ def _pattern(attr: str) -> Column:
     return _by_profile(value, F.lit(None).cast("string"))
 
 
-def _found(pattern: Column, group: int = 1) -> Column:
+def _found(pattern: Column, group: int | Column = 1) -> Column:
     """Matched group, or null when the pattern is missing or does not match."""
-    return F.nullif(F.regexp_extract(F.col("text"), pattern, group), F.lit(""))
+    group = F.lit(group) if isinstance(group, int) else group
+    return F.nullif(F.call_function("regexp_extract", F.col("text"), pattern, group), F.lit(""))
 
 
 def mark_lines(lines: DataFrame) -> DataFrame:
@@ -281,9 +282,8 @@ def parse_single_line(marked: DataFrame) -> DataFrame:
 
     def part(name: str) -> Column:
         group = lambda p: F.lit(p.single_fields.index(name) + 1) if name in p.single_fields else None
-        got = F.regexp_extract("text", pattern, _by_profile(group, F.lit(0)))
         has = F.col("profile").isin(*[p.name for p in PROFILES if name in p.single_fields])
-        return F.when(has, F.nullif(got, F.lit("")))
+        return F.when(has, _found(pattern, _by_profile(group, F.lit(0))))
 
     hit = _found(pattern, 0).isNotNull()
     keep = hit & ~F.col("is_noise") & ((F.col("section") != "") | ~_needs("needs_section"))
