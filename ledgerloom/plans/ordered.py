@@ -43,6 +43,7 @@ def _local(spec: Scan, value: Column, base) -> Column:
         "last": lambda: F.last(value, ignorenulls=True).over(upto),
         "prev_last": lambda: F.last(value, ignorenulls=True).over(before),
         "min": lambda: F.min(value).over(upto),
+        "prev_min": lambda: F.min(value).over(before),
     }[spec.kind]()
 
 
