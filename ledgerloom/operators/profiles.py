@@ -7,7 +7,7 @@ The parsing job in `statements` is one plan for all of them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 MON = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 MONTH_NAME = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)"
@@ -34,7 +34,7 @@ class Profile:
     straddle: str = "end"  # which side of the period decides the year
     year_max: int = 2030
     checks: tuple[str, str] | None = None  # (section, check-number line)
-    period: tuple[str, ...] = field(default=())
+    check_before_date: bool = False
 
 
 _NUM_RANGE = r"(?i)(\d{1,2})/(\d{1,2})/(\d{4})\s*(?:-|through|to)\s*(\d{1,2})/(\d{1,2})/(\d{4})"
@@ -127,6 +127,7 @@ PROFILES: tuple[Profile, ...] = (
         sign="section",
         year_max=2035,
         checks=("checks", r"^(\d{4,})\*?\s*$"),
+        check_before_date=True,
     ),
     Profile(
         name="card_open_close",

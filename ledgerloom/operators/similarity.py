@@ -13,9 +13,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block similarity; argument order matters for long texts."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -54,7 +55,7 @@ def _token_set(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """0..100: shared words against each side's leftovers."""
     return pd.Series([_token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -18,6 +18,7 @@ from ledgerloom.functions.money import MONEY, money_parse
 from ledgerloom.functions.text import blank, merchant_location
 from ledgerloom.operators.profiles import BY_NAME, ISSUER_RULES, MONTH_NAME, PROFILES, Profile
 from ledgerloom.plans.ordered import Scan, block_of, first_per_key, number_rows, scan
+from ledgerloom.plans.session import cut_lineage
 
 TX_COLUMNS = (
     "Date", "Transaction Date", "Description", "Merchant", "City", "State",
@@ -301,7 +302,11 @@ def parse_checks(marked: DataFrame) -> DataFrame:
     """Check-section records anchored on the check-number line."""
     number = _by_profile(lambda p: F.lit(p.checks[1]) if p.checks else None, F.lit(None).cast("string"))
     numbered = marked.filter(_needs("checks")).withColumn("check_no", _found(number))
-    anchor = F.col("check_no").isNotNull() & F.col("mk_section").isNull() & ~F.col("is_noise")
+    rev = numbered.withColumn("__back", -F.col("pos"))
+    numbered = scan(rev, ["doc_id"], ["__back"], [block_of("__back")], {"__dated": Scan("prev_last", F.col("is_start"))})
+    # A bare number is a check only when a date follows it; a prefixed one always is.
+    follows = F.coalesce("__dated", F.lit(False)) | ~_needs("check_before_date")
+    anchor = F.col("check_no").isNotNull() & F.col("mk_section").isNull() & ~F.col("is_noise") & follows
     records = assemble_blocks(
         numbered.withColumn("is_amount", F.col("is_amount") & ~anchor), start=anchor
     ).filter((F.col("section") == "checks") & F.col("date_raw").isNotNull())
@@ -578,41 +583,70 @@ def union_transactions(*parts: DataFrame) -> DataFrame:
 
 
 def parse_statements(docs: DataFrame, profile: str | None = None) -> DataFrame:
-    """Documents to signed, dated transactions for every layout at once.
-
-    `docs` needs doc_id, text and (unless `profile` is given) a `profile` column.
-    """
+    """Documents (doc_id, text, profile) to signed, dated transactions for every layout at once."""
     if profile:
         docs = docs.withColumn("profile", F.lit(profile))
     docs = docs.select("doc_id", "profile", "text").filter(F.col("profile").isNotNull())
-    lines = text_to_lines(docs)
-    marked = mark_lines(lines)
-    layout = lambda kind: _wanted(tuple(p.name for p in PROFILES if p.layout == kind))
-
-    single = parse_single_line(marked)
-    done = single.select("doc_id").distinct()
-    pending = marked.join(done, "doc_id", "left_anti")
-    forward = assemble_blocks(pending.filter(layout("forward"))).drop("start_text")
-    number = r"^(\d{4,})\*?$"
-    anchored = F.col("profile").isin(*[p.name for p in PROFILES if p.checks]) & (F.col("section") == "checks")
-    check = F.when(F.col("section") == "checks", F.nullif(F.regexp_extract("description", number, 1), F.lit("")))
-    forward = forward.filter(~anchored).withColumn("check_number", check)
-    forward = forward.withColumn(
-        "description", F.when(check.isNotNull(), F.concat(F.lit("Check "), check)).otherwise(F.col("description"))
-    )
-    checks = parse_checks(pending.filter(layout("forward")))
-    backward = assemble_blocks_backward(pending.filter(layout("backward")))
-    fixed = parse_fixed_layout(pending.filter(layout("fixed")))
-    records = union_transactions(single, forward, checks, backward, fixed)
-
-    period = statement_period(lines)
-    dated = assign_year(records, period)
-    rule = lambda kind: _wanted(tuple(n for n, p in BY_NAME.items() if p.sign == kind))
-    signed = union_transactions(
-        dated.filter(rule("printed")),
-        dated.filter(rule("inverted")).withColumn("amount", (-F.col("amount")).cast(MONEY)),
-        sign_by_section(dated.filter(rule("section"))),
-        sign_by_balance(dated.filter(rule("balance")), opening_balance(lines)),
+    return parse_lines(text_to_lines(docs))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """The same from a line table (doc_id, profile, line_no, pos, text).
+
+    Marked lines feed several passes, so they are written once to the checkpoint folder;
+    only the layouts that occur are planned.
+    """
+    marked = cut_lineage(mark_lines(lines))
+    there = [BY_NAME[r["profile"]] for r in marked.select("profile").distinct().collect() if r["profile"] in BY_NAME]
+    if not there:
+        return _no_rows(marked)
+
+    def of(test: Callable[[Profile], bool]) -> tuple[str, ...]:
+        return tuple(p.name for p in there if test(p))
+
+    parts = []
+    pending = marked
+    if names := of(lambda p: p.single is not None):
+        single = cut_lineage(parse_single_line(marked.filter(_wanted(names))))
+        # Documents with one-line records need no assembly.
+        pending = marked.join(single.select("doc_id").distinct(), "doc_id", "left_anti")
+        parts.append(single)
+    if names := of(lambda p: p.layout == "forward"):
+        rows = assemble_blocks(pending.filter(_wanted(names))).drop("start_text")
+        anchored = F.col("profile").isin(*[p.name for p in PROFILES if p.checks]) & (F.col("section") == "checks")
+        number = F.nullif(F.regexp_extract("description", r"^(\d{4,})\*?$", 1), F.lit(""))
+        check = F.when(F.col("section") == "checks", number)
+        rows = rows.filter(~anchored).withColumn("check_number", check)
+        title = F.when(check.isNotNull(), F.concat(F.lit("Check "), check)).otherwise(F.col("description"))
+        parts.append(rows.withColumn("description", title))
+    if names := of(lambda p: p.checks is not None):
+        parts.append(parse_checks(pending.filter(_wanted(names))))
+    if names := of(lambda p: p.layout == "backward"):
+        parts.append(assemble_blocks_backward(pending.filter(_wanted(names))))
+    if names := of(lambda p: p.layout == "fixed"):
+        parts.append(parse_fixed_layout(pending.filter(_wanted(names))))
+
+    period = statement_period(marked)
+    dated = assign_year(union_transactions(*parts), period)
+    rules = {
+        "printed": lambda df: df,
+        "inverted": lambda df: df.withColumn("amount", (-F.col("amount")).cast(MONEY)),
+        "section": sign_by_section,
+        "balance": lambda df: sign_by_balance(df, opening_balance(marked)),
+    }
+    used = {kind: of(lambda p, kind=kind: p.sign == kind) for kind in rules}
+    used = {kind: names for kind, names in used.items() if names}
+    if len(used) > 1 or "balance" in used:
+        dated = cut_lineage(dated)
+    signed = union_transactions(*[rules[kind](dated.filter(_wanted(names))) for kind, names in used.items()])
+    if of(lambda p: p.name == "card_billing"):
+        signed = union_transactions(signed, parse_fees_interest(marked, signed, period))
+    return dedupe_transactions(extract_refs(signed))
+
+
+def _no_rows(marked: DataFrame) -> DataFrame:
+    schema = (
+        "doc_id string, profile string, section string, line_no int, date_raw string, description string, "
+        "amount decimal(18,2), reference string, check_number string, tx_date date"
     )
-    interest = parse_fees_interest(marked, signed, period)
-    return dedupe_transactions(extract_refs(union_transactions(signed, interest)))
+    return marked.sparkSession.createDataFrame([], schema)
