@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -266,29 +266,35 @@ def _demand(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _finish_groups(undecided: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
+    """Settle small groups in row order: sorted partitions stream through Arrow batches, and
+    only the unit counts of the current key are kept."""
+    unit = lambda c: (F.col(c) * 100).cast("bigint")
     a = left.select(*keys, F.col("amount").alias("part_a"), F.col("left").alias("have_a"))
     b = left.select(*keys, F.col("amount").alias("part_b"), F.col("left").alias("have_b"))
     rows = undecided.drop("split").join(a, [*keys, "part_a"], "left").join(b, [*keys, "part_b"], "left")
-    rows = rows.fillna(0, ["have_a", "have_b"])
+    rows = rows.fillna(0, ["have_a", "have_b"]).withColumns({"__a": unit("part_a"), "__b": unit("part_b")})
     types = dict(undecided.dtypes)
     names = [*keys, "row_no", "part_a", "part_b"]
     schema = ", ".join(f"{n} {types[n]}" for n in names) + ", split boolean"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left_units: dict = {}
-        for amounts, counts in ((pdf.part_a, pdf.have_a), (pdf.part_b, pdf.have_b)):
-            left_units.update(zip(amounts, counts, strict=True))
-        ordered = pdf.sort_values("row_no")
-        verdicts = []
-        for x, y in zip(ordered.part_a, ordered.part_b, strict=True):
-            need = {x: 2} if x == y else {x: 1, y: 1}
-            ok = all(left_units[k] >= n for k, n in need.items())
-            for k, n in need.items() if ok else ():
-                left_units[k] -= n
-            verdicts.append(ok)
-        return ordered[names].assign(split=verdicts)
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, pool = None, {}
+        for pdf in batches:
+            verdicts = []
+            group = list(zip(*[pdf[k] for k in keys], strict=True))
+            for key, x, y, hx, hy in zip(group, pdf["__a"], pdf["__b"], pdf.have_a, pdf.have_b, strict=True):
+                if key != current:
+                    current, pool = key, {}
+                pool.setdefault(x, hx)
+                pool.setdefault(y, hy)
+                need = {x: 2} if x == y else {x: 1, y: 1}
+                ok = all(pool[k] >= n for k, n in need.items())
+                for k, n in need.items() if ok else ():
+                    pool[k] -= n
+                verdicts.append(ok)
+            yield pdf[names].assign(split=verdicts)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "row_no").mapInPandas(run, schema)
 
 
 def residual_report(ws: DataFrame, payments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
