@@ -31,7 +31,7 @@ def build_vendor_dict(vendors: DataFrame, order: str | None = None) -> DataFrame
     lists = [F.split(F.col(c), r"[|;]") for c in ("Aliases", "Alias", "Keywords") if c in vendors.columns]
     base = F.trim("Vendor")
     every = F.concat(F.array(base), *[F.coalesce(x, F.array().cast("array<string>")) for x in lists])
-    names = F.filter(F.array_distinct(F.transform(every, F.trim)), lambda s: s != "")
+    names = F.filter(F.array_distinct(F.transform(every, lambda e: F.trim(e))), lambda s: s != "")
     out = vendors.filter((base != "") & (F.lower(base) != "nan")).select(
         base.alias("vendor"), row.alias("vendor_row"), F.explode(names).alias("synonym")
     )
