@@ -1 +1,576 @@
+"""Payroll, wage reports, tracker, worklog, documents, checklists and the session stream."""
 
+from __future__ import annotations
+
+import datetime as dt
+import uuid
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.catalog.registry import cents, cents_sql, money, orders, query, table
+from ledgerloom.functions.labels import PLURALS
+from ledgerloom.operators import checklist as ck
+from ledgerloom.operators import documents as dc
+from ledgerloom.operators import payroll as pr
+from ledgerloom.operators import tracker as tr
+from ledgerloom.operators import wages as wg
+from ledgerloom.operators import worklog as wl
+from ledgerloom.plans.ordered import block_of, number_rows
+from ledgerloom.plans.session import ensure_checkpoint_dir
+from ledgerloom.sources.sinks import document_register_table, with_output_file
+from ledgerloom.streaming.work_sessions import work_sessions_stream
+
+# ---- payroll -----------------------------------------------------------------------------
+
+
+@query(
+    "punch_pairs",
+    """WITH e AS (SELECT user_id, ts, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events),
+    p AS (SELECT user_id, day, (rn - 1) // 2 AS shift, min(ts) AS s, max(ts) AS e, count(*) AS n FROM e GROUP BY ALL HAVING count(*) = 2),
+    h AS (SELECT *, epoch_us(e) // 1000000 - epoch_us(s) // 1000000 AS seconds FROM p) SELECT user_id, day, CAST(shift AS BIGINT) AS shift, CAST(seconds AS BIGINT) AS seconds FROM h WHERE seconds > 0""",
+)
+def punch_pairs(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts")
+    return pr.pair_punches(e, ("user_id",), "event_id").select("user_id", "day", "shift", "seconds")
+
+
+@query(
+    "split_shift_days",
+    """WITH e AS (SELECT user_id, ts, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events),
+    p AS (SELECT user_id, day, (rn - 1) // 2 AS shift, epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000 AS seconds FROM e GROUP BY ALL HAVING count(*) = 2),
+    y AS (SELECT user_id, day, count(*) FILTER (WHERE seconds >= 1800) AS n FROM p WHERE seconds > 0 GROUP BY ALL) SELECT user_id, count(*) FILTER (WHERE n >= 2) AS split_days FROM y GROUP BY user_id""",
+)
+def split_shift_days(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts")
+    return pr.split_shift_days(pr.pair_punches(e, ("user_id",), "event_id"), ("user_id",))
+
+
+def _print(rows: DataFrame, doc: str, order: str, body: list[Column], head: list[Column] = ()) -> DataFrame:
+    """(doc_id, pos, text) of `body` lines per row in `order`, after one `head` per document."""
+    ranked = number_rows(rows, [doc], [order], [block_of(order)], "__rn")
+    n, m = len(head), len(body)
+    lines = ranked.select(F.col(doc).alias("doc_id"), "__rn", F.posexplode(F.array(*body)).alias("i", "text"))
+    lines = lines.select("doc_id", (F.lit(n) + (F.col("__rn") - 1) * m + F.col("i")).alias("pos"), "text")
+    if head:
+        top = rows.select(F.col(doc).alias("doc_id")).distinct().select("doc_id", F.posexplode(F.array(*head)).alias("pos", "text"))
+        lines = lines.unionByName(top.withColumn("pos", F.col("pos").cast("bigint")))
+    return lines.filter(F.col("text").isNotNull())
+
+
+@query(
+    "hours_rollup",
+    f"""SELECT o_custkey AS doc_id, 'Employee ' || o_orderkey AS employee, CAST(o_orderkey % 90 AS BIGINT) * 100 AS reg, {cents_sql('o_totalprice')} AS total, o_orderkey % 90 * 100 + 425 = {cents_sql('o_totalprice')} AS valid_sum FROM orders""",
+)
+def hours_rollup(spark, d):
+    o = orders(spark, d)
+    k = F.col("o_orderkey")
+    body = [
+        F.concat(F.lit("["), k.cast("string"), F.lit("] Employee "), k.cast("string")), F.lit("99"), F.lit("REG"), F.lit("7"), F.lit("8.00"),
+        (k % 90).cast("string"), F.lit("3.00"), F.lit("1.25"), F.col("price").cast("string"), F.lit("Printed 1/2"),
+    ]
+    out = pr.hours_summary(_print(o, "o_custkey", "o_orderkey", body))
+    return out.select("doc_id", "employee", cents("reg").alias("reg"), cents("total").alias("total"), "valid_sum")
+
+
+@query(
+    "threshold_days",
+    "SELECT o_custkey AS doc_id, 'Employee ' || o_orderkey AS employee, CAST(1 + CASE WHEN o_orderkey % 10 >= 8 THEN 1 ELSE 0 END AS BIGINT) AS days FROM orders",
+)
+def threshold_days(spark, d):
+    k = F.col("o_orderkey")
+    h = (k % 10).cast("string")
+    body = [F.concat(F.lit("[1] Employee "), k.cast("string")), F.lit("50"), h, F.lit("0"), F.lit("0"), h, F.lit("OUT"), F.lit("9"), F.lit("1"), F.lit("0"), F.lit("10.50"), F.lit("12")]
+    body[1] = F.lit("IN")
+    return pr.threshold_days(_print(orders(spark, d), "o_custkey", "o_orderkey", body), 8.0).select("doc_id", "employee", "days")
+
+
+@query(
+    "punch_stamps",
+    "SELECT 'Employee ' || o_orderkey AS employee, CAST(o_orderdate AS TIMESTAMP) + to_minutes(607) AS ts FROM orders",
+)
+def punch_stamps(spark, d):
+    o = orders(spark, d)
+    k = F.col("o_orderkey").cast("string")
+    body = [F.concat(F.lit("[7] Employee "), k), F.lit("Mon"), F.date_format("day", "MM/dd/yyyy"), F.lit("10:07 AM"), F.lit("10:07 AM"), F.date_format("day", "M-d-yy"), F.lit("IN")]
+    out = pr.punch_stamps(_print(o, "o_custkey", "o_orderkey", body))
+    return out.select("employee", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(
+    "payroll_sections",
+    """WITH l AS (SELECT l_suppkey AS doc_id, l_partkey % 4 AS e, CASE WHEN l_returnflag = 'A' THEN 'KITCHEN' ELSE 'SERVER' END AS section, CAST(l_quantity AS BIGINT) AS q, l_orderkey * 10 + l_linenumber AS ord, l_partkey FROM lineitem)
+    SELECT doc_id, 'NAME ' || list_extract(['A', 'B', 'C', 'D'], e + 1) AS name, section, CAST(arg_min(10 + l_partkey % 20, (ord, l_partkey)) * 100 AS BIGINT) AS rate, CAST(sum(q) * 100 AS BIGINT) AS reg, CAST(sum(2) * 100 AS BIGINT) AS over,
+      CAST(sum(q) * 1000 AS BIGINT) AS tip, CAST(-sum(5) * 100 AS BIGINT) AS advance, CAST(sum(3) * 100 AS BIGINT) AS sick, CAST(arg_min(10 + l_partkey % 20, (ord, l_partkey)) * sum(q) * 100 AS BIGINT) AS hourly_total FROM l GROUP BY ALL""",
+)
+def payroll_sections(spark, d):
+    l = table(spark, d, "lineitem")  # noqa: E741
+    q = F.col("l_quantity").cast("int").cast("string")
+    name = F.concat(F.lit("NAME "), F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("l_partkey") % 4 + 1).cast("int")))
+    rate = (10 + F.col("l_partkey") % 20).cast("string")
+    detail = F.concat_ws(" ", rate, q, F.lit("2"), F.lit("0"), F.lit("5"), F.concat(F.lit("$"), q, F.lit("0.00")), F.lit("77 sick 3"))
+    rows = l.withColumn("ord", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey"))
+    body = [name, F.when(F.col("l_returnflag") == "A", "Kitchen").otherwise("SERVER"), F.lit("PAY DATE 1"), detail]
+    out = pr.payroll_totals(pr.payroll_by_section(_print(rows, "l_suppkey", "ord", body)))
+    return out.select("doc_id", "name", "section", *[cents(c).alias(c) for c in ("rate", "reg", "over", "tip", "advance", "sick", "hourly_total")])
+
+
+# ---- wage reports ------------------------------------------------------------------------
+
+
+def _wage_lines(spark, d, body: list[Column], head: list[Column] = ()) -> DataFrame:
+    return _print(orders(spark, d), "o_custkey", "o_orderkey", body, head)
+
+
+def _ssn() -> Column:
+    return F.lpad((F.col("o_orderkey") + 100000000).cast("string"), 9, "0")
+
+
+def _who() -> Column:
+    return F.element_at(F.array(F.lit("ANNA"), F.lit("BERT"), F.lit("CLEO")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+
+
+NAME_SQL = "list_extract(['Anna', 'Bert', 'Cleo'], o_orderkey % 3 + 1)"
+
+
+@query(
+    "wage_rows_ca",
+    f"""SELECT o_custkey AS doc_id, CAST(o_orderkey + 100000000 AS VARCHAR) AS ssn, {NAME_SQL} AS first_name, 'Q' AS middle_initial, 'Smith-Jones' AS last_name, {cents_sql('o_totalprice')} AS amount_1, 500 AS amount_2 FROM orders
+    UNION ALL SELECT o_custkey, '000000000', {NAME_SQL}, '', 'Float', 90000, 10000 FROM orders WHERE o_orderkey % 2 = 0""",
+)
+def wage_rows_ca(spark, d):
+    even = F.col("o_orderkey") % 2 == 0
+    body = [
+        F.concat(_ssn(), F.lit(" "), _who(), F.lit(" Q")), F.lit("SMITH-JONES"), F.format_number("o_totalprice", 2), F.lit("5.00"), F.lit("1.00"),
+        F.when(even, F.concat(_who(), F.lit(" FLOAT"))).otherwise("Page 2 of 9"), F.when(even, "900.00 100.00 0.00").otherwise("TOTAL this page"),
+    ]
+    kept, _ = wg.filter_wage_rows(wg.wage_rows(_wage_lines(spark, d, body), "CA"))
+    return kept.select("doc_id", "ssn", "first_name", "middle_initial", "last_name", cents("amount_1").alias("amount_1"), cents("amount_2").alias("amount_2"))
+
+
+@query(
+    "wage_rows_ny",
+    f"""SELECT o_custkey AS doc_id, CASE o_custkey % 3 WHEN 2 THEN right(r, 9) ELSE r END AS ssn, {NAME_SQL} AS first_name, CASE WHEN o_custkey % 3 = 1 THEN '' ELSE 'K' END AS middle_initial, 'Doe-Roe' AS last_name, {cents_sql('o_totalprice')} AS amount_1, CASE WHEN o_custkey % 3 = 1 THEN 'R' ELSE 'O' END AS wage_type
+    FROM (SELECT *, CAST(o_orderkey + 100000000 AS VARCHAR) AS r FROM orders) WHERE o_totalprice < 490000""",
+)
+def wage_rows_ny(spark, d):
+    k = F.col("o_custkey") % 3
+    o = orders(spark, d).filter(F.col("o_totalprice") < 490000)
+    amount = F.format_number("o_totalprice", 2)
+    # 0: SSN, last, first, type, initial; 1: SSN and comma name; 2: names first, SSNs in their own lines.
+    cols = [
+        F.when(k != 2, _ssn()),
+        F.when(k == 1, F.concat(F.lit("DOE-ROE, "), _who())).otherwise("DOE-ROE"),
+        F.when(k != 1, _who()), F.when(k != 1, "O"), F.when(k != 1, "K"), amount, F.lit("2.00"), F.lit("Total page"), F.when(k == 2, _ssn()),
+    ]
+    body = F.array_compact(F.array(*cols))
+    ranked = number_rows(o, ["o_custkey"], ["o_orderkey"], [block_of("o_orderkey")], "rn")
+    lines = ranked.select(F.col("o_custkey").alias("doc_id"), "rn", F.posexplode(body).alias("i", "text"), F.size(body).alias("m"))
+    lines = lines.select("doc_id", ((F.col("rn") - 1) * F.col("m") + F.col("i")).alias("pos"), "text")
+    out = wg.wage_rows(lines, "NY")
+    return out.select("doc_id", "ssn", "first_name", "middle_initial", "last_name", cents("amount_1").alias("amount_1"), "wage_type")
+
+
+@query(
+    "wage_rows_hi",
+    f"SELECT CAST(o_orderkey + 100000000 AS VARCHAR) AS ssn, 'Kealoha' AS last_name, {NAME_SQL} AS first_name, 'M' AS middle_initial, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount_1, CASE WHEN o_orderkey % 2 = 0 THEN '7.50' ELSE '0.00' END AS amount_2, '' AS state FROM orders",
+)
+def wage_rows_hi(spark, d):
+    body = [_ssn(), F.concat(F.lit("KEALOHA, "), _who(), F.lit(" M")), F.format_number("o_totalprice", 2), F.when(F.col("o_orderkey") % 2 == 0, "7.50").otherwise("Add to form UC-B6"), F.lit("Page 1")]
+    return wg.wage_layout(wg.wage_rows(_wage_lines(spark, d, body), "HI"), "HI")
+
+
+# ---- tracker -----------------------------------------------------------------------------
+
+STATUS_SQL = "CASE o_orderstatus WHEN 'O' THEN 'Needed' WHEN 'F' THEN 'Received' ELSE 'Requested' END"
+
+
+def tracker_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    o = orders(spark, d)
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    base = o.select(
+        F.col("o_custkey").alias("client_idx"), k.alias("pos"), k.cast("string").alias("id"), F.year("day").cast("string").alias("tax_year"),
+        F.when(k % 5 == 0, "IPP").otherwise("Payroll").alias("category"), F.col("o_orderpriority").alias("name"), F.col("o_orderpriority").alias("title"),
+        (k % 10 == 9).alias("archived"), (k % 2 == 0).alias("repeat_next_year"), F.lit("").alias("requested_date"), F.lit("").alias("received_date"),
+        F.lit("").alias("opened_date"), F.lit("").alias("closed_date"), F.when(k % 3 == 0, "call").otherwise("").alias("note"), F.lit("2024-01-01 00:00").alias("created_ts"),
+        F.lit("2024-01-01 00:00").alias("updated_ts"), s.alias("s"), F.when(k % 15 == 1, "IPP").otherwise("Other").alias("type"),
+    )
+    files = base.withColumn("status", F.when(F.col("s") == "O", "Needed").when(F.col("s") == "F", "Received").otherwise("Requested"))
+    rem = base.filter("pos % 3 = 0").withColumn("status", F.when(F.col("s") == "O", "Active").otherwise("Inactive"))
+    iss = base.filter("pos % 3 = 1").withColumn("status", F.when(F.col("s") == "F", "Closed").otherwise("Open"))
+    return files.drop("s"), rem.drop("s"), iss.drop("s")
+
+
+LIVE_SQL = "live AS (SELECT *, o_orderkey AS k, o_orderkey % 5 = 0 AS ipp FROM orders WHERE o_orderkey % 10 <> 9)"
+
+
+@query(
+    "tracker_summary",
+    f"""WITH {LIVE_SQL} SELECT o_custkey AS client_idx, count(*) FILTER (WHERE o_orderstatus = 'O') AS missing, count(*) FILTER (WHERE o_orderstatus = 'P') AS requested, count(*) FILTER (WHERE o_orderstatus = 'F') AS received,
+      count(*) FILTER (WHERE k % 3 = 1 AND o_orderstatus <> 'F') AS open_issues, count(*) FILTER (WHERE k % 3 = 0 AND o_orderstatus = 'O') AS active_reminders,
+      count(*) FILTER (WHERE ipp AND o_orderstatus <> 'F') + count(*) FILTER (WHERE ipp AND k % 3 = 0 AND o_orderstatus = 'O') + count(*) FILTER (WHERE (ipp OR k % 15 = 1) AND k % 3 = 1 AND o_orderstatus <> 'F') AS ipp_open FROM live GROUP BY 1""",
+)
+def tracker_summary(spark, d):
+    return tr.tracker_summary(*tracker_tables(spark, d))
+
+
+@query(
+    "open_items_topk",
+    f"""WITH {LIVE_SQL}, n AS (SELECT o_custkey AS client_idx, count(*) FILTER (WHERE o_orderstatus <> 'F') AS files, count(*) FILTER (WHERE k % 3 = 0 AND o_orderstatus = 'O') AS reminders, count(*) FILTER (WHERE k % 3 = 1 AND o_orderstatus <> 'F') AS issues FROM live GROUP BY 1),
+    t AS (SELECT *, files + reminders + issues AS total FROM n), g AS (SELECT CAST(sum(total) AS BIGINT) AS grand_total, greatest(count(*) - 20, 0) AS more FROM t WHERE total > 0)
+    SELECT client_idx, total, grand_total, more FROM (SELECT client_idx, total FROM t WHERE total > 0 ORDER BY total DESC, client_idx LIMIT 20), g""",
+)
+def open_items_topk(spark, d):
+    counts = tr.open_tracker_items(*tracker_tables(spark, d))
+    named = counts.withColumn("name", F.lpad(F.col("client_idx").cast("string"), 12, "0"))
+    top, rest = tr.top_clients(named, F.col("files") + F.col("reminders") + F.col("issues"), 20)
+    # Twenty rows next to one row of totals.
+    one = F.lit(1).alias("j")
+    return top.select("client_idx", "total", one).join(rest.select("grand_total", "more", one), "j").drop("j")
+
+
+@query("filter_tracker", "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE year(o_orderdate) = 1998 AND o_orderstatus = 'O' AND o_orderkey % 5 = 0 AND o_orderpriority = '1-URGENT'")
+def filter_tracker(spark, d):
+    return tr.filter_tracker(tracker_tables(spark, d)[0], "1998", "Needed", "IPP", "urgent").select("id")
+
+
+@query("tax_years", "SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS tax_year FROM orders UNION SELECT '2026' UNION SELECT '2025'")
+def tax_years(spark, d):
+    return tr.collect_tax_years(dt.date(2026, 1, 5), *tracker_tables(spark, d))
+
+
+@query(
+    "roll_forward",
+    """WITH f AS (SELECT o_custkey, o_orderkey AS k, year(o_orderdate) AS y, CASE WHEN o_orderkey % 5 = 0 THEN 'IPP' ELSE 'Payroll' END AS cat, o_orderpriority AS n FROM orders),
+    s AS (SELECT o_custkey, cat, n, min(k) AS k FROM f WHERE y = 1997 AND k % 10 <> 9 AND k % 2 = 0 GROUP BY ALL)
+    SELECT o_custkey AS client_idx, cat AS category, n AS name, k AS pos, '1998' AS tax_year, 'Rolled forward from 1997.' || CASE WHEN k % 3 = 0 THEN ' call' ELSE '' END AS note FROM s WHERE (o_custkey, cat, n) NOT IN (SELECT (o_custkey, cat, n) FROM f WHERE y = 1998)""",
+)
+def roll_forward(spark, d):
+    out = tr.roll_forward(tracker_tables(spark, d)[0], "1997", "1998", dt.datetime(2026, 1, 5, 9, 0))
+    return out.select("client_idx", "category", "name", "pos", "tax_year", "note")
+
+
+@query(
+    "tracker_status",
+    f"""SELECT 'file' AS part, CAST(o_orderkey AS VARCHAR) AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'Received' ELSE {STATUS_SQL} END AS v, CASE WHEN o_orderkey % 4 = 0 AND o_orderstatus <> 'F' THEN '1998-06-17' ELSE '' END AS w FROM orders
+    UNION ALL SELECT 'log', CAST(year(o_orderdate) AS VARCHAR) || ' ' || o_orderpriority, 'Received tracker file: ', CAST(count(*) AS VARCHAR) FROM orders WHERE o_orderkey % 4 = 0 AND o_orderstatus <> 'F' GROUP BY ALL""",
+)
+def tracker_status(spark, d):
+    files = tracker_tables(spark, d)[0]
+    changes = files.filter("pos % 4 = 0").select("id", F.lit("Received").alias("status"))
+    fixed, logs = tr.apply_status(files, changes, "file", dt.date(1998, 6, 17))
+    cut = len("Received tracker file: ")
+    told = logs.groupBy(F.substr("text", F.lit(cut + 1)).alias("k"), F.substring("text", 1, cut).alias("v")).agg(F.count("*").cast("string").alias("w"))
+    return fixed.select(F.lit("file").alias("part"), F.col("id").alias("k"), F.col("status").alias("v"), F.col("received_date").alias("w")).unionByName(
+        told.select(F.lit("log").alias("part"), "k", "v", "w")
+    )
+
+
+@query(
+    "tracker_patch",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'patched' WHEN o_orderkey % 3 = 0 THEN 'call' ELSE '' END AS note, CASE WHEN o_orderkey % 7 = 0 THEN '1998-06-17 08:00' ELSE '2024-01-01 00:00' END AS updated_ts FROM orders",
+)
+def tracker_patch(spark, d):
+    files = tracker_tables(spark, d)[0]
+    patch = files.filter("pos % 7 = 0").select("id", F.lit("patched").alias("note"), F.lit(None).cast("string").alias("status"))
+    return tr.apply_tracker_patch(files, patch, dt.datetime(1998, 6, 17, 8)).select("id", "note", "updated_ts")
+
+
+# ---- worklog -----------------------------------------------------------------------------
+
+
+def work_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Work items from orders, logs from events, active sessions from urgent open orders."""
+    o = orders(spark, d)
+    ts = F.concat(F.col("day").cast("string"), F.lit("T08:30:00"))
+    s = F.col("o_orderstatus")
+    kinds = F.array(F.lit("Payroll"), F.lit("SOI"), F.lit("Sales Tax"), F.lit("Inventory"), F.lit("Class"))
+    task = F.element_at(kinds, (F.col("o_orderkey") % 5 + 1).cast("int"))
+    items = o.select(
+        F.col("o_custkey").alias("client_idx"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("id"), task.alias("task_name"),
+        F.when(s == "O", "on_hold").when(s == "F", "completed").otherwise("active").alias("status"), F.lit("a\nb").alias("note"), ts.alias("created_at"),
+        F.when(s == "P", ts).otherwise("").alias("started_at"), F.when(s == "O", ts).otherwise("").alias("held_at"), F.when(s == "F", ts).otherwise("").alias("completed_at"), ts.alias("updated_at"),
+    )
+    # History lines repeat finished orders; memo lines come from events.
+    history = o.filter((s == "F") | (F.col("o_orderkey") % 2 == 0)).select(
+        F.col("o_custkey").alias("client_idx"), F.col("o_orderkey").alias("pos"), F.concat(F.col("day").cast("string"), F.lit(" 08:30")).alias("ts"),
+        F.concat(F.upper(task), F.lit(" | memo "), F.col("o_orderkey").cast("string")).alias("text"), F.lit(True).alias("done"), F.lit(False).alias("edited"), F.lit("history").alias("log_type"),
+    )
+    e = table(spark, d, "events")
+    memo = e.select(
+        F.col("user_id").alias("client_idx"), (F.col("event_id") + 100000000).alias("pos"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), F.col("event_type").alias("text"),
+        (F.col("event_id") % 3 == 0).alias("done"), (F.col("event_id") % 5 == 0).alias("edited"), F.when(F.col("event_id") % 2 == 0, "memo").otherwise("").alias("log_type"),
+    )
+    act = o.filter((s == "P") & (F.col("o_orderkey") % 3 == 0)).select(
+        F.col("o_custkey").alias("client_idx"), F.col("o_orderkey").cast("string").alias("work_item_id"), task.alias("task_name"), ts.alias("started_at"), ts.alias("created_at")
+    )
+    return items, history.unionByName(memo), act
+
+
+KIND_SQL = "list_extract(['Payroll','SOI','Sales Tax','Inventory','Class'], o_orderkey % 5 + 1)"
+
+
+@query(
+    "worklog_union",
+    f"""WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS day, {KIND_SQL} AS task FROM orders), done AS (SELECT DISTINCT o_custkey, lower(task) AS t, day FROM o WHERE o_orderstatus = 'F')
+    SELECT o_custkey AS client_idx, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 'active' ELSE 'work' END AS kind, CASE o_orderstatus WHEN 'O' THEN 'On hold' WHEN 'F' THEN 'Finished' ELSE 'Active' END AS status, task,
+      CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN '' ELSE 'a b' END AS note_disp, day || 'T08:30:00' AS time_disp, CAST(o_orderkey AS VARCHAR) AS ref, CAST(day AS TIMESTAMP) + INTERVAL 510 MINUTE AS sort_ts FROM o
+    UNION ALL SELECT o_custkey, 'history', 'Finished', upper(task), 'memo ' || o_orderkey, day || ' 08:30', CAST(o_orderkey AS VARCHAR), CAST(day AS TIMESTAMP) + INTERVAL 510 MINUTE FROM o WHERE (o_orderstatus = 'F' OR o_orderkey % 2 = 0) AND (o_custkey, lower(task), day) NOT IN (SELECT (o_custkey, t, day) FROM done)
+    UNION ALL SELECT user_id, 'memo', CASE WHEN event_id % 3 = 0 THEN 'N/A ✓' ELSE 'N/A' END, event_type, '', strftime(ts, '%Y-%m-%d %H:%M') || CASE WHEN event_id % 5 = 0 THEN ' (Edited)' ELSE '' END, CAST(event_id + 100000000 AS VARCHAR), date_trunc('minute', ts) FROM events""",
+)
+def worklog_union(spark, d):
+    return wl.union_worklog(*work_tables(spark, d)).select("client_idx", "kind", "status", "task", "note_disp", "time_disp", "ref", "sort_ts")
+
+
+@query(
+    "search_logs",
+    """SELECT CAST(event_id + 100000000 AS VARCHAR) AS ref FROM events WHERE user_id % 5 = 2 AND event_type = 'purchase' AND event_id % 3 <> 0""",
+)
+def search_logs(spark, d):
+    feed = wl.union_worklog(*work_tables(spark, d)).filter(F.col("kind") == "memo")
+    feed = feed.withColumns({"client_name": F.concat(F.lit("Client "), F.col("client_idx").cast("string")), "acct_mgr": F.concat(F.lit("Mgr "), (F.col("client_idx") % 5).cast("string"))})
+    return wl.sort_logs(wl.search_logs(feed, "client PURCHASE 2024-01", "Mgr 2", "Open")).select("ref")
+
+
+PLURAL_SQL = "CASE WHEN n = 1 THEN task WHEN task = 'Payroll' THEN 'Payrolls' WHEN task = 'SOI' THEN 'SOI' WHEN task = 'Sales Tax' THEN 'Sales Taxes' WHEN task = 'Inventory' THEN 'Inventories' ELSE 'Class' END"
+
+
+@query(
+    "held_summary",
+    f"SELECT o_custkey AS client_idx, string_agg(n || ' ' || {PLURAL_SQL}, ', ' ORDER BY lower(task)) AS summary FROM (SELECT o_custkey, {KIND_SQL} AS task, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL) GROUP BY 1",
+)
+def held_summary(spark, d):
+    assert PLURALS["sales tax"] == "Sales Taxes"
+    return wl.held_summary(work_tables(spark, d)[0])
+
+
+@query(
+    "unchecked_counts",
+    """WITH n AS (SELECT user_id AS client_idx, count(*) FILTER (WHERE event_id % 3 <> 0 AND event_id % 2 = 1) AS unchecked_logs, count(*) FILTER (WHERE event_id % 3 <> 0) AS unchecked_memos FROM events GROUP BY 1)
+    SELECT * FROM n WHERE unchecked_logs > 0 ORDER BY unchecked_logs DESC, lpad(CAST(client_idx AS VARCHAR), 12, '0') LIMIT 20""",
+)
+def unchecked_counts(spark, d):
+    logs = work_tables(spark, d)[1].filter(F.col("log_type") != "history")
+    counts = wl.unchecked_counts(logs).withColumn("name", F.lpad(F.col("client_idx").cast("string"), 12, "0"))
+    top, _ = tr.top_clients(counts, F.col("unchecked_logs"), 20)
+    return top.select("client_idx", "unchecked_logs", "unchecked_memos")
+
+
+@query(
+    "task_options",
+    f"""WITH k(i, label) AS (SELECT unnest(range(0, 15)), unnest(['Payroll','Bank Update','SOI','Bookkeeping','Payroll Tax','Sales Tax','Workers Comp','Meeting','Child Care Support','Income Tax','Business Tax','Document Request','Profit And Loss','Simple Ira','Other']))
+    SELECT c_custkey AS client_idx, 'kind' AS source, label FROM customer, k UNION ALL SELECT o_custkey, 'held', 'Held (' || CAST(o_orderdate AS DATE) || 'T08:30:00) ' || {KIND_SQL} || ' | a b' FROM orders WHERE o_orderstatus = 'O'""",
+)
+def task_options(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("client_idx"))
+    return wl.task_options(c, work_tables(spark, d)[0]).select("client_idx", "source", "label")
+
+
+@query(
+    "work_item_upsert",
+    """WITH s AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 5 = 1 GROUP BY 1)
+    SELECT o_custkey AS client_idx, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey IN (SELECT k FROM s) THEN 'completed' WHEN o_orderstatus = 'O' THEN 'on_hold' WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'active' END AS status FROM orders
+    UNION ALL SELECT c_custkey, 'new' || c_custkey, 'completed' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM s)""",
+)
+def work_item_upsert(spark, d):
+    items = work_tables(spark, d)[0]
+    changes = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("client_idx"), F.lit("").alias("id"), F.lit("soi").alias("task_name"), F.lit("completed").alias("status"), F.lit("").alias("note"), F.concat(F.lit("new"), F.col("c_custkey").cast("string")).alias("new_id")
+    )
+    return wl.work_item_upsert(items, changes, "2026-01-05T09:00:00").select("client_idx", "id", "status")
+
+
+def session_events(spark, d, source: DataFrame | None = None) -> DataFrame:
+    e = table(spark, d, "events") if source is None else source
+    k = F.col("event_id") % 7
+    action = (
+        F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "view", "hold").when(F.col("event_type") == "purchase", "finish")
+        .when(F.col("event_type") == "signup", F.when(k < 4, "resume").otherwise("finish_held")).otherwise(F.when(k < 3, "unfinish").when(k < 6, "suspend_all").otherwise("remove"))
+    )
+    task = F.concat(F.lit("Task "), (F.col("event_id") % 3).cast("string"))
+    note = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("n"), F.col("event_id").cast("string"))).otherwise("")
+    return e.select(F.col("user_id").alias("client_idx"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), task.alias("task_name"), note.alias("note"))
+
+
+@query("replay_sessions")
+def replay_sessions(spark, d):
+    """Final item states after replaying all events; checked against a sequential loop in the tests."""
+    items, _, _ = wl.replay_work_events(session_events(spark, d))
+    return items.select("client_idx", "task", "gen", "status", "note")
+
+
+@query("work_sessions_stream")
+def work_sessions(spark, d):
+    """The same events as a file stream; the status changes land in Parquet and are read back."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = work_sessions_stream(session_events(spark, d, stream), timeout="3650 days")
+    root = f"{ensure_checkpoint_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    q = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("client_idx long, seq long, ts timestamp, task string, status string, note string").parquet(f"{root}/out")
+
+
+@query(
+    "edit_logs",
+    """SELECT event_id AS pos, event_type || CASE WHEN event_id % 10 = 2 THEN '!' ELSE '' END AS text, CASE WHEN event_id % 10 = 4 THEN event_id % 3 <> 0 ELSE event_id % 3 = 0 END AS done FROM events WHERE event_id % 10 <> 6""",
+)
+def edit_logs(spark, d):
+    logs = work_tables(spark, d)[1].filter(F.col("log_type") != "history").withColumn("pos", F.col("pos") - 100000000)
+    k = F.col("pos") % 10
+    act = F.when(k == 2, "edit").when(k == 4, "toggle").when(k == 6, "delete")
+    edits = logs.filter(act.isNotNull()).select("client_idx", "pos", act.alias("action"), F.concat("text", F.lit("!")).alias("text"))
+    return wl.edit_logs(logs, edits).select("pos", "text", "done")
+
+
+# ---- documents ---------------------------------------------------------------------------
+
+TYPE_SQL = "list_extract(['EFTPS PIN Letter','EDD Registration','EIN Confirmation Letter','Operating Agreement','Misc'], o_orderkey % 5 + 1)"
+DOC_SQL = f"""SELECT o_custkey AS client_idx, {TYPE_SQL} AS type, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE quarter(o_orderdate) || 'Q' END AS quarter, CAST(month(o_orderdate) AS INT) AS month, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' 00:00' AS ts, o_orderkey AS ord,
+  CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE quarter(o_orderdate) END AS q FROM orders"""
+
+
+def documents(spark, d) -> DataFrame:
+    o = orders(spark, d)
+    kinds = F.array(*[F.lit(x) for x in ("EFTPS PIN Letter", "EDD Registration", "EIN Confirmation Letter", "Operating Agreement", "Misc")])
+    k = F.col("o_orderkey")
+    quarter = F.when(k % 4 == 0, "").otherwise(F.concat(F.quarter("day").cast("string"), F.lit("Q")))
+    return o.select(
+        F.col("o_custkey").alias("client_idx"), F.element_at(kinds, (k % 5 + 1).cast("int")).alias("type"), F.year("day").alias("year"), quarter.alias("quarter"), F.month("day").alias("month"),
+        F.concat(F.col("day").cast("string"), F.lit(" 00:00")).alias("ts"), k.alias("ord"), F.concat(F.lit("doc, "), k.cast("string"), F.lit(".pdf")).alias("name"),
+    )
+
+
+@query(
+    "latest_doc",
+    f"SELECT client_idx, type, arg_max(ord, (year, q, month, ts, ord)) AS ord FROM ({DOC_SQL}) GROUP BY ALL",
+)
+def latest_doc(spark, d):
+    return dc.latest_document(documents(spark, d), tie=["ord"]).select("client_idx", "type", "ord")
+
+
+@query(
+    "asof_doc",
+    f"""WITH w AS (SELECT DISTINCT o_custkey AS client_idx, 'Misc' AS type, CAST(y AS INT) AS y, q FROM orders, (VALUES (1996, '2Q', 2), (1998, '', 4), (1999, '1Q', 1)) v(y, q, qn)), x AS (SELECT *, CASE q WHEN '2Q' THEN 2 WHEN '1Q' THEN 1 ELSE 4 END AS qn FROM w)
+    SELECT x.client_idx, x.y AS as_of_year, x.q AS as_of_quarter, arg_max(ord, (year, d.q, month, ts, ord)) AS ord FROM x LEFT JOIN ({DOC_SQL}) d ON d.client_idx = x.client_idx AND d.type = x.type AND (year < y OR (year = y AND d.q <= qn)) GROUP BY ALL""",
+)
+def asof_doc(spark, d):
+    docs = documents(spark, d)
+    asks = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(q).alias("q")) for y, q in ((1996, "2Q"), (1998, ""), (1999, "1Q"))]))
+    wanted = docs.select("client_idx").distinct().select("client_idx", F.lit("Misc").alias("type"), asks.alias("a"))
+    wanted = wanted.select("client_idx", "type", F.col("a.y").alias("as_of_year"), F.col("a.q").alias("as_of_quarter"))
+    return dc.latest_document_asof(docs, wanted, ["ord"]).select("client_idx", "as_of_year", "as_of_quarter", "ord")
+
+
+@query(
+    "doc_class",
+    f"""SELECT ord, CASE WHEN type IN ('EFTPS PIN Letter','EDD Registration','EIN Confirmation Letter') THEN 'Taxes (Federal/State Payroll & EFTPS)' WHEN type = 'Operating Agreement' AND ord % 2 = 0 THEN 'Corporate / Entity' ELSE 'Other' END AS cluster,
+      CASE type WHEN 'EFTPS PIN Letter' THEN 'EFTPS' WHEN 'EDD Registration' THEN 'EDD' WHEN 'EIN Confirmation Letter' THEN 'IRS/EIN' ELSE '' END AS subcluster,
+      CASE type WHEN 'EFTPS PIN Letter' THEN 'Taxes,EFTPS' WHEN 'EDD Registration' THEN 'Taxes,EDD' WHEN 'EIN Confirmation Letter' THEN 'Taxes,IRS/EIN' WHEN 'Operating Agreement' THEN CASE WHEN ord % 2 = 0 THEN 'Corporate / Entity' ELSE 'Other' END ELSE 'Other' END AS tags FROM ({DOC_SQL})""",
+)
+def doc_class(spark, d):
+    docs = documents(spark, d).withColumn("entity_type", F.when(F.col("ord") % 2 == 0, "Partnership").otherwise("S-Corporation"))
+    out = dc.classify_document_type(docs)
+    return out.select("ord", "cluster", "subcluster", F.array_join("tags", ",").alias("tags"))
+
+
+@query(
+    "doc_type_groups",
+    f"SELECT DISTINCT CASE type WHEN 'EFTPS PIN Letter' THEN 'EFTPS' WHEN 'EDD Registration' THEN 'EDD' WHEN 'EIN Confirmation Letter' THEN 'IRS/EIN' ELSE 'Non-Tax' END AS bucket, CASE type WHEN 'EFTPS PIN Letter' THEN 1 WHEN 'EDD Registration' THEN 2 WHEN 'EIN Confirmation Letter' THEN 3 ELSE 5 END AS bucket_no, type FROM ({DOC_SQL})",
+)
+def doc_type_groups(spark, d):
+    docs = documents(spark, d)
+    types = docs.select("type").distinct().unionByName(docs.select(F.concat("type", F.lit(" (unused)")).alias("type")).distinct())
+    return dc.group_document_types(types, docs, hide_empty=True)
+
+
+@query(
+    "doc_register_table",
+    f"""SELECT 'doc  ' || ord || '.pdf' AS name, type AS "document type", CAST(year AS VARCHAR) AS year, CASE WHEN quarter = '' THEN '-' ELSE quarter END AS quarter FROM ({DOC_SQL})""",
+)
+def doc_register_table(spark, d):
+    return document_register_table(documents(spark, d))
+
+
+@query(
+    "register_docs",
+    f"""WITH r AS (SELECT client_idx, type, year, quarter, count(*) AS n FROM ({DOC_SQL}) WHERE ord % 3 = 0 GROUP BY ALL), u AS (SELECT *, row_number() OVER (PARTITION BY client_idx, type, year, quarter ORDER BY ord) AS rn FROM ({DOC_SQL}) WHERE ord % 3 <> 0)
+    SELECT u.ord, coalesce(n, 0) + rn AS index, year || CASE WHEN quarter = '' THEN '' ELSE '_' || quarter END || '_' || type || CASE WHEN coalesce(n, 0) + rn = 1 THEN '' ELSE '_' || (coalesce(n, 0) + rn) END || '.pdf' AS name FROM u LEFT JOIN r USING (client_idx, type, year, quarter)""",
+)
+def register_docs(spark, d):
+    docs = documents(spark, d).withColumns({"path": F.lit("/in/a.PDF"), "pos": F.col("ord")})
+    none = docs.filter("ord < 0").select("client_idx", "year", "quarter", "type", "name")
+    first = dc.register_documents(none, docs.filter("ord % 3 = 0"), "2026-01-05 09:00")
+    return dc.register_documents(first, docs.filter("ord % 3 <> 0"), "2026-01-05 09:00").select("ord", "index", "name")
+
+
+@query(
+    "unique_names",
+    """WITH f AS (SELECT p_brand AS folder, p_name || '.TXT' AS name, p_partkey AS ord, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS rn FROM part), x AS (SELECT DISTINCT p_brand AS folder, p_name AS n FROM part WHERE p_size = 1)
+    SELECT f.folder, f.ord, CASE WHEN rn - 1 + CASE WHEN n IS NULL THEN 0 ELSE 1 END = 0 THEN name ELSE replace(name, '.TXT', '') || ' (' || (rn - 1 + CASE WHEN n IS NULL THEN 0 ELSE 1 END) || ').TXT' END AS unique_name FROM f LEFT JOIN x ON x.folder = f.folder AND x.n || '.TXT' = f.name""",
+)
+def unique_names(spark, d):
+    p = table(spark, d, "part")
+    files = p.select(F.col("p_brand").alias("folder"), F.concat("p_name", F.lit(".TXT")).alias("name"), F.col("p_partkey").alias("ord"))
+    existing = p.filter("p_size = 1").select(F.col("p_brand").alias("folder"), F.concat("p_name", F.lit(".txt")).alias("name")).distinct()
+    return dc.unique_names(files, existing).select("folder", "ord", "unique_name")
+
+
+@query(
+    "output_files",
+    """WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderstatus FROM orders), m AS (SELECT o_custkey, max(day) AS last FROM o GROUP BY 1)
+    SELECT 'Client ' || o_custkey || '_ ' || strftime(last, '%m %Y') || CASE WHEN o_orderstatus = 'O' THEN ' Deposit.csv' ELSE ' Withdrawal.csv' END AS file, count(*) AS n FROM o JOIN m USING (o_custkey) GROUP BY 1""",
+)
+def output_files(spark, d):
+    o = orders(spark, d)
+    tx = o.select(F.concat(F.lit("Client "), F.col("o_custkey").cast("string"), F.lit(":")).alias("company"), F.col("day").alias("tx_date"), F.when(F.col("o_orderstatus") == "O", "credits").otherwise("debits").alias("direction"))
+    return with_output_file(tx).groupBy("file").agg(F.count("*").alias("n"))
+
+
+# ---- checklists --------------------------------------------------------------------------
+
+CELL_SQL = """cells AS (SELECT 'tax' AS section, CAST(year(o_orderdate) AS BIGINT) AS year, CAST(o_custkey AS VARCHAR) AS company_key, strftime(o_orderdate, '%b') AS col, CASE arg_max(o_orderstatus, o_orderkey) WHEN 'O' THEN 'To do' WHEN 'F' THEN 'Done' ELSE '' END AS value FROM orders GROUP BY ALL)"""
+
+
+def cells(spark, d) -> DataFrame:
+    o = orders(spark, d)
+    g = o.groupBy(F.lit("tax").alias("section"), F.year("day").cast("bigint").alias("year"), F.col("o_custkey").cast("string").alias("company_key"), F.date_format("day", "MMM").alias("col"))
+    raw = g.agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"))
+    label = F.when(F.col("s") == "O", "To do ⏳").when(F.col("s") == "F", "Done ✅").otherwise("--")
+    return raw.select("section", "year", "company_key", "col", ck.normalize_cell(label).alias("value"))
+
+
+@query(
+    "checklist_pivot",
+    f"""WITH {CELL_SQL} SELECT year, company_key, coalesce(max(value) FILTER (WHERE col = 'Jan'), '') AS "Jan", coalesce(max(value) FILTER (WHERE col = 'Jun'), '') AS "Jun", coalesce(max(value) FILTER (WHERE col = 'Q4'), '') AS "Q4" FROM cells GROUP BY ALL""",
+)
+def checklist_pivot(spark, d):
+    return ck.checklist_grid(cells(spark, d)).select("year", "company_key", "Jan", "Jun", "Q4")
+
+
+@query(
+    "copy_year",
+    f"""WITH {CELL_SQL} SELECT year, company_key, count(*) AS n, count(*) FILTER (WHERE value = '') AS blanks FROM (SELECT year, company_key, value FROM cells UNION ALL SELECT 1998, company_key, '' FROM (SELECT DISTINCT company_key FROM cells WHERE year = 1997 AND company_key NOT IN (SELECT company_key FROM cells WHERE year = 1998)), range(16)) GROUP BY ALL""",
+)
+def copy_year(spark, d):
+    out = ck.union_years(cells(spark, d), 1997, 1998)
+    return out.groupBy("year", "company_key").agg(F.count("*").alias("n"), F.count_if(F.col("value") == "").alias("blanks"))
+
+
+@query(
+    "checklist_edits",
+    f"""WITH {CELL_SQL}, k AS (SELECT DISTINCT year, company_key, CAST(company_key AS BIGINT) % 3 AS m FROM cells)
+    SELECT year, company_key, count(*) AS n, count(*) FILTER (WHERE value = 'Done') AS done FROM (SELECT c.year, c.company_key, col, CASE WHEN m = 0 AND col = 'Feb' THEN 'Done' ELSE value END AS value FROM cells c JOIN k USING (year, company_key) WHERE m <> 1
+      UNION ALL SELECT year, company_key, 'Feb', 'Done' FROM k WHERE m = 0 AND (year, company_key) NOT IN (SELECT (year, company_key) FROM cells WHERE col = 'Feb')
+      UNION ALL SELECT year, company_key, 'x', CASE WHEN r = 0 THEN 'Done' ELSE '' END FROM k, range(16) t(r) WHERE m = 1) GROUP BY ALL""",
+)
+def checklist_edits(spark, d):
+    c = cells(spark, d)
+    k = c.select("section", "year", "company_key", (F.col("company_key").cast("bigint") % 3).alias("m")).distinct()
+    steps = F.when(F.col("m") == 0, F.array(F.struct(F.lit(1).alias("ord"), F.lit("set").alias("action"), F.lit("Feb").alias("col"), F.lit("Done").alias("value")))).when(
+        F.col("m") == 1,
+        F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("action"), F.lit(x).alias("col"), F.lit(v).alias("value")) for i, a, x, v in ((1, "set", "Mar", "To do"), (2, "remove", "", ""), (3, "add", "", ""), (4, "set", "Q1", "Done ✅"))]),
+    )
+    edits = k.select("section", "year", "company_key", F.explode(steps).alias("e")).select("section", "year", "company_key", "e.*")
+    out = ck.checklist_apply(c, edits)
+    return out.groupBy("year", "company_key").agg(F.count("*").alias("n"), F.count_if(F.col("value") == "Done").alias("done"))
