@@ -161,7 +161,7 @@ def wage_rows_ny(spark, d):
     cols = [
         F.when(k != 2, _ssn()),
         F.when(k == 1, F.concat(F.lit("DOE-ROE, "), _who())).otherwise("DOE-ROE"),
-        F.when(k != 1, _who()), F.when(k != 1, "O"), F.when(k != 1, "K"), amount, F.lit("2.00"), F.lit("Total page"), F.when(k == 2, _ssn()),
+        F.when(k != 1, _who()), F.when(k != 1, "O"), F.when(k != 1, "K"), amount, F.lit("2.00"), F.when(k == 2, _ssn()), F.lit("Total page"),
     ]
     body = F.array_compact(F.array(*cols))
     ranked = number_rows(o, ["o_custkey"], ["o_orderkey"], [block_of("o_orderkey")], "rn")

@@ -7,6 +7,9 @@ active(client_idx, work_item_id, task_name, started_at, created_at).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,9 @@ def _or_dash(*cols: str) -> Column:
 def sort_time(ts: str) -> Column:
     """Timestamp of either spelling; unreadable text sorts first."""
     text = F.replace(F.replace(blank(ts), F.lit("T"), F.lit(" ")), F.lit("Z"), F.lit(""))
-    return F.coalesce(F.substring(text, 1, 19).try_cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    # A trailing mark such as "(Edited)" is not part of the time.
+    stamp = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2}(?: \d{2}:\d{2}(?::\d{2})?)?)", 1)
+    return F.coalesce(stamp.try_cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def union_worklog(work_items: DataFrame, logs: DataFrame, active: DataFrame) -> DataFrame:
@@ -178,30 +183,88 @@ def work_item_upsert(items: DataFrame, changes: DataFrame, now: str) -> DataFram
     return kept.unionByName(fresh)
 
 
+OPENS, CLOSES = ("start", "resume"), {"hold": "on_hold", "finish": "completed", "suspend_all": "on_hold"}
 ACTIONS = ("start", "resume", "hold", "finish", "suspend_all", "finish_held", "remove", "unfinish")
 
 
-def replay_work_events(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def next_status(action: str, task: str, active: str | None, known: dict[str, str]) -> tuple[str, str] | None:
+    """(task, new status) when the action is allowed, else None. Shared with the stream."""
+    now = known.get(task)
+    if action in OPENS:
+        ok = active is None and bool(task) and (action == "start" or now == "on_hold")
+        return (task, "active") if ok else None
+    if action in CLOSES:
+        return (active, CLOSES[action]) if active is not None else None
+    rules = {
+        "finish_held": (active is None and now == "on_hold", "completed"),
+        "remove": (now not in (None, "removed"), "removed"),
+        "unfinish": (now == "completed", "on_hold"),
+    }
+    ok, to = rules.get(action, (False, ""))
+    return (task, to) if ok else None
+
+
+def replay_work_events(events: DataFrame, local_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Final (work items, active sessions, history lines) after an event log, for all clients at once.
 
     events: client_idx, seq, ts, action, task_name, note.  A client has one active task; an
-    action whose precondition fails is ignored.  Every precondition reads two registers: the
-    client's active task and the task's status, each the last write before the event.  Both
-    are carried by chunked scans.  Whether a write counts depends on earlier ones, so the
-    replay starts by trusting every event and repeats with the events found invalid muted,
-    until nothing changes; each round settles at least one more event per client, and logs
-    written by a program settle at once.
+    action whose precondition fails is ignored.  Clients with at most `local_rows` events
+    stream through Arrow batches in seq order, with only the client's registers kept.
+    Larger ones are settled by chunked scans (`_settle_by_scans`).
     """
     base = events.withColumn("task", F.lower(blank("task_name"))).filter(F.col("action").isin(*ACTIONS))
+    sizes = base.groupBy("client_idx").count().filter(F.col("count") > local_rows).select("client_idx")
+    large = cut_lineage(sizes)
+    if large.isEmpty():
+        return _outcome(_settle_in_order(base))
+    small = _settle_in_order(base.join(large, "client_idx", "left_anti"))
+    big = _settle_by_scans(base.join(large, "client_idx", "left_semi"))
+    return _outcome(small.unionByName(big))
+
+
+JUDGED = ("item", "status", "to")
+
+
+def _settle_in_order(base: DataFrame) -> DataFrame:
+    """Valid events with the task they are about, its status before, and its new status."""
+    schema = ", ".join(f"{n} {t}" for n, t in base.dtypes) + ", item string, status string, to string"
+    names = base.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, active, known = None, None, {}
+        for pdf in batches:
+            keep, rows = [], []
+            for i, (c, action, task) in enumerate(zip(pdf.client_idx, pdf.action, pdf.task, strict=True)):
+                if c != client:
+                    client, active, known = c, None, {}
+                step = next_status(action, task, active, known)
+                if step is None:
+                    continue
+                item, to = step
+                keep.append(i)
+                rows.append((item, known.get(item), to))
+                known[item] = to
+                active = item if to == "active" else None if item == active else active
+            yield pdf[names].iloc[keep].assign(**{n: [r[j] for r in rows] for j, n in enumerate(JUDGED)})
+
+    return base.repartition("client_idx").sortWithinPartitions("client_idx", "seq").mapInPandas(run, schema)
+
+
+def _settle_by_scans(base: DataFrame) -> DataFrame:
+    """The same verdicts without walking a client's events one by one.
+
+    Every precondition reads two registers: the client's active task and the task's status,
+    each the last write before the event, carried by chunked scans.  Whether a write counts
+    depends on earlier ones, so the replay starts by trusting every event and repeats with
+    the invalid ones muted until nothing changes; each round settles at least one more event
+    per client.
+    """
     state = cut_lineage(base.withColumn("ok", F.lit(True)))
     while True:
-        judged = _registers(state)
-        nxt = judged.withColumn("now_ok", _allowed())
-        nxt = cut_lineage(nxt)
+        nxt = cut_lineage(_registers(state).withColumn("now_ok", _allowed()))
         if nxt.filter(F.col("now_ok") != F.col("ok")).isEmpty():
-            break
+            return nxt.filter("ok").select(*base.columns, *JUDGED)
         state = cut_lineage(nxt.select(*base.columns, F.col("now_ok").alias("ok")))
-    return _outcome(nxt.filter("ok"))
 
 
 def _registers(state: DataFrame) -> DataFrame:

@@ -13,27 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerloom.operators.worklog import next_status
+
 OUTPUT = "client_idx long, seq long, ts timestamp, task string, status string, note string"
 STATE = "active string, tasks array<string>, statuses array<string>, last_seq long, last_ts timestamp"
-OPENS, CLOSES = ("start", "resume"), {"hold": "on_hold", "finish": "completed", "suspend_all": "on_hold"}
-
-
-def _next_status(action: str, task: str, active: str | None, status: dict[str, str]) -> tuple[str, str] | None:
-    """(task, new status) when the action is allowed, else None."""
-    now = status.get(task)
-    if action in OPENS:
-        ok = active is None and bool(task) and (action == "start" or now == "on_hold")
-        return (task, "active") if ok else None
-    if action in CLOSES:
-        return (active, CLOSES[action]) if active is not None else None
-    rules = {
-        "finish_held": (active is None and now == "on_hold", "completed"),
-        "remove": (now not in (None, "removed"), "removed"),
-        "unfinish": (now == "completed", "on_hold"),
-    }
-    ok, to = rules.get(action, (False, ""))
-    return (task, to) if ok else None
-
 
 def _advance(timeout_ms: int):
     def run(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,7 +33,7 @@ def _advance(timeout_ms: int):
             # Only this batch's rows of one client are ever held here.
             rows = pd.concat(list(batches)).sort_values("seq")
             for r in rows.itertuples():
-                step = _next_status(r.action, (r.task_name or "").strip().lower(), active, status)
+                step = next_status(r.action, (r.task_name or "").strip().lower(), active, status)
                 seq, ts = int(r.seq), r.ts
                 if step is None:
                     continue
