@@ -16,6 +16,7 @@ from ledgerloom.functions.payroll_text import (
     payroll_detail,
     payroll_phrases,
     payroll_section,
+    payroll_tokens,
 )
 from ledgerloom.plans.ordered import Scan, block_of, number_rows, scan
 
@@ -129,16 +130,18 @@ def payroll_by_section(lines: DataFrame) -> DataFrame:
         F.max_by(money_parse("text"), F.when(salary_line, F.col("pos"))).alias("salary"),
         F.max_by("text", F.when(memo_line & ~salary_line, F.col("pos"))).alias("memo"),
     )
-    d, ph = payroll_detail(F.col("text")), payroll_phrases(F.col("text"))
     zero = F.lit(0).cast(MONEY)
-    counts = plain & ~salary_line & ~memo_line & (d["rate"].isNotNull() | F.col("text").rlike(DETAIL_WORDS))
-    rows = tagged.filter(F.col("name").isNotNull() & F.col("section").isNotNull()).select(
-        "doc_id", "name", "section", "pos", counts.alias("counts"),
-        *[v.alias(k) for k, v in d.items()], *[v.alias(k) for k, v in ph.items()],
-    )
-    total = lambda *cs: F.sum(F.when(F.col("counts"), sum((F.col(c) for c in cs[1:]), F.col(cs[0]))).otherwise(zero)).cast(MONEY)
+    line = plain & ~salary_line & ~memo_line
+    owned = tagged.filter(F.col("name").isNotNull() & F.col("section").isNotNull())
+    # Tokens first, then one struct per detail line: later columns only read fields of it.
+    staged = owned.select("doc_id", "name", "section", "pos", "text", F.when(line, payroll_tokens(F.col("text"))).alias("tok"))
+    fields = payroll_detail(F.col("text"), F.col("tok")) | payroll_phrases(F.col("text"))
+    counts = F.coalesce(F.try_element_at("tok", F.lit(1)).rlike(r"^\d{1,2}(\.\d{1,2})?$") | F.col("text").rlike(DETAIL_WORDS), F.lit(False))
+    detail = F.when(F.col("tok").isNotNull() & counts, F.struct(*[v.alias(k) for k, v in fields.items()]))
+    rows = staged.select("doc_id", "name", "section", "pos", detail.alias("d"))
+    total = lambda *cs: F.coalesce(F.sum(sum((F.col(f"d.{c}") for c in cs[1:]), F.col(f"d.{cs[0]}"))), zero).cast(MONEY)
     out = rows.groupBy("doc_id", "name", "section").agg(
-        F.min_by("rate", F.when(F.col("counts") & (F.col("rate") > 0), F.col("pos"))).alias("rate"),
+        F.min_by("d.rate", F.when(F.col("d.rate") > 0, F.col("pos"))).alias("rate"),
         total("reg").alias("reg"), total("over").alias("over"), total("double").alias("double"),
         total("tip").alias("tip"), total("advance", "extra_advance").alias("advance"),
         total("bonus").alias("bonus"), total("sick").alias("sick"),

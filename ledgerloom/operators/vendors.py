@@ -1,7 +1,7 @@
 """Vendor and account matching.
 
 "Contained in" joins are equi-joins: each distinct text emits its substrings of the
-lengths the dictionary holds, so no pair is looked at that does not match.  The
+beginnings and lengths the dictionary holds, so no pair is looked at that does not match.  The
 optimizer broadcasts the dictionary when its measured size allows and shuffles
 otherwise; matches are ranked by aggregation, which combines before the shuffle.
 """
@@ -19,7 +19,7 @@ from ledgerloom.operators.columns import payee_columns
 from ledgerloom.operators.similarity import ratio_candidates, sequence_ratio, token_set_candidates, token_set_score
 from ledgerloom.plans.ordered import first_per_key
 
-MAX_LENGTHS = 4096
+MAX_STARTS = 512
 
 
 def build_vendor_dict(vendors: DataFrame, order: str | None = None) -> DataFrame:
@@ -39,18 +39,35 @@ def build_vendor_dict(vendors: DataFrame, order: str | None = None) -> DataFrame
     return out.withColumn("norm_len", F.length("norm"))
 
 
-def _lengths(df: DataFrame, text: str) -> list[int] | None:
-    """Distinct text lengths; bounded by the longest text, None when there are very many."""
-    rows = df.select(F.length(text).alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()
-    return sorted(r["n"] for r in rows) if len(rows) <= MAX_LENGTHS else None
+def _starts(df: DataFrame, text: str) -> dict[str, list[int]] | None:
+    """Lengths per two-character beginning of the terms; None when there are many beginnings."""
+    rows = df.groupBy(F.substring(text, 1, 2).alias("p"), F.length(text).alias("n")).agg(F.lit(1)).limit(MAX_STARTS + 1).collect()
+    if len(rows) > MAX_STARTS:
+        return None
+    out: dict[str, list[int]] = {}
+    for r in rows:
+        out.setdefault(r["p"], []).append(r["n"])
+    return out
 
 
-def substrings(text: Column, lengths: Sequence[int] | None) -> Column:
-    """Distinct substrings of the given lengths (of every length when None)."""
+def substrings(text: Column, starts: dict[str, list[int]] | None) -> Column:
+    """Substrings that may be terms: at every position, the lengths its beginning allows.
+
+    Without a table of beginnings every substring is emitted, which stays exact for any
+    dictionary size.
+    """
     n = F.length(text)
-    sizes = F.sequence(F.lit(1), F.greatest(n, F.lit(1))) if lengths is None else F.array(*[F.lit(k) for k in lengths])
-    cut = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(text, i, k))
-    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda k: k <= n), cut)))
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    if starts is None:
+        cut = lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(text, i, k))
+        return F.flatten(F.transform(places, cut))
+    if not starts:
+        return F.array().cast("array<string>")
+    table = F.create_map(*[x for p, ks in starts.items() for x in (F.lit(p), F.array(*[F.lit(k) for k in sorted(ks)]))])
+    keyed = F.transform(places, lambda i: F.struct(i.alias("i"), F.try_element_at(table, F.substr(text, i, F.lit(2))).alias("ks")))
+    usable = F.filter(keyed, lambda s: s["ks"].isNotNull())
+    cut = lambda s: F.transform(F.filter(s["ks"], lambda k: s["i"] + k <= n + 1), lambda k: F.substr(text, s["i"], k))
+    return F.flatten(F.transform(usable, cut))
 
 
 def contained_pairs(
@@ -58,8 +75,10 @@ def contained_pairs(
 ) -> DataFrame:
     """Rows of (keys, text, every term column) for terms that occur inside the text."""
     probe = texts.select(*keys, text).distinct()
-    lengths = _lengths(terms, term)
-    exploded = probe.select(*keys, text, F.explode(substrings(F.col(text), lengths)).alias("__piece"))
+    starts = _starts(terms, term)
+    if starts is not None and any(len(p) < 2 for p in starts):
+        starts = None
+    exploded = probe.select(*keys, text, F.explode(substrings(F.col(text), starts)).alias("__piece"))
     return exploded.join(terms.withColumn("__piece", F.col(term)), [*keys, "__piece"]).drop("__piece")
 
 
