@@ -104,8 +104,8 @@ def normalize_clients(raw: DataFrame) -> DataFrame:
     people = F.concat(F.coalesce("relations", legacy, empty(person)), F.coalesce("officers", empty(person)))
     cols = {c: F.coalesce(F.col(c), F.lit("")) for c in schemas.CLIENT_TEXT}
     cols["id"] = blank("id")
-    cols["relations"] = F.transform(people, clean_person)
-    cols["employees"] = F.transform(F.coalesce("employees", empty(person)), clean_person)
+    cols["relations"] = F.transform(people, lambda r: clean_person(r))
+    cols["employees"] = F.transform(F.coalesce("employees", empty(person)), lambda r: clean_person(r))
     cols["logs"] = F.transform(
         F.coalesce("logs", empty(f"array<{schemas.LOG}>")),
         lambda x: F.struct(
