@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm import op5_winnowing as op5
+from ledgerloom.llm.op9_setsketch import op9_setsketch
 from ledgerloom.llm.op10_compression_bands import op10_compression_bands
 
+QUERIES = (op5.op5_winnowing, op9_setsketch, op10_compression_bands)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_compression_bands,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_winnowing": op5.ORACLE}
