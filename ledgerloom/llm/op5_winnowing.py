@@ -91,8 +91,8 @@ def find_candidates(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> Da
     return map_arrow(source, start, "row_id bigint, doc_id bigint, n_words bigint, found array<struct<start int, length int, fp bigint, gram string>>")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, map_bits: int = MAP_BITS) -> DataFrame:
-    """One row per document: words, hit words, items hit, and the digest of their ids."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, map_bits: int = MAP_BITS) -> DataFrame:
+    """One row per document: row_id (the scan's row number), words, hit words, items hit, and the digest of their ids."""
     windows = cut_lineage(test_windows(items, window))
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())
     bits = bitmap_of(windows.select(F.col("fp").bitwiseAND(map_bits - 1)), map_bits)
@@ -119,6 +119,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, map_b
         .join(n_hit, "row_id", "left")
         .join(by_row, "row_id", "left")
         .select(
+            "row_id",
             "doc_id",
             "n_words",
             F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
@@ -130,7 +131,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, map_b
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_id")
 
 
 ORACLE = r"""
