@@ -12,14 +12,15 @@ from ledgerloom.operators import calendar as cal
 from ledgerloom.operators import tasks as tk
 
 TODAY = dt.date(1998, 6, 17)
-FIRST, LAST = dt.date(1990, 1, 1), dt.date(2005, 12, 31)
+# Most tasks act up to three days ahead, some five, some half a year and some more than a year.
+LEAD_SQL = "CASE o_orderkey % 25 WHEN 7 THEN 120 WHEN 8 THEN 5 WHEN 9 THEN 400 ELSE o_orderkey % 4 END"
 
 HOLIDAY_SQL = """(month(d) = 1 AND day(d) = 1) OR (month(d) = 6 AND day(d) = 19) OR (month(d) = 7 AND day(d) = 4) OR (month(d) = 11 AND day(d) = 11) OR (month(d) = 12 AND day(d) = 25)
   OR (isodow(d) = 1 AND ((month(d) = 1 AND day(d) BETWEEN 15 AND 21) OR (month(d) = 2 AND day(d) BETWEEN 15 AND 21) OR (month(d) = 5 AND day(d) > 24) OR (month(d) = 9 AND day(d) <= 7) OR (month(d) = 10 AND day(d) BETWEEN 8 AND 14)))
   OR (isodow(d) = 4 AND month(d) = 11 AND day(d) BETWEEN 22 AND 28)"""
-CAL_SQL = f"""days AS (SELECT CAST(unnest(generate_series(DATE '1989-01-01', DATE '2006-12-31', INTERVAL 1 DAY)) AS DATE) AS d), cal0 AS (SELECT d, isodow(d) <= 5 AND NOT ({HOLIDAY_SQL}) AS bd FROM days),
+CAL_SQL = f"""days AS (SELECT CAST(unnest(generate_series(DATE '1985-01-01', DATE '2006-12-31', INTERVAL 1 DAY)) AS DATE) AS d), cal0 AS (SELECT d, isodow(d) <= 5 AND NOT ({HOLIDAY_SQL}) AS bd FROM days),
   cal AS (SELECT d, bd, CAST(sum(CASE WHEN bd THEN 1 ELSE 0 END) OVER (ORDER BY d) AS BIGINT) AS idx FROM cal0), bds AS (SELECT d AS bday, idx FROM cal WHERE bd)"""
-TASK_SQL = """t AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS start_on, o_orderpriority[1] AS p, CAST(o_orderkey % 31 + 1 AS INT) AS dom, CAST(o_orderkey % 13 + 5 AS INT) AS dom2, CAST(o_orderkey % 4 AS INT) AS lead,
+TASK_SQL = f"""t AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS start_on, o_orderpriority[1] AS p, CAST(o_orderkey % 31 + 1 AS INT) AS dom, CAST(o_orderkey % 13 + 5 AS INT) AS dom2, CAST({LEAD_SQL} AS INT) AS lead,
   o_orderkey % 9 = 0 AS paused, CAST(o_orderdate AS DATE) + 200 AS pause_from, CASE WHEN o_orderkey % 9 = 1 THEN CAST(o_orderdate AS DATE) + 400 END AS resume_from, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderdate AS DATE) + 900 END AS end_on, o_orderkey % 20 <> 0 AS enabled, o_orderkey FROM orders)"""
 
 
@@ -51,7 +52,7 @@ def task_table(spark, d, states: tuple[dt.date, dt.date] | None = None) -> DataF
         F.when(p == "4", F.weekday(day)).cast("int").alias("weekday"), day.alias("anchor_date"), F.array().cast("array<int>").alias("months"),
         day.alias("start_on"), F.lit(None).cast("date").alias("effective_from"), F.when(k % 6 == 0, F.date_add(day, 900)).alias("end_on"),
         F.date_add(day, 200).alias("pause_from"), F.when(k % 9 == 1, F.date_add(day, 400)).alias("resume_from"), (k % 9 == 0).alias("is_paused"),
-        (k % 20 != 0).alias("is_enabled"), F.lit(None).cast("date").alias("due"), (k % 4).cast("int").alias("action_lead_days"), F.lit("").alias("method"),
+        (k % 20 != 0).alias("is_enabled"), F.lit(None).cast("date").alias("due"), F.expr(LEAD_SQL).cast("int").alias("action_lead_days"), F.lit("").alias("method"),
         *[v.alias(c) for c, v in bags.items()],
     )
 
@@ -62,17 +63,17 @@ def task_table(spark, d, states: tuple[dt.date, dt.date] | None = None) -> DataF
 )
 def biz_calendar(spark, d):
     o = orders(spark, d).select("o_orderkey", "day")
-    return cal.roll_back(o, "day", "rolled", FIRST, LAST).select("o_orderkey", "rolled")
+    return cal.roll_back(o, "day", "rolled").select("o_orderkey", "rolled")
 
 
 @query(
     "shift_bd",
-    f"""WITH {CAL_SQL}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderkey % 21 - 10 AS n FROM orders)
+    f"""WITH {CAL_SQL}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 50 WHEN 1 THEN 400 WHEN 2 THEN -400 WHEN 3 THEN 120 ELSE o_orderkey % 21 - 10 END AS n FROM orders)
     SELECT o_orderkey, n, CASE WHEN n = 0 THEN day ELSE bday END AS shifted FROM o JOIN cal ON d = day JOIN bds b ON b.idx = cal.idx + n + CASE WHEN n < 0 AND NOT bd THEN 1 ELSE 0 END""",
 )
 def shift_bd(spark, d):
-    o = orders(spark, d).select("o_orderkey", "day", (F.col("o_orderkey") % 21 - 10).alias("n"))
-    return cal.shift_business_days(o, "day", "n", "shifted", FIRST, LAST).select("o_orderkey", "n", "shifted")
+    o = orders(spark, d).select("o_orderkey", "day", F.expr("CASE o_orderkey % 50 WHEN 1 THEN 400 WHEN 2 THEN -400 WHEN 3 THEN 120 ELSE o_orderkey % 21 - 10 END").alias("n"))
+    return cal.shift_business_days(o, "day", "n", "shifted").select("o_orderkey", "n", "shifted")
 
 
 @query("occurrences", f"WITH {occ_sql('1998-05-22', '1998-07-10')} SELECT id, orig, disp FROM occ")
@@ -109,7 +110,7 @@ def next_due(spark, d):
 @query(
     "todo_feed",
     f"""WITH {occ_sql('1998-05-31', '1998-07-04')}, {FEED_SQL} SELECT DISTINCT id, orig, disp, CASE WHEN cn THEN '×' WHEN dn THEN 'v' ELSE 'ㅁ' END AS mark,
-      CASE WHEN cn THEN 'done,cancelled' WHEN dn THEN 'done' WHEN id % 4 > 0 THEN 'todo,submission' WHEN disp <= DATE '1998-06-20' THEN 'todo,due' ELSE 'todo' END AS tags FROM (SELECT * FROM past UNION ALL SELECT * FROM nxt)""",
+      CASE WHEN cn THEN 'done,cancelled' WHEN dn THEN 'done' WHEN {LEAD_SQL.replace('o_orderkey', 'id')} > 0 THEN 'todo,submission' WHEN disp <= DATE '1998-06-20' THEN 'todo,due' ELSE 'todo' END AS tags FROM (SELECT * FROM past UNION ALL SELECT * FROM nxt)""",
 )
 def todo_feed(spark, d):
     tasks = task_table(spark, d, (dt.date(1998, 5, 1), dt.date(1998, 7, 31)))
@@ -132,7 +133,7 @@ def client_task_feed(spark, d):
 
 @query(
     "pause_start",
-    f"""WITH {occ_sql('1995-01-01', '2001-06-16')}, c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN DATE '1998-06-10' ELSE CAST(o_orderdate AS DATE) END AS since FROM orders)
+    f"""WITH {occ_sql('1995-01-01', '2003-12-31')}, c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN DATE '1998-06-10' ELSE CAST(o_orderdate AS DATE) END AS since FROM orders)
     SELECT c.id, min(orig) AS pause_from FROM c LEFT JOIN w ON w.id = c.id AND orig >= since GROUP BY c.id""",
 )
 def pause_start(spark, d):
@@ -172,7 +173,7 @@ def split_series(spark, d):
 
 @query(
     "occurrence_states",
-    f"""WITH {CAL_SQL}, o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderkey % 4 AS lead FROM orders), x AS (SELECT o.*, bday AS disp FROM o JOIN cal ON d = day JOIN bds b ON b.idx = cal.idx - lead)
+    f"""WITH {CAL_SQL}, o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, {LEAD_SQL} AS lead FROM orders), x AS (SELECT o.*, bday AS disp FROM o JOIN cal ON d = day JOIN bds b ON b.idx = cal.idx - lead)
     SELECT id, CASE WHEN id % 5 IN (1, 3) THEN CASE WHEN day = disp THEN CAST(day AS VARCHAR) ELSE least(day, disp) || ',' || greatest(day, disp) END ELSE '' END AS completed,
       CASE WHEN id % 5 = 2 THEN CASE WHEN day = disp THEN CAST(day AS VARCHAR) ELSE least(day, disp) || ',' || greatest(day, disp) END ELSE '' END AS cancelled FROM x""",
 )
@@ -183,7 +184,7 @@ def occurrence_states(spark, d):
     tasks = tasks.withColumn("completed", F.when(k.isin(0, 2, 4), F.array("start_on")).otherwise(F.array().cast("array<date>")))
     state = F.when(k == 0, "todo").when(k == 1, "done").when(k == 2, "cancel").otherwise("toggle_done")
     edits = tasks.select("id", F.col("start_on").alias("orig"), state.alias("state"))
-    out = tk.set_occurrence_state(tasks, edits, FIRST, LAST)
+    out = tk.set_occurrence_state(tasks, edits)
     text = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ",").alias(c)
     return out.select("id", text("completed"), text("cancelled"))
 
@@ -196,6 +197,6 @@ def occurrence_states(spark, d):
 )
 def task_overview(spark, d):
     tasks = task_table(spark, d)
-    out = tk.task_overview(tasks, TODAY, (FIRST, LAST))
+    out = tk.task_overview(tasks, TODAY)
     anchor = tasks.select("id", tk.default_anchor(F.col("freq"), TODAY).alias("anchor"))
     return out.join(anchor, "id").select("id", "state", "schedule", "kind_label", "anchor")

@@ -3,12 +3,31 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The most days a task may ask to act ahead, in business days.
-MAX_LEAD = 60
+#: Days of a calendar that is small enough to broadcast (about 500 years, 8 MB).
+BROADCAST_DAYS = 200_000
+
+
+@dataclass(frozen=True)
+class Span:
+    """First and last day of some data, and the most business days that any of it moves."""
+
+    first: dt.date
+    last: dt.date
+    reach: int = 0
+
+
+def span_of(df: DataFrame, day: str, steps: str | None = None) -> Span:
+    """The span of a frame's days and moves, by one aggregate; a frame without days has an empty one."""
+    far = F.max(F.abs(F.coalesce(F.col(steps), F.lit(0)))) if steps else F.lit(0)
+    low, high, reach = df.agg(F.min(day), F.max(day), far).first()
+    if low is None:
+        return Span(dt.date(1970, 1, 1), dt.date(1970, 1, 1))
+    return Span(low, high, int(reach or 0))
 
 
 def is_holiday(d: Column) -> Column:
@@ -42,22 +61,28 @@ def business_calendar(spark: SparkSession, start: dt.date, end: dt.date) -> Data
     )
 
 
-def _calendar_for(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
-    """Calendar wide enough to roll back from start by the largest lead; a few rows per year."""
-    wide = start - dt.timedelta(days=2 * MAX_LEAD + 30)
-    return F.broadcast(business_calendar(spark, wide, end + dt.timedelta(days=2 * MAX_LEAD + 30)))
+def _calendar_for(spark: SparkSession, span: Span) -> DataFrame:
+    """Calendar that holds every move of the span: 5 days of 7 are open but for 11 holidays a year."""
+    wide = dt.timedelta(days=span.reach * 3 // 2 + 30)
+    first = span.first - min(wide, span.first - dt.date.min)
+    last = span.last + min(wide, dt.date.max - span.last)
+    days = business_calendar(spark, first, last)
+    return F.broadcast(days) if (last - first).days <= BROADCAST_DAYS else days
 
 
-def roll_back(df: DataFrame, day: str, out: str, start: dt.date, end: dt.date) -> DataFrame:
-    """Add the business day on or before `day`; days must lie in [start, end]."""
-    cal = _calendar_for(df.sparkSession, start, end).select(F.col("day").alias(day), F.col("bd").alias(out))
+def roll_back(df: DataFrame, day: str, out: str, span: Span | None = None) -> DataFrame:
+    """Add the business day on or before `day`. The span is taken from the data unless the caller knows it."""
+    cal = _calendar_for(df.sparkSession, span or span_of(df, day)).select(F.col("day").alias(day), F.col("bd").alias(out))
     return df.join(cal, day, "left")
 
 
-def shift_business_days(df: DataFrame, day: str, n: str | int, out: str, start: dt.date, end: dt.date) -> DataFrame:
+def shift_business_days(df: DataFrame, day: str, n: str | int, out: str, span: Span | None = None) -> DataFrame:
     """Move `day` by n business days either way; n = 0 leaves it where it is."""
-    cal = _calendar_for(df.sparkSession, start, end)
-    steps = F.lit(n) if isinstance(n, int) else F.col(n)
+    if isinstance(n, int):
+        df = df.withColumn("__n", F.lit(n))
+        return shift_business_days(df, day, "__n", out, span).drop("__n")
+    cal = _calendar_for(df.sparkSession, span or span_of(df, day, n))
+    steps = F.col(n)
     at = cal.select(F.col("day").alias(day), F.col("idx").alias("__i"), F.col("bd").alias("__bd"))
     # Backward from a closed day, its last business day is already the first step.
     back = F.col("__i") + steps + F.when((steps < 0) & (F.col("__bd") < F.col(day)), 1).otherwise(0)
@@ -66,9 +91,9 @@ def shift_business_days(df: DataFrame, day: str, n: str | int, out: str, start:
     return moved.withColumn(out, F.when(steps == 0, F.col(day)).otherwise(F.col("__out"))).drop("__i", "__bd", "__to", "__out")
 
 
-def display_date(df: DataFrame, day: str, lead: str, out: str, start: dt.date, end: dt.date) -> DataFrame:
+def display_date(df: DataFrame, day: str, lead: str, out: str, span: Span | None = None) -> DataFrame:
     """Roll `day` back to a business day, then `lead` business days earlier. Two calendar lookups."""
-    cal = _calendar_for(df.sparkSession, start, end)
+    cal = _calendar_for(df.sparkSession, span or span_of(df, day, lead))
     at = cal.select(F.col("day").alias(day), F.col("idx").alias("__i"))
     to = cal.filter(F.col("day") == F.col("bd")).select(F.col("idx").alias("__to"), F.col("bd").alias(out))
     ahead = F.greatest(F.coalesce(F.col(lead), F.lit(0)), F.lit(0))

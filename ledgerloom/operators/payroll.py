@@ -18,7 +18,7 @@ from ledgerloom.functions.payroll_text import (
     payroll_section,
     payroll_tokens,
 )
-from ledgerloom.plans.ordered import Scan, block_of, number_rows, scan
+from ledgerloom.plans.ordered import Scan, number_rows, scan, spread_of
 
 NUMERIC_LINE = r"^\d+(?:\.\d{2})?$"
 DATE_LINE = r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$"
@@ -30,7 +30,7 @@ DETAIL_WORDS = r"\$|보너스|빌려간돈|빼고"
 
 def carry_forward(lines: DataFrame, values: dict[str, Column], keys: tuple[str, ...] = ("doc_id",), order: str = "pos") -> DataFrame:
     """Carry each column's last non-null value down the lines of a document."""
-    return scan(lines, list(keys), [order], [block_of(order)], {n: Scan("last", v) for n, v in values.items()})
+    return scan(lines, list(keys), [order], [spread_of(order)], {n: Scan("last", v) for n, v in values.items()})
 
 
 def employee_lines(lines: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def hours_summary(lines: DataFrame) -> DataFrame:
     """REG, OVER, DOUBLE, TOTAL from the last six numbers of each employee block, and their check."""
     nums = employee_lines(lines).filter(F.col("text").rlike(NUMERIC_LINE))
     back = nums.withColumn("__back", -F.col("pos"))
-    ranked = number_rows(back, ["doc_id", "block", "employee"], ["__back"], [block_of("__back")], "rn").filter("rn <= 6")
+    ranked = number_rows(back, ["doc_id", "block", "employee"], ["__back"], [spread_of("__back")], "rn").filter("rn <= 6")
     at = lambda i: F.max(F.when(F.col("rn") == i, F.col("text").cast(MONEY)))
     out = ranked.groupBy("doc_id", "block", "employee").agg(
         F.count("*").alias("__n"), at(4).alias("reg"), at(3).alias("over"), at(2).alias("double"), at(1).alias("total")
@@ -57,7 +57,7 @@ def hours_summary(lines: DataFrame) -> DataFrame:
 def punch_stamps(lines: DataFrame) -> DataFrame:
     """(doc_id, block, employee, ts): a date line directly followed by a time line."""
     rows = scan(
-        employee_lines(lines), ["doc_id", "block"], ["pos"], [block_of("pos")], {"__p": Scan("prev_last", F.struct("pos", "text"))}
+        employee_lines(lines), ["doc_id", "block"], ["pos"], [spread_of("pos")], {"__p": Scan("prev_last", F.struct("pos", "text"))}
     )
     pair = rows.filter(F.col("text").rlike(TIME_LINE) & F.col("__p.text").rlike(DATE_LINE) & (F.col("__p.pos") == F.col("pos") - 1))
     d = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$"
@@ -91,7 +91,7 @@ def threshold_days(lines: DataFrame, hours: float) -> DataFrame:
     rows = employee_lines(lines)
     number = F.when(F.col("text").rlike(NUMERIC_LINE), F.col("text").cast(MONEY))
     run = scan(
-        rows.withColumn("v", number), ["doc_id", "block", "employee"], ["pos"], [block_of("pos")],
+        rows.withColumn("v", number), ["doc_id", "block", "employee"], ["pos"], [spread_of("pos")],
         {"run": Scan("sum", F.when(F.col("v").isNull(), 1).otherwise(0))},
     )
     spread = run.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("start", F.col("pos") - F.col("off"))

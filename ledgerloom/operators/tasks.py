@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.dates import clamp_day, next_monthly, next_quarterly, next_semi_monthly
 from ledgerloom.functions.labels import DUE_WITHIN_DAYS, SUBMISSION_METHODS, occurrence_tags
 from ledgerloom.functions.text import blank
-from ledgerloom.operators.calendar import display_date
+from ledgerloom.operators.calendar import Span, display_date
 from ledgerloom.plans.ordered import first_per_key
 
 PAST_DAYS, FUTURE_DAYS, PAST_CHUNK = 7, 7, 90
@@ -77,7 +77,8 @@ def expand_occurrences(
     lo, hi = start - dt.timedelta(days=buffer), end + dt.timedelta(days=buffer)
     days = F.filter(F.sequence(F.lit(lo), F.lit(hi)), occurs_on)
     rows = tasks.withColumn("orig", F.explode(days))
-    rows = display_date(rows, "orig", "action_lead_days", "disp", lo, hi)
+    far = tasks.agg(F.max("action_lead_days")).first()[0] or 0
+    rows = display_date(rows, "orig", "action_lead_days", "disp", Span(lo, hi, max(0, far)))
     none = F.array().cast("array<date>")
 
     def held(col: str) -> Column:
@@ -123,7 +124,7 @@ def pause_start(today: dt.date) -> Column:
     )
     since = F.coalesce(F.date_add(closed, 1), F.col("start_on"), t)
     day = next_occurrence(since)
-    return F.when((_freq() != "one-off") & (day <= F.date_add(t, 365 * 3)), day)
+    return F.when(_freq() != "one-off", day)
 
 
 def next_occurrences(occ: DataFrame, today: dt.date, end: dt.date, key: str = "id") -> DataFrame:
@@ -296,7 +297,7 @@ def split_series(tasks: DataFrame, edits: DataFrame) -> DataFrame:
     return out.select(F.explode(rows).alias("t")).select("t.*")
 
 
-def set_occurrence_state(tasks: DataFrame, edits: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+def set_occurrence_state(tasks: DataFrame, edits: DataFrame) -> DataFrame:
     """Apply (id, orig, state) with state todo | done | cancel | toggle_done | toggle_cancel.
 
     One edit per (task, day); days of a task are applied together because they touch
@@ -304,7 +305,7 @@ def set_occurrence_state(tasks: DataFrame, edits: DataFrame, start: dt.date, end
     """
     none = F.array().cast("array<date>")
     lead = tasks.select("id", "action_lead_days", "completed", "cancelled")
-    day = display_date(edits.join(lead, "id"), "orig", "action_lead_days", "disp", start, end)
+    day = display_date(edits.join(lead, "id"), "orig", "action_lead_days", "disp")
     both = F.array_distinct(F.array("orig", "disp"))
     in_bag = lambda c: F.arrays_overlap(F.coalesce(F.col(c), none), F.array("orig", "disp"))
     state = (
@@ -342,11 +343,10 @@ def default_anchor(freq: Column, today: dt.date) -> Column:
     )
 
 
-def task_overview(tasks: DataFrame, today: dt.date, horizon: tuple[dt.date, dt.date], legacy: bool = False) -> DataFrame:
+def task_overview(tasks: DataFrame, today: dt.date, legacy: bool = False) -> DataFrame:
     """One row per series: schedule label, state and due or next date.
 
-    `horizon` bounds the due dates whose display date is looked up.  `legacy` takes the
-    first date after the start instead of after today for monthly kinds.
+    `legacy` takes the first date after the start instead of after today for monthly kinds.
     """
     t = F.lit(today)
     start = F.coalesce("start_on", t)
@@ -360,7 +360,7 @@ def task_overview(tasks: DataFrame, today: dt.date, horizon: tuple[dt.date, dt.d
     stopped = F.coalesce(F.col("end_on") < t, F.lit(False))
     due = F.when(_freq() == "one-off", F.col("due")).when(~stopped, F.coalesce(regular, F.col("due")))
     rows = tasks.withColumn("next_due", due).withColumn("__stopped", stopped)
-    rows = display_date(rows, "next_due", "action_lead_days", "__disp", *horizon)
+    rows = display_date(rows, "next_due", "action_lead_days", "__disp")
     none = F.array().cast("array<date>")
     held = lambda c: F.coalesce(F.arrays_overlap(F.coalesce(F.col(c), none), F.array("next_due", "__disp")), F.lit(False))
     late = F.coalesce(F.col("next_due") < t, F.lit(False))

@@ -1,9 +1,9 @@
 """Vendor and account matching.
 
-"Contained in" joins are equi-joins: each distinct text emits its substrings of the
-beginnings and lengths the dictionary holds, so no pair is looked at that does not match.  The
-optimizer broadcasts the dictionary when its measured size allows and shuffles
-otherwise; matches are ranked by aggregation, which combines before the shuffle.
+"Contained in" joins are equi-joins: each term is keyed by the three letters of it that the
+fewest terms hold, each distinct text emits its runs of three letters once, and a pair that
+meets is checked.  The optimizer broadcasts the dictionary when its measured size allows and
+shuffles otherwise; matches are ranked by aggregation, which combines before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from ledgerloom.functions.text import compact, month_year_from_name, normalize_v
 from ledgerloom.operators.columns import payee_columns
 from ledgerloom.operators.similarity import ratio_candidates, sequence_ratio, token_set_candidates, token_set_score
 from ledgerloom.plans.ordered import first_per_key
+from ledgerloom.plans.session import cut_lineage
 
-MAX_STARTS = 512
+#: Letters of the runs that texts and terms meet by; a shorter term is its own key.
+RUN = 3
 
 
 def build_vendor_dict(vendors: DataFrame, order: str | None = None) -> DataFrame:
@@ -39,47 +41,32 @@ def build_vendor_dict(vendors: DataFrame, order: str | None = None) -> DataFrame
     return out.withColumn("norm_len", F.length("norm"))
 
 
-def _starts(df: DataFrame, text: str) -> dict[str, list[int]] | None:
-    """Lengths per two-character beginning of the terms; None when there are many beginnings."""
-    rows = df.groupBy(F.substring(text, 1, 2).alias("p"), F.length(text).alias("n")).agg(F.lit(1)).limit(MAX_STARTS + 1).collect()
-    if len(rows) > MAX_STARTS:
-        return None
-    out: dict[str, list[int]] = {}
-    for r in rows:
-        out.setdefault(r["p"], []).append(r["n"])
-    return out
-
+def _runs(text: Column, k: int) -> Column:
+    """Distinct runs of k characters."""
+    n = F.length(text)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(k)))
+    return F.when(n >= k, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
-def substrings(text: Column, starts: dict[str, list[int]] | None) -> Column:
-    """Substrings that may be terms: at every position, the lengths its beginning allows.
 
-    Without a table of beginnings every substring is emitted, which stays exact for any
-    dictionary size.
-    """
-    n = F.length(text)
-    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    if starts is None:
-        cut = lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(text, i, k))
-        return F.flatten(F.transform(places, cut))
-    if not starts:
-        return F.array().cast("array<string>")
-    table = F.create_map(*[x for p, ks in starts.items() for x in (F.lit(p), F.array(*[F.lit(k) for k in sorted(ks)]))])
-    keyed = F.transform(places, lambda i: F.struct(i.alias("i"), F.try_element_at(table, F.substr(text, i, F.lit(2))).alias("ks")))
-    usable = F.filter(keyed, lambda s: s["ks"].isNotNull())
-    cut = lambda s: F.transform(F.filter(s["ks"], lambda k: s["i"] + k <= n + 1), lambda k: F.substr(text, s["i"], k))
-    return F.flatten(F.transform(usable, cut))
+def term_keys(terms: DataFrame, term: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, term, __run): the run of each distinct term that the fewest terms hold."""
+    size = F.least(F.length(term), F.lit(RUN))
+    by_size = [F.when(size == k, _runs(F.col(term), k)) for k in range(1, RUN + 1)]
+    pieces = terms.filter(F.length(term) > 0).select(*keys, term).distinct().select(*keys, term, F.explode(F.coalesce(*by_size)).alias("__run"))
+    held = pieces.groupBy("__run").agg(F.count("*").alias("__held"))
+    return pieces.join(held, "__run").groupBy(*keys, term).agg(F.min(F.struct("__held", "__run"))["__run"].alias("__run"))
 
 
 def contained_pairs(
     texts: DataFrame, text: str, terms: DataFrame, term: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows of (keys, text, every term column) for terms that occur inside the text."""
-    probe = texts.select(*keys, text).distinct()
-    starts = _starts(terms, term)
-    if starts is not None and any(len(p) < 2 for p in starts):
-        starts = None
-    exploded = probe.select(*keys, text, F.explode(substrings(F.col(text), starts)).alias("__piece"))
-    return exploded.join(terms.withColumn("__piece", F.col(term)), [*keys, "__piece"]).drop("__piece")
+    """Rows of (keys, text, every term column) for terms that occur inside the text; empty terms are inside none."""
+    keyed = cut_lineage(term_keys(terms, term, keys))
+    sizes = sorted(r[0] for r in keyed.select(F.length("__run")).distinct().collect())
+    runs = F.flatten(F.array(*[_runs(F.col(text), k) for k in sizes])) if sizes else F.array().cast("array<string>")
+    probe = texts.select(*keys, text).distinct().select(*keys, text, F.explode(runs).alias("__run"))
+    met = probe.join(keyed, [*keys, "__run"]).filter(F.contains(F.col(text), F.col(term))).drop("__run")
+    return met.join(terms, [*keys, term])
 
 
 def match_rules(tx: DataFrame, rules: DataFrame, text: str = "description", keys: Sequence[str] = ()) -> DataFrame:

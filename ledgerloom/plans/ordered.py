@@ -3,10 +3,12 @@
 A plain ``Window.partitionBy(key).orderBy(...)`` sends a whole group to one task.
 These scans split every group into order-consistent chunks, run the window inside
 each chunk, scan the much smaller table of chunk totals, and add the carried value
-back.  The big table is shuffled once, by (key, chunk).
+back.  The input is written once, so chained scans do not recompute it, and the big
+table is shuffled once, by (key, chunk).
 
 `chunk` is a list of columns that is a prefix of the order (or a block of it), so
-chunk order equals row order.  `block_of` builds one from a dense ordinal.
+chunk order equals row order.  `block_of` builds one from a dense ordinal, `spread_of`
+one from an ordinal with gaps, whose width per key follows from its range and count.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.session import cut_lineage
+
 CHUNK_ROWS = 1 << 18
 
 
@@ -34,6 +38,30 @@ def block_of(ordinal: str | Column, size: int = CHUNK_ROWS) -> Column:
     return F.floor(col / F.lit(size))
 
 
+@dataclass(frozen=True)
+class Spread:
+    """A chunk column still to be made from an ordinal with gaps; see `spread_of`."""
+
+    ordinal: str
+    size: int = CHUNK_ROWS
+
+
+def spread_of(ordinal: str, size: int = CHUNK_ROWS) -> Spread:
+    """Order-consistent chunks of about `size` rows of a numeric ordinal with gaps, by key."""
+    return Spread(ordinal, size)
+
+
+def _spread(df: DataFrame, keys: Sequence[str], spread: Spread, name: str) -> DataFrame:
+    """Add the chunk number of a spread ordinal: equal slices of each key's range, as many as its rows ask for."""
+    value = F.col(spread.ordinal)
+    stats = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count("*").alias("__n"))
+    # rows with a null key find no range and form one chunk
+    joined = df.join(stats, list(keys), "left")
+    width = F.greatest(F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.ceil(F.col("__n") / spread.size)), F.lit(1))
+    chunk = F.coalesce(F.floor((value - F.col("__lo")) / width), F.lit(-1)).cast("bigint")
+    return joined.withColumn(name, chunk).drop("__lo", "__hi", "__n")
+
+
 def _local(spec: Scan, value: Column, base) -> Column:
     upto = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = base.rowsBetween(Window.unboundedPreceding, -1)
@@ -60,13 +88,15 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Sequence[Column] | None,
+    chunk: Sequence[Column | Spread] | None,
     specs: dict[str, Scan],
+    written: bool = False,
 ) -> DataFrame:
     """Add one column per spec: a running value over (keys ORDER BY order).
 
     `order` must be unique inside a key and hold no nulls. With ``chunk=None`` the
-    caller vouches that groups are small and a plain window is used.
+    caller vouches that groups are small and a plain window is used; `written` says
+    that `df` is read from a table and need not be written again.
     """
     keys = list(keys)
     values = {name: F.col(f"__v_{name}") for name in specs}
@@ -81,7 +111,9 @@ def scan(
         return work.drop(*drop)
 
     ck = [f"__c{i}" for i in range(len(chunk))]
-    work = work.select("*", *[c.alias(n) for n, c in zip(ck, chunk, strict=True)])
+    work = work if written else cut_lineage(work)
+    for n, c in zip(ck, chunk, strict=True):
+        work = _spread(work, keys, c, n) if isinstance(c, Spread) else work.withColumn(n, c)
     base = Window.partitionBy(*keys, *ck).orderBy(*order)
     local = work
     for name, spec in specs.items():
@@ -119,10 +151,10 @@ def scan(
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Sequence[Column] | None, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Sequence[Column | Spread] | None, name: str, written: bool = False
 ) -> DataFrame:
     """`row_number()` over (keys ORDER BY order) on split groups."""
-    out = scan(df, keys, order, chunk, {name: Scan("sum", F.lit(1))})
+    out = scan(df, keys, order, chunk, {name: Scan("sum", F.lit(1))}, written)
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import os
 import sys
 import time
 from pathlib import Path
@@ -67,7 +68,7 @@ def main() -> int:
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     queries, oracles = all_queries(), all_oracles()
     names = args[1:] or list(queries)
-    spark, con = local_session(8), connect(sf_dir)
+    spark, con = local_session(int(os.environ.get("CORES", "8"))), connect(sf_dir)
     bad = 0
     for name in names:
         t = time.time()
