@@ -25,14 +25,14 @@ def transactions(spark, d) -> DataFrame:
 
 
 def vendor_sheet(spark, d) -> DataFrame:
-    """Vendor rows from part names; two thirds of the names, with one alias each."""
+    """Vendor rows from all part names, with one alias each."""
     p = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("row_no"))
     alias = F.concat(F.element_at(F.split("p_name", " "), 2), F.lit(" Inc; "), F.lit(""))
-    return p.filter(F.col("row_no") % 3 != 0).select(F.col("p_name").alias("Vendor"), alias.alias("Aliases"), "row_no")
+    return p.select(F.col("p_name").alias("Vendor"), alias.alias("Aliases"), "row_no")
 
 
-VENDORS_SQL = """SELECT p_name AS vendor, upper(p_name) AS norm, row_no, p_name AS synonym FROM (SELECT p_name, min(p_partkey) AS row_no FROM part GROUP BY p_name) WHERE row_no % 3 <> 0
-  UNION ALL SELECT p_name, upper(string_split(p_name, ' ')[2]), row_no, string_split(p_name, ' ')[2] || ' Inc' FROM (SELECT p_name, min(p_partkey) AS row_no FROM part GROUP BY p_name) WHERE row_no % 3 <> 0"""
+VENDORS_SQL = """SELECT p_name AS vendor, upper(p_name) AS norm, row_no, p_name AS synonym FROM (SELECT p_name, min(p_partkey) AS row_no FROM part GROUP BY p_name)
+  UNION ALL SELECT p_name, upper(string_split(p_name, ' ')[2]), row_no, string_split(p_name, ' ')[2] || ' Inc' FROM (SELECT p_name, min(p_partkey) AS row_no FROM part GROUP BY p_name)"""
 CONTAINS_SQL = f"""SELECT norm_text, arg_min(vendor, (-length(norm), row_no, synonym)) AS vendor FROM
   (SELECT DISTINCT {norm_sql('description')} AS norm_text FROM ({TX_SQL})) t JOIN ({VENDORS_SQL}) v ON contains(norm_text, norm) GROUP BY norm_text"""
 
@@ -114,7 +114,7 @@ def vendor_precedence(spark, d):
 def vendor_fuzzy(spark, d):
     """Edited part names against the dictionary; tested against brute force on a fixture."""
     p = table(spark, d, "part")
-    edited = F.concat(F.upper(F.substring("p_name", 1, 3)), F.lit("X"), F.upper(F.substring("p_name", 4, 40)), F.lit(" "), F.upper(F.right("p_brand", F.lit(2))))
+    edited = F.concat(F.upper(F.substring("p_name", 1, 3)), F.lit("X"), F.upper(F.expr("substring(p_name, 4)")), F.lit(" "), F.upper(F.right("p_brand", F.lit(2))))
     texts = p.select(edited.alias("norm_text")).distinct()
     return vd.match_vendor_fuzzy(texts, vd.build_vendor_dict(vendor_sheet(spark, d), "row_no"))
 

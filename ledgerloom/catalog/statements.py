@@ -256,7 +256,7 @@ def classify_statements(spark, d):
     for i, name in enumerate(names):
         lead = F.when(k == i, name).otherwise(lead)
     docs = table(spark, d, "documents").select("doc_id", F.concat(lead, F.col("text")).alias("text"))
-    return st.classify_document(docs, sample=None).select("doc_id", "profile")
+    return st.classify_document(docs).select("doc_id", "profile")
 
 
 @query(

@@ -116,9 +116,13 @@ def add_missing_back_links(edges: DataFrame, clients: DataFrame) -> DataFrame:
     return edges.unionByName(_edges_to(missing_back_links(edges), _node(clients)), allowMissingColumns=True)
 
 
-def drop_one_way_links(edges: DataFrame) -> DataFrame:
-    """Remove edges to known clients that do not link back; unknown targets and self-links stay."""
-    lone = _one_way(edges).select("src", "dst").distinct()
+def drop_one_way_links(edges: DataFrame, clients: DataFrame) -> DataFrame:
+    """Remove edges to known clients that do not link back; unknown targets and self-links stay.
+
+    A client without id, EIN and SSN cannot be linked back, so its edges stay too.
+    """
+    named = _node(clients).filter("uid != ''").select(F.col("client_idx").alias("src"))
+    lone = _one_way(edges).select("src", "dst").distinct().join(named, "src", "left_semi")
     return edges.join(lone, ["src", "dst"], "left_anti")
 
 

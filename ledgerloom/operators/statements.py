@@ -39,17 +39,9 @@ def text_to_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return out.select("doc_id", *others, "__line.line_no", "pos", "__line.text")
 
 
-def classify_document(
-    docs: DataFrame, sample: tuple[int, int] | None = (12000, 3000), file_name: str | None = None
-) -> DataFrame:
-    """Add `profile`: issuer words decide, most specific first; file-name hints come last.
-
-    `sample` limits the search to the head and tail of the text; None reads all of it.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    if sample:
-        text = F.concat(F.substring(text, 1, sample[0]), F.lit(" "), F.right(text, F.lit(sample[1])))
-    low = F.lower(text)
+def classify_document(docs: DataFrame, file_name: str | None = None) -> DataFrame:
+    """Add `profile`: issuer words in the whole text decide, most specific first; file-name hints come last."""
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     name = F.lower(blank(file_name)) if file_name else F.lit("")
 
     def hit(word: str) -> Column:
@@ -144,7 +136,8 @@ def assemble_blocks(marked: DataFrame, start: Column | None = None) -> DataFrame
     """Records that begin at their date (or check-number) line and end at their amount.
 
     Lines after the amount belong to the record only under layouts with a trailing
-    description.  Records without an amount are dropped before anything is collected.
+    description.  Records without an amount are dropped before anything is collected, so a
+    date that no amount follows does not gather the rest of its document.
     """
     begin = F.col("is_start") if start is None else start
     boundary = begin | F.col("mk_section").isNotNull()
@@ -169,6 +162,7 @@ def assemble_blocks(marked: DataFrame, start: Column | None = None) -> DataFrame
     in_section = (F.col("section") != "") | ~_needs("needs_section")
     open_row = begin | (F.col("before") == "open") | (_needs("tail") & (F.col("before") == "closed"))
     rows = found.filter(~F.col("is_noise") & F.col("mk_section").isNull() & in_section & F.coalesce(open_row, F.lit(False)))
+    rows = rows.join(rows.filter("is_amount").select("doc_id", "block").distinct(), ["doc_id", "block"], "left_semi")
     inside = ~begin & ~F.col("is_amount")
     printed_ref = F.col("is_ref") & _needs("ref_ends")
     line = F.struct("pos", "text")
@@ -409,9 +403,13 @@ def summary_counts(lines: DataFrame) -> DataFrame:
     return rows.select("doc_id", *[count_of(n) for n in ("n_customer", "n_other_dep", "n_other_wdr", "n_checks")])
 
 
-def statement_period(lines: DataFrame, year_max: int = 2035, head: int = 80) -> DataFrame:
-    """(start_month, start_year, end_month, end_year, end_date) per document by pattern priority."""
-    top = lines.filter(F.col("line_no") < head).groupBy("doc_id").agg(
+def statement_period(lines: DataFrame, year_max: int = 2035) -> DataFrame:
+    """(start_month, start_year, end_month, end_year, end_date) per document by pattern priority.
+
+    Dates may be printed over two lines, so a document's lines are put together again; that is
+    no more than the row its text came in.
+    """
+    top = lines.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows")
     )
     top = top.select("doc_id", F.array_join(F.transform("rows", lambda r: r["text"]), " ").alias("head"))

@@ -12,7 +12,7 @@ from ledgerloom.functions.text import blank, person_name, present
 from ledgerloom.operators.checklist import normalize_cell
 from ledgerloom.operators.entities import dedupe_managers
 from ledgerloom.operators.statements import text_to_lines
-from ledgerloom.plans.ordered import first_per_key
+from ledgerloom.plans.ordered import first_per_key, number_rows
 from ledgerloom.sources import schemas
 
 
@@ -120,11 +120,17 @@ def normalize_clients(raw: DataFrame) -> DataFrame:
     return raw.withColumns(cols).drop("owner", "officers")
 
 
+def with_position(raw: DataFrame, name: str) -> DataFrame:
+    """Add the row's position, from 0, in path order and then file order; `raw` is a file scan."""
+    seated = raw.select("*", F.lit(0).alias("__g"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__seq"))
+    placed = number_rows(seated, ["__g"], ["__file", "__at", "__seq"], [F.col("__file"), F.col("__at")], name)
+    return placed.withColumn(name, F.col(name) - 1).drop("__g", "__file", "__at", "__seq")
+
+
 def read_clients(spark: SparkSession, path: str) -> DataFrame:
-    """Client book: a JSON list or JSON lines; client_idx is the position in the source order."""
+    """Client book, a JSON list per file; client_idx is the position over all files in path order."""
     raw = spark.read.schema(schemas.CLIENTS).json(path, multiLine=True)
-    # One array element is one row; ids grow in file order, which is all first-wins rules need.
-    return normalize_clients(raw.withColumn("client_idx", F.monotonically_increasing_id()))
+    return normalize_clients(with_position(raw, "client_idx"))
 
 
 def type_tasks(raw: DataFrame, clients: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgerloom.operators.graph import drop_one_way_links, edges_to_relations, e
 from ledgerloom.operators.merges import merge_clients, merge_files, merge_managers, merge_tasks
 from ledgerloom.operators.vendors import shape_output
 from ledgerloom.operators.wages import wage_layout
+from ledgerloom.plans.session import cut_lineage
 
 BUNDLE_PARTS = ("clients", "account_managers", "tasks", "monthly_state", "match_rules", "vendor_lists")
 
@@ -76,15 +77,16 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def write_clients(clients: DataFrame, path: str) -> dict[str, int]:
     """Commit the book: one-way links dropped, derived fields removed, counts checked on read-back."""
-    edges = drop_one_way_links(explode_edges(clients))
+    edges = drop_one_way_links(explode_edges(clients), clients)
     relations = edges_to_relations(edges).withColumnRenamed("relations", "__rel")
     body = clients.join(relations, "client_idx", "left")
-    kept = body.drop("relations", "emails", "phones", "post_save_links").withColumnRenamed("__rel", "relations")
-    kept.write.mode("overwrite").json(path)
+    # written once beforehand: the book may have been read from the very path it goes to
+    kept = cut_lineage(body.drop("relations", "emails", "phones", "post_save_links").withColumnRenamed("__rel", "relations"))
     size = F.coalesce(F.sum(F.coalesce(F.size("relations"), F.lit(0))), F.lit(0))
+    want = kept.agg(F.count("*").alias("clients"), size.alias("relations")).first()
+    kept.write.mode("overwrite").json(path)
     found = clients.sparkSession.read.schema(kept.schema).json(path).agg(F.count("*").alias("clients"), size.alias("relations")).first()
-    want = clients.agg(F.count("*").alias("clients")).first()["clients"], edges.count()
-    if (found["clients"], found["relations"]) != want:
+    if found != want:
         raise OSError(f"read-back of {path} holds {tuple(found)}, expected {want}")
     return found.asDict()
 

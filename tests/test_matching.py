@@ -53,3 +53,13 @@ def test_contains_is_exact_with_and_without_the_table(spark):
         keep = {r.y for r in part.collect()}
         got = {(r.x, r.y) for r in vd.contained_pairs(left, "x", part, "y").collect()}
         assert got == {p for p in want if p[1] in keep}
+
+
+def test_contains_with_a_large_dictionary(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 7)))
+    terms = sorted({f"{word()} {word()}" for _ in range(10_000)} | {"a", "bc", ""})
+    texts = [f"{word()} {rng.choice(terms)} {word()}" for _ in range(300)]
+    left, right = spark.createDataFrame([(x,) for x in texts], "x string"), spark.createDataFrame([(y,) for y in terms], "y string")
+    got = {(r.x, r.y) for r in vd.contained_pairs(left, "x", right, "y").collect()}
+    assert got == {(x, y) for x in texts for y in terms if y and y in x}

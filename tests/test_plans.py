@@ -33,3 +33,22 @@ def test_number_rows_and_first_per_key(spark):
     assert all(r.n == r.i // 3 + 1 for r in ranks)
     assert {(r.k, r.i) for r in first_per_key(df, ["k"], ["i"]).collect()} == {(0, 0), (1, 1), (2, 2)}
     assert {(r.k, r.i) for r in first_per_key(df, ["k"], ["i"], last=True).collect()} == {(0, 99), (1, 97), (2, 98)}
+
+
+def test_gaps_and_one_large_key_still_make_bounded_chunks(spark):
+    from ledgerloom.plans.ordered import _spread, spread_of
+
+    rows = [(0, i * 1000) for i in range(900)] + [(k, k * 7) for k in range(1, 101)]
+    df = spark.createDataFrame(rows, "k int, i bigint")
+    sizes = _spread(df, ["k"], spread_of("i", 50), "c").groupBy("k", "c").count().collect()
+    assert max(r["count"] for r in sizes) <= 50 and sum(r.k == 0 for r in sizes) == 18
+    ranks = {(r.k, r.i): r.n for r in number_rows(df, ["k"], ["i"], [spread_of("i", 50)], "n").collect()}
+    assert all(n == (i // 1000 + 1 if k == 0 else 1) for (k, i), n in ranks.items())
+
+
+def test_chained_scans_read_their_input_once(spark):
+    df = spark.range(50).select((F.col("id") % 3).alias("k"), F.col("id").alias("i"))
+    run = scan(df, ["k"], ["i"], [block_of("i", 10)], {"a": Scan("sum", F.col("i"))})
+    run = scan(run, ["k"], ["i"], [block_of("i", 10)], {"b": Scan("sum", F.col("a"))})
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 2 and "Range" not in plan

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import calendar as cal
 from ledgerloom.operators import documents as dc
 from ledgerloom.operators import graph as gr
 from ledgerloom.operators import merges as mg
@@ -103,7 +104,64 @@ def test_back_links_then_nothing_more(spark):
     full = gr.add_missing_back_links(e, nodes)
     assert {(r.src, r.dst, r.role) for r in full.collect()} - {(r.src, r.dst, r.role) for r in e.collect()} == {(3, 2, "business")}
     assert gr.add_missing_back_links(full, nodes).count() == full.count()
-    assert {(r.src, r.dst) for r in gr.drop_one_way_links(e).collect()} == {(0, 1), (1, 0), (4, 4), (5, None)}
+    assert {(r.src, r.dst) for r in gr.drop_one_way_links(e, nodes).collect()} == {(0, 1), (1, 0), (4, 4), (5, None)}
+    keyless = nodes.withColumn("ein", F.when(F.col("client_idx") == 2, "").otherwise(F.col("ein")))
+    assert (2, 3) in {(r.src, r.dst) for r in gr.drop_one_way_links(e, keyless).collect()}
+
+
+def test_client_positions_run_over_files(spark, tmp_path):
+    for f, names in {"c": ["E", "F"], "a": ["A", "B"], "b": ["C", "D"]}.items():
+        (tmp_path / f"{f}.json").write_text(json.dumps([{"name": n} for n in names]))
+    rows = readers.read_clients(spark, str(tmp_path)).select("client_idx", "name").collect()
+    assert sorted((r.client_idx, r.name) for r in rows) == list(enumerate("ABCDEF"))
+
+
+def test_book_written_over_its_own_source(spark, tmp_path):
+    path = str(tmp_path / "book")
+    (tmp_path / "first.json").write_text(json.dumps([{"name": "A", "ein": "1"}, {"name": "B", "ein": "2"}]))
+    sinks.write_clients(readers.read_clients(spark, str(tmp_path / "first.json")), path)
+    again = spark.read.schema(readers.schemas.CLIENTS).json(path)
+    kept = readers.normalize_clients(again.withColumn("client_idx", F.monotonically_increasing_id()))
+    assert sinks.write_clients(kept, path)["clients"] == 2
+
+
+def test_shifts_far_away_and_long_leads(spark):
+    days = [dt.date(1950, 1, 1), dt.date(1998, 7, 4), dt.date(2099, 12, 31)]
+    rows = [(d, n) for d in days for n in (0, 1, -1, 5, 120, -120, 400)]
+
+    def is_open(d):
+        got = spark_holidays[d.year]
+        return d.weekday() < 5 and d not in got
+
+    spark_holidays = {y: us_holidays(y) for y in range(1940, 2110)}
+
+    def walk(d, n):
+        while n:
+            d += dt.timedelta(days=1 if n > 0 else -1)
+            n -= (1 if n > 0 else -1) if is_open(d) else 0
+        return d
+
+    df = spark.createDataFrame(rows, "day date, n int")
+    got = {(r.day, r.n): r.to for r in cal.shift_business_days(df, "day", "n", "to").collect()}
+    assert got == {(d, n): walk(d, n) for d, n in rows}
+    shown = {(r.day, r.n): r.to for r in cal.display_date(df, "day", "n", "to").collect()}
+
+    def rolled(d):
+        while not is_open(d):
+            d -= dt.timedelta(days=1)
+        return d
+
+    assert shown == {(d, n): walk(rolled(d), -max(n, 0)) for d, n in rows}
+
+
+def us_holidays(y):
+    def nth(m, wd, n):
+        first = dt.date(y, m, 1)
+        return first + dt.timedelta(days=(wd - first.weekday()) % 7 + 7 * (n - 1))
+
+    last_monday = max(dt.date(y, 5, k) for k in range(25, 32) if dt.date(y, 5, k).weekday() == 0)
+    fixed = [dt.date(y, m, d) for m, d in ((1, 1), (6, 19), (7, 4), (11, 11), (12, 25))]
+    return {*fixed, nth(1, 0, 3), nth(2, 0, 3), last_monday, nth(9, 0, 1), nth(10, 0, 2), nth(11, 3, 4)}
 
 
 def test_client_files_round_trip(spark, tmp_path):
