@@ -144,7 +144,8 @@ def gradients(net: Net, texts: list[np.ndarray], y: np.ndarray) -> list[np.ndarr
     f = np.concatenate([top, mean], 1)
     d = ((1 / (1 + np.exp(-np.clip(f @ net.w3 + net.b3, -30, 30))) - y) / len(y)).astype(np.float32)
     dtop, dmean = d[:, None] * net.w3[:HIDDEN], d[:, None] * net.w3[HIDDEN:] / n[:, None]
-    dh = (dmean[doc] + np.where(h == top[doc], dtop[doc], 0)) * (h > 0)
+    tied = (h == top[doc]).astype(np.float32)  # chunks that share the maximum share its gradient
+    dh = (dmean[doc] + tied / np.add.reduceat(tied, first)[doc] * dtop[doc]) * (h > 0)
     dc = dh @ net.w2.T
     mine = s >= follow
     ds = np.where(mine, dc, 0)
