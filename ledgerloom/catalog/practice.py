@@ -151,11 +151,11 @@ def wage_rows_ca(spark, d):
 @query(
     "wage_rows_ny",
     f"""SELECT o_custkey AS doc_id, CASE o_custkey % 3 WHEN 2 THEN right(r, 9) ELSE r END AS ssn, {NAME_SQL} AS first_name, CASE WHEN o_custkey % 3 = 1 THEN '' ELSE 'K' END AS middle_initial, 'Doe-Roe' AS last_name, {cents_sql('o_totalprice')} AS amount_1, CASE WHEN o_custkey % 3 = 1 THEN 'R' ELSE 'O' END AS wage_type
-    FROM (SELECT *, CAST(o_orderkey + 100000000 AS VARCHAR) AS r FROM orders) WHERE o_totalprice < 490000""",
+    FROM (SELECT *, CAST(o_orderkey + 100000000 AS VARCHAR) AS r FROM orders)""",
 )
 def wage_rows_ny(spark, d):
     k = F.col("o_custkey") % 3
-    o = orders(spark, d).filter(F.col("o_totalprice") < 490000)
+    o = orders(spark, d)
     amount = F.format_number("o_totalprice", 2)
     # 0: SSN, last, first, type, initial; 1: SSN and comma name; 2: names first, SSNs in their own lines.
     cols = [

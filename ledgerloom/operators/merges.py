@@ -122,7 +122,9 @@ def merge_relations(existing: DataFrame, incoming: DataFrame, owner: str = "clie
     old = first_per_key(existing.filter(linked), [owner, "id"], ["pos"], last=True)
     inc = first_per_key(inc, [owner, "id"], ["pos"], last=True)
     new = inc.select(owner, "id", F.struct(*[c for c in cols if c not in (owner, "id")]).alias("__new"))
-    both = old.join(new, [owner, "id"], "full_outer")
+    # incoming rows come after all of the owner's own
+    top = existing.groupBy(owner).agg((F.max("pos") + 1).alias("__top"))
+    both = old.join(new, [owner, "id"], "full_outer").join(top, owner, "left")
 
     def field(c: str) -> Column:
         if c in (owner, "id"):
@@ -131,7 +133,7 @@ def merge_relations(existing: DataFrame, incoming: DataFrame, owner: str = "clie
         if c == "role":
             return F.coalesce(fresh, F.col(c))
         if c == "pos":
-            return F.coalesce(F.col(c), fresh + F.lit(1 << 20))
+            return F.coalesce(F.col(c), fresh + F.coalesce("__top", F.lit(0)))
         filled, mine = F.nullif(fresh, F.lit("")), F.nullif(F.col(c), F.lit(""))
         return F.coalesce(filled, mine, F.lit("")) if c in INCOMING_WINS else F.coalesce(mine, filled, F.lit(""))
 
@@ -139,7 +141,7 @@ def merge_relations(existing: DataFrame, incoming: DataFrame, owner: str = "clie
     people = existing.filter(~linked)
     same = [owner, "first_name", "last_name", "email"]
     extra = first_per_key(incoming.filter(~linked), same, ["pos"]).join(people.select(*same).distinct(), same, "left_anti")
-    extra = extra.withColumn("pos", F.col("pos") + F.lit(1 << 20)).select(*cols)
+    extra = extra.join(top, owner, "left").withColumn("pos", F.col("pos") + F.coalesce("__top", F.lit(0))).select(*cols)
     return merged.unionByName(people).unionByName(extra)
 
 

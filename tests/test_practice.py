@@ -207,3 +207,17 @@ def test_small_readers(spark, tmp_path):
     (tmp_path / "csv" / "u.csv").write_bytes("Vendor,Note\nCafé,1\n".encode())
     (tmp_path / "csv" / "l.csv").write_bytes("Vendor,Note\nNiño,2\n".encode("latin-1"))
     assert sorted(r.Vendor for r in readers.read_delimited(spark, str(tmp_path / "csv")).collect()) == ["Café", "Niño"]
+
+
+def test_wage_records_of_any_length(spark):
+    from ledgerloom.operators import wages as wg
+
+    names = ["ALPHA", "BETA", "GAMMA", "DELTA", "EPSILON", "ZETA", "ETA", "THETA"]
+    ca = ["123456789", *names, "1,000.00", "900.00", "10.00"]
+    ny = ["111-22-3333", "DOE", "JANE", *["O"] * 60, "K", "700,000.00", "2.00"]
+    table = lambda x: spark.createDataFrame([("d", i, t) for i, t in enumerate(x)], "doc_id string, pos long, text string")
+    assert wg.california_rows(table(ca)).first()["name_line"] == " ".join(names)
+    rows = wg.new_york_rows(table(ny))
+    assert [(r.last_name, r.first_name, float(r.amount_1)) for r in rows.collect()] == [("Doe", "Jane", 700000.0)]
+    kept, dropped = wg.filter_wage_rows(rows)
+    assert kept.count() == 0 and [(r.reason, r.n) for r in dropped.collect()] == [("implausible", 1)]
