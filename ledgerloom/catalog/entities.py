@@ -290,20 +290,19 @@ def relation_view(spark, d):
 
 @query(
     "merge_clients",
-    """WITH RECURSIVE k AS (SELECT c_custkey AS r, c_custkey % 40 AS a, c_custkey % 90 AS b FROM customer WHERE c_custkey % 3 <> 0), cur AS (SELECT c_custkey % 40 AS a, c_custkey % 90 AS b FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 60)
-    SELECT r, CASE WHEN a IN (SELECT a FROM cur) OR b IN (SELECT b FROM cur) THEN 'skipped' END AS known FROM k""",
+    """WITH RECURSIVE k AS (SELECT c_custkey AS r, c_custkey // 16 AS g, c_custkey % 16 AS i, c_custkey // 4 AS a, c_custkey // 16 * 8 + c_custkey * 5 % 8 AS b, c_custkey % 10 = 0 AS old FROM customer),
+    s AS (SELECT g, CAST(-1 AS BIGINT) AS i, coalesce(list(a) FILTER (WHERE old), []) AS ta, coalesce(list(b) FILTER (WHERE old), []) AS tb, CAST(NULL AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS outcome FROM k GROUP BY g
+      UNION ALL SELECT s.g, s.i + 1, CASE WHEN list_contains(ta, a) OR list_contains(tb, b) OR x.r IS NULL THEN ta ELSE list_append(ta, a) END, CASE WHEN list_contains(ta, a) OR list_contains(tb, b) OR x.r IS NULL THEN tb ELSE list_append(tb, b) END,
+        x.r, CASE WHEN list_contains(ta, a) OR list_contains(tb, b) THEN 'skipped' ELSE 'added' END FROM s LEFT JOIN k x ON x.g = s.g AND x.i = s.i + 1 AND NOT x.old WHERE s.i < 15)
+    SELECT r, outcome FROM s WHERE r IS NOT NULL""",
 )
 def merge_clients(spark, d):
-    """Rows blocked by the current book; the order-dependent rest is checked in the tests."""
+    """Every tenth customer is the current book; the others come in order, and ids and EINs collide within sixteens."""
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
-    keyed = c.select(k.alias("r"), F.concat(F.lit("i"), (k % 40).cast("string")).alias("id"), F.lpad((k % 90 + 1).cast("string"), 9, "0").alias("ein"), F.lit("LLC").alias("entity_type"))
-    current = keyed.filter((F.col("r") % 3 == 0) & (F.col("r") < 60))
-    judged = mg.merge_clients(current, keyed.filter(F.col("r") % 3 != 0), row="r")
-    held = mg.identity_keys(current.withColumn("z", F.lit(0)), "z").select("key").distinct()
-    hit = mg.identity_keys(judged, "r").join(held, "key", "left_semi").select("r").distinct().withColumn("__k", F.lit(True))
-    known = F.when(F.col("__k") & (F.col("outcome") == "skipped"), "skipped")
-    return judged.join(hit, "r", "left").select("r", known.alias("known"))
+    ein = F.floor(k / 16) * 8 + k * 5 % 8
+    keyed = c.select(k.alias("r"), F.concat(F.lit("i"), F.floor(k / 4).cast("string")).alias("id"), F.lpad((ein + 1).cast("string"), 9, "0").alias("ein"), F.lit("LLC").alias("entity_type"))
+    return mg.merge_clients(keyed.filter(F.col("r") % 10 == 0), keyed.filter(F.col("r") % 10 != 0), row="r").select("r", "outcome")
 
 
 @query(

@@ -1,6 +1,4 @@
-"""Catalog queries against DuckDB. LEDGER_FULL=1 runs every query that has SQL."""
-
-import os
+"""Every catalog query that has SQL against DuckDB."""
 
 import pytest
 from differential import compare, connect
@@ -8,14 +6,7 @@ from differential import compare, connect
 from ledgerloom.catalog import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
-FAST = (
-    "vendor_text name_keys identity_keys money_text date_text next_dates merchant_location labels_and_tags wage_names "
-    "vendor_totals rule_longest_match card_match account_lookup multiset_diff direct_match return_cancel return_repaid "
-    "residual_report totals_agree biz_calendar shift_bd occurrences todo_feed batch_pause_resume resolve_keys duplicate_ids "
-    "back_links one_way_links merge_relations tracker_summary roll_forward worklog_union held_summary latest_doc asof_doc "
-    "unique_names checklist_pivot checklist_edits punch_pairs section_tag"
-).split()
-NAMES = sorted(all_oracles()) if os.environ.get("LEDGER_FULL") else FAST
+NAMES = sorted(all_oracles())
 
 
 @pytest.fixture(scope="module")
