@@ -57,11 +57,6 @@ def previous_quarter(d: str | Column) -> tuple[Column, Column]:
     return F.year(back), F.quarter(back)
 
 
-def weekday0(d: Column) -> Column:
-    """Monday = 0."""
-    return F.weekday(d)
-
-
 def clamp_day(month_first: Column, dom: Column) -> Column:
     """Day `dom` of that month, or its last day."""
     return F.date_add(month_first, F.least(dom, F.dayofmonth(F.last_day(month_first))) - 1)

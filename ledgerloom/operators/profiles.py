@@ -37,7 +37,6 @@ class Profile:
     check_before_date: bool = False
 
 
-_NUM_RANGE = r"(?i)(\d{1,2})/(\d{1,2})/(\d{4})\s*(?:-|through|to)\s*(\d{1,2})/(\d{1,2})/(\d{4})"
 
 # Header texts, furniture and record shapes of the supported formats.
 PROFILES: tuple[Profile, ...] = (
