@@ -6,10 +6,12 @@ maximum and equal registers are the likelier the more two sets share. Equal band
 candidates, the joint likelihood of two sketches estimates their Jaccard similarity, and every link
 is confirmed by intersecting the full sets.
 
-Texts with equal sets are one class from the start (one aggregate), so copies never pair up. Inside a
-bucket, classes are first compared with bucket centres only; what that links is contracted, and
-then just the pairs of a bucket that are still in different components are compared, all of them.
-So no link that a shared band shows is lost, and a group of near copies costs about its size.
+Texts with equal sets are one class from the start (one aggregate), so copies never pair up. Each class
+that shares a band is first compared with the bucket centre it meets most often, a class whose bands
+many share, and then with a few more; what that links is contracted. Then the classes of buckets that still hold different
+components are compared across components, all pairs that can be links: two sets over the threshold
+have their first common shingle, in any fixed order, near the front of both. Rare shingles come
+first, so what sets a copy apart keeps it from meeting its whole group, and no link is lost.
 A pair at the threshold shares none of the 24 bands of 4 registers with a chance of 2e-8.
 
 Cases: null and empty texts have an empty set and link with nothing; a text of fewer words than a
@@ -37,9 +39,17 @@ M = BANDS * ROWS
 BASE = 1.05
 #: Registers hold 0 to TOP; 2**-64 of the range of a uniform draw is above it.
 TOP = 4095
+#: Members of the largest component of its buckets that a class outside is compared with in the second round.
+SECOND_PICKS = 4
 #: A pair is compared on its sets unless its estimate is this many deviations below the threshold.
 SLACK = 6.0
 MAP_BITS = 1 << 23
+#: Counters that order shingles from rare to frequent; any order gives all links, a good one gives fewer candidates.
+COUNTERS = 1 << 18
+#: Set sizes are grouped in steps of two per cent.
+SIZE_STEP = 1.02
+#: Words of 64 bits of a set's parity bits: two sets differ in at least as many shingles as in bits.
+PARITY = 32
 _RNG = np.random.Generator(np.random.PCG64(977))
 _TURN = _RNG.integers(0, 1 << 63, M, dtype=np.uint64)
 _STEP = _RNG.integers(1, 1 << 62, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,13 +165,103 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", shared.alias("n"), (F.size("su") + F.size("sv")).alias("sum")).filter(F.col("n") * 100 >= (F.col("sum") - F.col("n")) * percent).select("u", "v")
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles fall on each of COUNTERS counters; each task sends one row per counter at most."""
+
+    def run(batches):
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            n += np.bincount(flat & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+
+    got = sets.select("shingles").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(COUNTERS, np.int64)
+    n[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return n
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(token, node, comp, n, pos): the first shingles of each set, rare first, up to where a link must show."""
+
+    def start():
+        def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for node, comp, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = s.values.to_numpy()
+                keep = len(s) - -(-len(s) * percent // 100) + 1
+                first = s[np.lexsort((s, counts[s & (COUNTERS - 1)]))[:keep]]
+                out.append((first, np.full(len(first), node), np.full(len(first), comp), np.full(len(first), len(s)), np.arange(len(first))))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["token", "node", "comp", "n", "pos"])
+
+        return cut
+
+    return map_arrow(sets.select("node", "comp", "shingles"), start, "token bigint, node bigint, comp bigint, n bigint, pos bigint")
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(node, b0, b1, ...): for each of 64 * PARITY bits whether an odd number of the set's shingles falls on it."""
+    bits = 64 * PARITY
+
+    def start():
+        def fold_(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [np.packbits(np.bincount((s.values.to_numpy() >> 20) & (bits - 1), minlength=bits) & 1).view(np.int64) for s in batch.column(1)]
+            table_ = np.array(rows, np.int64).reshape(-1, PARITY)
+            return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(table_[:, i]) for i in range(PARITY)]], names=["node", *[f"b{i}" for i in range(PARITY)]])
+
+        return fold_
+
+    return map_arrow(sets.select("node", "shingles"), start, "node bigint, " + ", ".join(f"b{i} bigint" for i in range(PARITY)))
+
+
+def cross_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) with u < v of different components, all that can be links. `sets` has node, comp, shingles.
+
+    A link of sets x and y, y not the larger, shares at least `need` shingles, so its first common one has
+    `need` places from it to the end in both. That bounds y's size from x's place, and the join is by
+    shingle and size step. The two sets differ in at most so many shingles, which their parity bits bound
+    from below. Of the components that meet at a shingle, the largest isn't paired with itself.
+    """
+    rows = cut_lineage(prefixes(sets, shingle_counts(sets), percent))
+    met = rows.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    main = met.groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    met_rows = cut_lineage(rows.join(main, "token"))
+    open_ = cut_lineage(met_rows.join(parities(sets), "node"))
+    step = lambda c: F.floor(F.log(c) / F.log(F.lit(SIZE_STEP))).cast("int")
+    most = F.least(F.col("n"), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent + 1e-6) - F.col("n"))
+    least = F.ceil(F.col("n") * percent / 100 - 1e-6)
+    x = open_.withColumn("most", most).filter(F.col("most") >= least)
+    x = x.withColumn("bin", F.explode(F.sequence(step(least), step(F.col("most"))))).select("token", "bin", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"), "main", *[F.col(f"b{i}").alias(f"x{i}") for i in range(PARITY)])
+    y = open_.withColumn("bin", step(F.col("n"))).select("token", "bin", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("main").alias("mb"), *[F.col(f"b{i}").alias(f"y{i}") for i in range(PARITY)])
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-6)
+    fits = "ca != cb and nb <= na"
+    ends = (F.col("na") - F.col("pa") >= need) & (F.col("nb") - F.col("pb") >= need)
+    differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(PARITY)), F.lit(0))
+    pairs = [x.filter("ca != main").join(y, ["token", "bin"]), x.filter("ca = main").join(y.filter("cb != mb"), ["token", "bin"])]
+    both = [p.filter(fits).filter(ends).filter(differ <= F.col("na") + F.col("nb") - 2 * need).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")) for p in pairs]
+    return both[0].unionByName(both[1]).distinct()
+
+
+def _seated(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(bucket, node, comp) of the classes that share a bucket; a class without links is a component."""
+    return cut_lineage(shared.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
+
+
+def _main_component(placed: DataFrame) -> DataFrame:
+    """(bucket, main) of the buckets that hold several components: the largest one there."""
+    part = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    return part.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+
+
 def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between classes that join everything a chain of links joins."""
     pieces = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("regs").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     member = classes.select("node", F.explode(pieces).alias("bucket"))
-    centre = member.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = cut_lineage(member.join(centre, "bucket"))
-    nodes = shared.select("node").distinct()
+    crowd = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut_lineage(member.join(crowd, "bucket"))
+    nodes = cut_lineage(shared.groupBy("node").agg(F.sum("n").alias("weight")))
     keys = classes.join(nodes, "node", "left_semi").select("node", "doc_id", "digest")
     low = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("bigint")
     bits = bitmap_of(keys.select(low.bitwiseXOR(F.coalesce("doc_id", F.lit(0))).bitwiseAND(MAP_BITS - 1)), MAP_BITS)
@@ -169,34 +269,35 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     sets = cut_lineage(
         read.join(keys.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), ["doc_id", "digest"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
     )
-    # first each class with the two centres it meets most often
-    met = shared.filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
-    best = met.groupBy("node").agg(F.max(F.struct("n", -F.col("centre"))).alias("m")).select(F.col("node").alias("u"), (-F.col("m")["col2"]).alias("v"))
+    # each class with the centre it meets most often
+    seat = shared.select("bucket", "node").join(nodes, "node")
+    centre = seat.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
+    met = seat.select("bucket", "node").join(centre, "bucket").filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
+    best = cut_lineage(met.groupBy("node").agg(F.max(F.struct("n", "centre"))["centre"].alias("v")).select(F.col("node").alias("u"), "v"))
     star = cut_lineage(confirm(best, sets, percent))
     label = cut_lineage(components(star))
-    seat = cut_lineage(shared.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
-    # then the pairs of a bucket in different components: every class outside its largest component with all others
-    part = seat.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    largest = part.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    split = cut_lineage(seat.join(largest, "bucket"))
-    minor = split.filter("comp != main").select("bucket", F.col("node").alias("u"), F.col("comp").alias("cu"))
-    other = split.select("bucket", F.col("node").alias("v"), F.col("comp").alias("cv"), "main")
-    cross = minor.join(other, "bucket").filter("cu != cv and (cv = main or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # then the classes outside the largest component of a bucket with some of its members
+    main = _main_component(placed := _seated(shared, label))
+    split = cut_lineage(placed.join(main, "bucket"))
+    chosen = split.filter("comp = main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("o"), "node"))["node"].alias("v"))
+    asked = split.filter("comp != main").select("bucket", F.col("node").alias("u")).join(chosen, "bucket").groupBy("u", "v").agg(F.count("*").alias("n"))
+    some = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "v"))), 1, SECOND_PICKS)  # of BANDS at most
+    more = cut_lineage(asked.groupBy("u").agg(some.alias("p")).select("u", F.explode("p.v").alias("v")))
+    star = star.unionByName(cut_lineage(confirm(more, sets, percent)))
+    label = cut_lineage(components(star))
+    # then all pairs across components of buckets that still hold several
+    placed = _seated(shared, label)
+    open_ = cut_lineage(placed.join(_main_component(placed), "bucket", "left_semi").select("node", "comp").distinct())
+    best = best.unionByName(more)
     tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    sketch = classes.join(nodes, "node", "left_semi").select("node", "regs", "n_shingles")
+    cross = cross_pairs(sets.join(open_, "node"), percent).join(tried, ["u", "v"], "left_anti")
+    sketch = classes.join(open_, "node", "left_semi").select("node", "regs", "n_shingles")
     left = sketch.select(F.col("node").alias("u"), F.col("regs").alias("ru"), F.col("n_shingles").alias("nu"))
     right = sketch.select(F.col("node").alias("v"), F.col("regs").alias("rv"), F.col("n_shingles").alias("nv"))
     share = percent / 100
     floor = share - SLACK * (share * (1 - share) / M) ** 0.5
-    likely = (
-        cross.join(tried, ["u", "v"], "left_anti")
-        .join(left, "u")
-        .join(right, "v")
-        .filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-        .filter(estimate("ru", "rv", "nu", "nv") >= floor)
-    )
-    rest = cut_lineage(confirm(cut_lineage(likely.select("u", "v")), sets, percent))
-    return star.unionByName(rest)
+    likely = cut_lineage(cross.join(left, "u").join(right, "v").filter(estimate("ru", "rv", "nu", "nv") >= floor).select("u", "v"))
+    return star.unionByName(cut_lineage(confirm(likely, sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
