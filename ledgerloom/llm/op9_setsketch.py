@@ -46,10 +46,10 @@ SLACK = 6.0
 MAP_BITS = 1 << 23
 #: Counters that order shingles from rare to frequent; any order gives all links, a good one gives fewer candidates.
 COUNTERS = 1 << 18
-#: Set sizes are grouped in steps of two per cent.
-SIZE_STEP = 1.02
+#: Set sizes are grouped in steps of six per cent.
+SIZE_STEP = 1.06
 #: Words of 64 bits of a set's parity bits: two sets differ in at least as many shingles as in bits.
-PARITY = 32
+PARITY = 8
 _RNG = np.random.Generator(np.random.PCG64(977))
 _TURN = _RNG.integers(0, 1 << 63, M, dtype=np.uint64)
 _STEP = _RNG.integers(1, 1 << 62, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
