@@ -3,8 +3,8 @@
 Texts are vectors of TF-IDF weights over evidence terms: words and word beginnings of four to six
 letters whose presence in labelled texts goes with the label (log-likelihood ratio). The examples'
 vectors stand in an inverted index: postings per term, cut into blocks of examples with the largest
-weight of each block. A text's exact nearest examples by cosine come from visiting blocks in falling
-order of their upper bound until no bound reaches the k-th best. Votes are weighted by cosine and
+weight of each block. A text's exact nearest examples by cosine come from the blocks of highest upper
+bound, and then those whose bound reaches the k-th best so far. Votes are weighted by cosine and
 smoothed with the share of label 1 among examples, which gives a probability; the neighbours' ids are
 the evidence. A text without evidence terms is nearest to the examples that have none either.
 
@@ -12,7 +12,7 @@ Bounds: `SAMPLE_ROWS` labelled texts of up to `SAMPLE_CHARS` characters fit term
 `TERMS` terms are kept. Document frequencies count all documents: each task sends one row per term.
 
 Cases: null and empty texts have no terms and score like all texts without; without labels the score
-is 0; repeated rows get equal scores; equally near examples are ordered by id; other columns are not
+is 0; repeated rows get equal scores; equally near examples are ordered by their place in the index; other columns are not
 read; an empty table gives an empty result.
 """
 
@@ -34,7 +34,7 @@ from ledgerloom.llm.sample import labelled_sample
 
 SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 40_000
 TERMS, LEAST_RATIO, LEAST_DOCS = 1024, 15.0, 3
-NEIGHBOURS, BLOCK = 15, 32
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 32, 8
 #: Votes for the share of label 1 that stand beside the neighbours'.
 PRIOR_VOTES = 0.5
 STARTS = (4, 5, 6)
@@ -88,38 +88,41 @@ def weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Index:
-    """Examples in id order: per term its postings, block bounds of the postings, and block maxima."""
+    """Examples in blocks of alike ones: per term its postings and the largest weight in each block."""
 
     terms: list[str]
     idf: np.ndarray
     ids: np.ndarray
     y: np.ndarray
     posts: list[tuple[np.ndarray, np.ndarray]]
-    cuts: np.ndarray
     tops: np.ndarray
     share: float
     bare: float
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples with a term in common; equal ones by position."""
+        """Positions and cosines of the k nearest examples with a term in common; equal ones by position.
+
+        The blocks of highest bound give a k-th best; then just those whose bound reaches it are read.
+        """
         bound = w @ self.tops[at]
-        order = np.argsort(-bound, kind="stable")
-        best, sims, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(sims) >= k and bound[b] < kth - 1e-12):
-                break
-            acc = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                lo, hi = self.cuts[t, b], self.cuts[t, b + 1]
-                if hi > lo:
-                    docs, vals = self.posts[t]
-                    acc[docs[lo:hi] - b * BLOCK] += x * vals[lo:hi]
-            hit = np.flatnonzero(acc > 0)
-            best, sims = np.concatenate([best, hit + b * BLOCK]), np.concatenate([sims, acc[hit]])
-            keep = np.lexsort((best, -np.round(sims, 12)))[:k]
-            best, sims = best[keep], sims[keep]
-            kth = sims[-1] if len(sims) >= k else 0.0
-        return best, sims
+        acc, open_ = np.zeros(len(self.ids)), np.zeros(len(bound), bool)
+        first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
+        open_[first] = True
+        self._add(at, w, open_, acc)
+        kth = np.partition(acc, -k)[-k] if len(acc) >= k else 0.0
+        open_ = (bound > 0) & (bound >= kth - 1e-12)
+        open_[first] = False
+        self._add(at, w, open_, acc)
+        best = np.flatnonzero(acc >= max(kth - 1e-12, 1e-300))
+        best = best[np.lexsort((best, -np.round(acc[best], 12)))[:k]]
+        return best, acc[best]
+
+    def _add(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray, acc: np.ndarray) -> None:
+        """Add the products of the terms' postings in the open blocks."""
+        for t, x in zip(at.tolist(), w.tolist(), strict=True):
+            docs, vals = self.posts[t]
+            read = blocks[docs // BLOCK]
+            acc[docs[read]] += x * vals[read]
 
     def score(self, counts: dict[int, int], k: int = NEIGHBOURS) -> tuple[float, list[int]]:
         if not counts:
@@ -143,11 +146,10 @@ def build_index(terms: list[str], idf: np.ndarray, examples: list[tuple[int, int
         for t, x in zip(*weights(c, idf), strict=True):
             lists[t].append((p, x))
     posts = [(np.array([p for p, _ in one], np.int64), np.array([x for _, x in one])) for one in lists]
-    cuts, tops = np.zeros((len(terms), blocks + 1), np.int64), np.zeros((len(terms), blocks))
+    tops = np.zeros((len(terms), blocks))
     for t, (docs, vals) in enumerate(posts):
-        cuts[t] = np.searchsorted(docs, np.arange(blocks + 1) * BLOCK)
         np.maximum.at(tops[t], docs // BLOCK, vals)
-    return Index(terms, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), posts, cuts, tops, share, bare)
+    return Index(terms, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), posts, tops, share, bare)
 
 
 def _pick_terms(sample: DataFrame, limit: int) -> list[str]:
