@@ -45,8 +45,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of smallest id."""
-    kept = cut_lineage(near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).filter("keeper").select("row_id"))
-    return docs.withColumn("row_id", F.monotonically_increasing_id()).join(kept, "row_id", "left_semi").drop("row_id")
+    gone = cut_lineage(near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).filter("not keeper").select("row_id"))
+    return docs.withColumn("row_id", F.monotonically_increasing_id()).join(gone, "row_id", "left_anti").drop("row_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
