@@ -45,7 +45,7 @@ SECOND_PICKS = 4
 SLACK = 6.0
 MAP_BITS = 1 << 23
 #: Counters that order shingles from rare to frequent; any order gives all links, a good one gives fewer candidates.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
 #: Set sizes are grouped in steps of six per cent.
 SIZE_STEP = 1.06
 #: Words of 64 bits of a set's parity bits: two sets differ in at least as many shingles as in bits.
@@ -179,7 +179,7 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
     got = sets.select("shingles").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(COUNTERS, np.int64)
     n[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    return n
+    return np.minimum(n, 65_535).astype(np.uint16)  # it goes to every task; beyond, all are frequent
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
