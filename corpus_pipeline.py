@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut_lineage, fold, table
+from ledgerloom.llm.common import cut_lineage, fold, numbered, table
 from ledgerloom.llm.op2_byte_cnn import fit_quality, quality_score
 from ledgerloom.llm.op5_winnowing import contamination
 from ledgerloom.llm.op6_fair_queue import mixture
@@ -45,14 +45,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of smallest id."""
-    gone = cut_lineage(near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).filter("not keeper").select("row_id"))
-    return docs.withColumn("row_id", F.monotonically_increasing_id()).join(gone, "row_id", "left_anti").drop("row_id")
+    rows = numbered(docs)
+    gone = cut_lineage(near_duplicates(rows, SHINGLE_WORDS, SIMILAR_PERCENT, F.col("row_id")).filter("not keeper").select("row_id"))
+    return rows.join(gone, "row_id", "left_anti").drop("row_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a shared window of benchmark words."""
-    hit = cut_lineage(contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("row_id"))
-    return docs.withColumn("row_id", F.monotonically_increasing_id()).join(hit, "row_id", "left_anti").drop("row_id")
+    rows = numbered(docs)
+    hit = cut_lineage(contamination(rows, table(spark, sf_dir, "benchmark"), row=F.col("row_id")).filter("contaminated").select("row_id"))
+    return rows.join(hit, "row_id", "left_anti").drop("row_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.session import cut_lineage
 
-__all__ = ["cut_lineage", "table", "fold", "bitmap_of", "text_rows", "map_arrow"]
+__all__ = ["cut_lineage", "table", "fold", "numbered", "bitmap_of", "text_rows", "map_arrow"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -26,6 +26,27 @@ def fold(key: str | Column, parts: int, held: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % parts == held, F.lit(False))
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the rows of `df` are rows of Parquet files, each at most once."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().split()[0] in ("Relation", "LogicalRelation") and "row_index" in df.select("_metadata.*").columns
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with `row_id`, which is the same in every scan, however the files are cut into partitions.
+
+    It holds the place of the row's file among the paths and that of the row in its file. A frame that
+    is not a plain scan of Parquet files is written first.
+    """
+    rows = df if _is_scan(df) else cut_lineage(df)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = placed.select("__file").distinct()
+    files = cut_lineage(files.withColumn("__number", F.row_number().over(Window.orderBy("__file")).cast("bigint")))
+    return placed.join(files, "__file").withColumn("row_id", F.shiftleft("__number", 40) + F.col("__at")).drop("__file", "__number", "__at")
+
+
 def bitmap_of(positions: DataFrame, bits: int) -> np.ndarray:
     """Packed bits of the distinct values of a one-column frame of numbers below `bits`.
 

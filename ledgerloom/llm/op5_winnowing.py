@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import bitmap_of, bits_at, cut_lineage, map_arrow, table
@@ -62,7 +62,7 @@ def test_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return map_arrow(items.selectExpr("cast(item_id as bigint) item_id", "text"), start, "item_id bigint, length int, fp bigint, gram string", 200).distinct()
 
 
-def find_candidates(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
+def find_candidates(docs: DataFrame, lengths: list[int], bits: np.ndarray, row: Column | None = None) -> DataFrame:
     """(row_id, doc_id, n_words, found): windows whose fingerprint is in the bit map, with their words."""
     entry = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("fp", pa.int64()), ("gram", pa.string())])
     mask = np.int64(len(bits) * 8 - 1)
@@ -87,16 +87,17 @@ def find_candidates(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> Da
 
         return look
 
-    source = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    row = F.monotonically_increasing_id() if row is None else row
+    source = docs.select(row.alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return map_arrow(source, start, "row_id bigint, doc_id bigint, n_words bigint, found array<struct<start int, length int, fp bigint, gram string>>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, map_bits: int = MAP_BITS) -> DataFrame:
-    """One row per document: row_id (the scan's row number), words, hit words, items hit, and the digest of their ids."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, map_bits: int = MAP_BITS, row: Column | None = None) -> DataFrame:
+    """One row per document: row_id (the column `row`, else the row number of one scan), words, hit words, items hit, and the digest of their ids."""
     windows = cut_lineage(test_windows(items, window))
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())
     bits = bitmap_of(windows.select(F.col("fp").bitwiseAND(map_bits - 1)), map_bits)
-    rows = cut_lineage(find_candidates(docs, lengths, bits))
+    rows = cut_lineage(find_candidates(docs, lengths, bits, row))
     maybe = rows.filter("found is not null").select("row_id", F.inline("found"))
     hits = cut_lineage(maybe.join(windows.select("fp", "gram").distinct(), ["fp", "gram"], "left_semi"))
     spans = F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))))

@@ -26,7 +26,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,7 +88,7 @@ def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
+def sketches(docs: DataFrame, size: int, row: Column | None = None) -> DataFrame:
     """(row_id, doc_id, n_shingles, digest, regs): the set's size, its digest and its registers."""
 
     def start():
@@ -106,7 +106,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
         return draw
 
-    source = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    row = F.monotonically_increasing_id() if row is None else row
+    source = docs.select(row.alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return map_arrow(source, start, "row_id bigint, doc_id bigint, n_shingles bigint, digest binary, regs binary")
 
 
@@ -300,12 +301,13 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     return star.unionByName(cut_lineage(confirm(likely, sets, percent)))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, row: Column | None = None) -> DataFrame:
     """(row_id, doc_id, n_shingles, component_id, keeper): `keeper` marks one row of each group.
 
-    row_id is the scan's row number, the same for the same files and settings.
+    row_id is the column `row` of distinct numbers. Without it it is the row number of one scan, which
+    another scan need not repeat.
     """
-    rows = cut_lineage(sketches(docs, size))
+    rows = cut_lineage(sketches(docs, size, row))
     full = rows.filter("digest is not null")
     classes = cut_lineage(
         full.groupBy("digest").agg(

@@ -147,6 +147,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(mixed) and (mixed.taken > 0).all() and set(mixed.doc_id.dropna()) <= set(after)
 
 
+def test_pipeline_drops_the_same_rows_when_splits_change(spark, tmp_path):
+    """The rows to drop are found with one way of cutting the files and removed with another."""
+    lone = [" ".join(f"{w}{i}" for w in PLAIN.split()) for i in range(40)]
+    rows = [(i, lone[i % 30] if i < 60 else lone[i - 30], "en", "s") for i in range(70)]
+    bench = spark.createDataFrame([(1, lone[5]), (2, lone[38])], "item_id bigint, text string")
+    bench.write.parquet(f"{tmp_path}/sf/benchmark.parquet")
+    documents(spark, rows, clash=False).repartition(7, "doc_id").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    frames = (docs, docs.unionByName(docs.filter("doc_id is null")))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for frame in frames:
+            for k, v in keep.items():
+                spark.conf.set(k, v)
+            single = corpus_pipeline.drop_near_duplicates(spark, frame, f"{tmp_path}/sf")
+            clean = corpus_pipeline.drop_contaminated(spark, frame, f"{tmp_path}/sf")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert sorted(r.doc_id for r in single.collect()) == [*range(30), *range(60, 70)]
+            assert sorted(r.doc_id for r in clean.collect()) == [i for i in range(70) if i not in (5, 35, 68)]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_pipeline_runs_and_repeats(spark):
     one, two = (sorted(map(str, corpus_pipeline.run(spark, SF).select("doc_id", "taken").collect())) for _ in range(2))
     assert one == two
