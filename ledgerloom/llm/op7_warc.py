@@ -9,7 +9,8 @@ stand inside a payload, so each occurrence is only a candidate; its declared len
 of its successor. Candidates that a chain from the file's start does not reach are payload. Chains
 inside a split are contracted in one pass over its candidates; between splits, pointer jumping
 doubles the reach of every pointer per round. Only narrow columns are shuffled; the fragments of a record
-that holds a magic are read again and put together.
+that holds a magic are read again, found by the SHA-256 of their bytes (the splits of a second read may
+differ), and put together by their offsets.
 
 Cases: null html is an empty payload; a null page_id sorts last and makes refers_to null; of rows
 equal in all columns one can be the response, each other one is a revisit; control characters and
@@ -183,7 +184,8 @@ def reachable(candidates: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(file, off, page_id, payload_bytes, payload_digest, header_digest, record_type, refers_to) of every true record."""
     text = fragments(spark, path)
-    rows = text.withColumns({"bytes": F.octet_length("value").cast("bigint"), **_parsed(F.col("value"))}).drop("value")
+    content = F.unhex(F.sha2(F.col("value").cast("binary"), 256))
+    rows = text.withColumns({"bytes": F.octet_length("value").cast("bigint"), "content": content, **_parsed(F.col("value"))}).drop("value")
     index = cut_lineage(with_offsets(cut_lineage(rows)))
     candidates = index.filter("off >= 0 and declared is not null").select("file", "block", "off", (F.col("off") + F.col("declared")).alias("succ"))
     true = cut_lineage(reachable(candidates))
@@ -194,11 +196,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     broken = cut_lineage(marked.filter(F.col("succ") != F.col("off") + full).select("file", "off", "succ"))
     if broken.head(1):
         owner = scan(marked, ["file"], ["off"], [F.col("block")], {"owner": Scan("last", F.when(F.col("succ").isNotNull(), F.col("off")))})
-        pieces = cut_lineage(owner.select("file", "block", "seq", "off", "owner").join(broken.select("file", F.col("off").alias("owner")), ["file", "owner"], "left_semi"))
-        joined = text.join(pieces, ["file", "block", "seq"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"))
+        pieces = cut_lineage(owner.select("file", "content", "off", "owner").join(broken.select("file", F.col("off").alias("owner")), ["file", "owner"], "left_semi"))
+        again = text.join(broken.select("file").distinct(), "file", "left_semi").select(content.alias("content"), "value")
+        values = again.join(pieces.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("value").alias("value"))
+        joined = pieces.join(values, "content").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"))
         value = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)
-        again = joined.select("file", F.col("owner").alias("off"), value.alias("value")).withColumns(_parsed(F.col("value")))
-        out = out.unionByName(again.select(*fields))
+        whole = joined.select("file", F.col("owner").alias("off"), value.alias("value")).withColumns(_parsed(F.col("value")))
+        out = out.unionByName(whole.select(*fields))
     return out.withColumn("payload_digest", F.coalesce("payload_digest", "header_digest")).withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("refers_to")))
 
 

@@ -119,6 +119,22 @@ def test_archives_round_trip(spark, tmp_path, split):
     assert got == sorted(want)
 
 
+def test_archives_read_again_with_other_splits(spark, tmp_path):
+    """Payloads with a magic are whole when the splits change between the two reads."""
+    rows = [(i, f"h{i}", "p" * (i * 7) + INNER * (i % 4) + f"end {i % 10}") for i in range(40)]
+    op7.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3), f"{tmp_path}/warc")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        found = op7.read_warc(spark, f"{tmp_path}/warc")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in found.collect())
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert got == [(i, len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows]
+
+
 def test_archives_of_small_payloads_and_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "same"), (2, "b", "same"), (3, "c", "longer same"), (4, "d", "longer same")], "page_id bigint, url string, html string")
     op7.write_warc(pages, f"{tmp_path}/warc", min_bytes=5)
