@@ -281,11 +281,7 @@ def canonical_links(spark, d):
     f"WITH {EDGE_SQL} SELECT src, raw, CASE WHEN dst IS NULL THEN '' ELSE s_name END AS entity_name, upper(role[1]) || substr(role, 2) AS role_text FROM g LEFT JOIN supplier ON s_suppkey = dst",
 )
 def relation_view(spark, d):
-    e = edges(spark, d)
-    view = gr.relation_view(e, supplier_nodes(spark, d))
-    return view.join(e.select("src", "pos", "id", "raw"), ["src", "pos"]).filter(
-        F.coalesce("dst", F.lit(-1)) == F.when(F.col("raw") < supplier_nodes(spark, d).count(), F.col("raw")).otherwise(-1)
-    ).select("src", "raw", "entity_name", "role_text").distinct()
+    return gr.relation_view(edges(spark, d), supplier_nodes(spark, d)).select("src", "raw", "entity_name", "role_text")
 
 
 @query(

@@ -189,7 +189,7 @@ def apply_reciprocal(people: DataFrame, clients: DataFrame) -> DataFrame:
 
 
 def relation_view(edges: DataFrame, clients: DataFrame) -> DataFrame:
-    """Edges with the linked client's current name, stored label as fallback, and role text."""
+    """Every edge with the linked client's current name, stored label as fallback, and role text added."""
     n = _node(clients).select(
         F.col("client_idx").alias("dst"),
         F.when(F.col("individual"), F.trim(F.concat_ws(" ", "first_name", "last_name"))).otherwise(F.col("name")).alias("__now"),
@@ -201,7 +201,7 @@ def relation_view(edges: DataFrame, clients: DataFrame) -> DataFrame:
     role = F.when(F.col("role").isin("business owner", "businessowner"), "Business Owner").when(
         F.col("role") != "", F.concat(F.upper(F.substring("role", 1, 1)), F.substr("role", F.lit(2)))
     ).otherwise("Relation")
-    return out.select("src", "pos", "dst", F.coalesce(shown, F.lit("")).alias("entity_name"), role.alias("role_text"))
+    return out.select(*edges.columns, F.coalesce(shown, F.lit("")).alias("entity_name"), role.alias("role_text"))
 
 
 def edges_to_relations(edges: DataFrame) -> DataFrame:
