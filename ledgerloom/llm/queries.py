@@ -23,11 +23,13 @@ from ledgerloom.llm.op9_setsketch import op9_setsketch
 from ledgerloom.llm.op10_compression_bands import op10_compression_bands
 from ledgerloom.llm.op11_filter_audit import ORACLE as FILTER_AUDIT_SQL
 from ledgerloom.llm.op11_filter_audit import op11_filter_audit
+from ledgerloom.llm.op12_line_dedup import ORACLE as LINE_DEDUP_SQL
+from ledgerloom.llm.op12_line_dedup import op12_line_dedup
 
 OPERATORS = (
     op1_snapshots, op2_byte_cnn, op3_url_trees, op4_word_backoff, op5_winnowing,
     op6_fair_queue, op7_warc, op8_nearest_toxic, op9_setsketch, op10_compression_bands,
-    op11_filter_audit,
+    op11_filter_audit, op12_line_dedup,
 )
 
 
@@ -37,4 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The rest is not SQL: networks, trees, neighbours, n-gram scores, sketches and compressors are tested otherwise."""
-    return {"op1_snapshots": SNAPSHOTS_SQL, "op5_winnowing": WINNOWING_SQL, "op6_fair_queue": FAIR_QUEUE_SQL, "op7_warc": WARC_SQL, "op11_filter_audit": FILTER_AUDIT_SQL}
+    return {
+        "op1_snapshots": SNAPSHOTS_SQL, "op5_winnowing": WINNOWING_SQL, "op6_fair_queue": FAIR_QUEUE_SQL, "op7_warc": WARC_SQL,
+        "op11_filter_audit": FILTER_AUDIT_SQL, "op12_line_dedup": LINE_DEDUP_SQL,
+    }
