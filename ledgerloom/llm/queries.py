@@ -25,11 +25,13 @@ from ledgerloom.llm.op11_filter_audit import ORACLE as FILTER_AUDIT_SQL
 from ledgerloom.llm.op11_filter_audit import op11_filter_audit
 from ledgerloom.llm.op12_line_dedup import ORACLE as LINE_DEDUP_SQL
 from ledgerloom.llm.op12_line_dedup import op12_line_dedup
+from ledgerloom.llm.op13_turn_repair import ORACLE as TURN_REPAIR_SQL
+from ledgerloom.llm.op13_turn_repair import op13_turn_repair
 
 OPERATORS = (
     op1_snapshots, op2_byte_cnn, op3_url_trees, op4_word_backoff, op5_winnowing,
     op6_fair_queue, op7_warc, op8_nearest_toxic, op9_setsketch, op10_compression_bands,
-    op11_filter_audit, op12_line_dedup,
+    op11_filter_audit, op12_line_dedup, op13_turn_repair,
 )
 
 
@@ -41,5 +43,5 @@ def oracle_sql() -> dict[str, str]:
     """The rest is not SQL: networks, trees, neighbours, n-gram scores, sketches and compressors are tested otherwise."""
     return {
         "op1_snapshots": SNAPSHOTS_SQL, "op5_winnowing": WINNOWING_SQL, "op6_fair_queue": FAIR_QUEUE_SQL, "op7_warc": WARC_SQL,
-        "op11_filter_audit": FILTER_AUDIT_SQL, "op12_line_dedup": LINE_DEDUP_SQL,
+        "op11_filter_audit": FILTER_AUDIT_SQL, "op12_line_dedup": LINE_DEDUP_SQL, "op13_turn_repair": TURN_REPAIR_SQL,
     }
