@@ -48,15 +48,16 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def bitmap_of(positions: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits of the distinct values of a one-column frame of numbers below `bits`.
+    """Packed bits of the values of a one-column frame of numbers below `bits`.
 
-    At most `bits` small numbers reach the driver, whatever the size of the frame; a full map
-    lets everything through, so readers may only use it to leave out what a later join would drop.
+    The map is put together in tasks, by words of 64 bits, so the driver gets `bits` / 8 bytes and
+    the word numbers, whatever the size of the frame; a full map lets everything through, so readers
+    may only use it to leave out what a later join would drop.
     """
-    seen = np.zeros(bits, dtype=bool)
-    found = positions.distinct().toArrow().column(0).combine_chunks()
-    seen[np.asarray(found, dtype=np.int64)] = True
-    return np.packbits(seen)
+    words = positions.toDF("p").groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    full = np.zeros(-(-bits // 64), np.int64)
+    full[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return np.packbits(np.unpackbits(full.view(np.uint8), bitorder="little")[:bits])
 
 
 def bits_at(packed: np.ndarray, positions: np.ndarray) -> np.ndarray:

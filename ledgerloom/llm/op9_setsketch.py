@@ -12,7 +12,9 @@ many share, and then with a few more; what that links is contracted. Then the cl
 components are compared across components, all pairs that can be links: two sets over the threshold
 have their first common shingle, in any fixed order, near the front of both. Rare shingles come
 first, so what sets a copy apart keeps it from meeting its whole group, and no link is lost.
-A pair at the threshold shares none of the 24 bands of 4 registers with a chance of 2e-8.
+The number of bands follows from the threshold, so that a pair at it shares none with a chance of
+2e-8; of the pairs across components, those whose estimate lies six deviations below the threshold
+are not looked at, which happens to a pair at the threshold with a chance of 1e-9. Nothing else is lost.
 
 Cases: null and empty texts have an empty set and link with nothing; a text of fewer words than a
 shingle is one shingle; rows with the same doc_id are separate rows of one id; a null doc_id takes
@@ -34,8 +36,10 @@ from ledgerloom.llm.common import bitmap_of, bits_at, cut_lineage, map_arrow, ta
 from ledgerloom.llm.components import components
 from ledgerloom.llm.words import NOT_SPACE, byte_view, grams, mix, words
 
-BANDS, ROWS = 24, 4
-M = BANDS * ROWS
+ROWS = 5
+MOST = 1024
+#: Chance that a pair at the threshold shares no band; the number of bands follows from it.
+MISS = 2e-8
 BASE = 1.05
 #: Registers hold 0 to TOP; 2**-64 of the range of a uniform draw is above it.
 TOP = 4095
@@ -51,8 +55,26 @@ SIZE_STEP = 1.06
 #: Words of 64 bits of a set's parity bits: two sets differ in at least as many shingles as in bits.
 PARITY = 8
 _RNG = np.random.Generator(np.random.PCG64(977))
-_TURN = _RNG.integers(0, 1 << 63, M, dtype=np.uint64)
-_STEP = _RNG.integers(1, 1 << 62, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TURN, _STEP = _RNG.integers(0, 1 << 63, (2, MOST), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
+
+
+def _above(x):
+    """Chance that one of two registers is the larger, from the share x of draws that only its set makes."""
+    return -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
+
+
+def bands_for(percent: int) -> int:
+    """Bands of ROWS registers that a pair of that similarity shares none of with a chance of MISS.
+
+    Registers of two sets agree least often when the sets differ in size as far as they can, but by
+    less than the rounding here.
+    """
+    j = percent / 100
+    agree = min(1 - 2 * _above((1 - j) / 2), 1 - _above((1 - j * j) / (1 + j)))
+    bands = int(np.ceil(np.log(MISS) / np.log1p(-(agree**ROWS))))
+    if bands * ROWS > MOST:
+        raise ValueError(f"{percent} per cent asks for {bands * ROWS} registers; there are {MOST}")
+    return bands
 
 
 def registers(minima: np.ndarray) -> np.ndarray:
@@ -62,10 +84,10 @@ def registers(minima: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)) + 128, 0, TOP).astype(">u2")
 
 
-def minima(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Smallest draw of each register over each run of shingles; one row per run."""
-    out = np.empty((len(first), M), np.uint64)
-    for i in range(M):
+def minima(shingles: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
+    """Smallest draw of each of m registers over each run of shingles; one row per run."""
+    out = np.empty((len(first), m), np.uint64)
+    for i in range(m):
         out[:, i] = np.minimum.reduceat((shingles ^ _TURN[i]) * _STEP[i], first)
     return out
 
@@ -88,8 +110,8 @@ def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
-def sketches(docs: DataFrame, size: int, row: Column | None = None) -> DataFrame:
-    """(row_id, doc_id, n_shingles, digest, regs): the set's size, its digest and its registers."""
+def sketches(docs: DataFrame, size: int, m: int, row: Column | None = None) -> DataFrame:
+    """(row_id, doc_id, n_shingles, digest, regs): the set's size, its digest and its m registers."""
 
     def start():
         def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -98,7 +120,7 @@ def sketches(docs: DataFrame, size: int, row: Column | None = None) -> DataFrame
             for sets in shingle_sets(at, data, size):
                 if sets:
                     first = np.cumsum([0] + [len(s) for _, s in sets[:-1]])
-                    rows = registers(minima(mix(np.concatenate([s for _, s in sets])), first))
+                    rows = registers(minima(mix(np.concatenate([s for _, s in sets])), first, m))
                     for (i, s), r in zip(sets, rows, strict=True):
                         n[i], digest[i], regs[i] = len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), r.tobytes()
             cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())]
@@ -141,8 +163,7 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
     u = (na / (na + nb))[:, None]
     v = 1 - u
     j = np.linspace(0, 1, 401)[None, :] * np.minimum(u / v, v / u)
-    p = lambda x: -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
-    up, down = p(np.maximum(u - v * j, 0)), p(np.maximum(v - u * j, 0))
+    up, down = _above(np.maximum(u - v * j, 0)), _above(np.maximum(v - u * j, 0))
     log = lambda x: np.log(np.maximum(x, 1e-12))
     score = more[:, None] * log(up) + less[:, None] * log(down) + same[:, None] * log(1 - up - down)
     best = score.argmax(1)
@@ -151,10 +172,11 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray)
 
 @F.pandas_udf(T.DoubleType())
 def estimate(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-    left = np.frombuffer(b"".join(a), ">u2").reshape(-1, M)
-    right = np.frombuffer(b"".join(b), ">u2").reshape(-1, M)
+    left, right = (np.frombuffer(b"".join(x), ">u2").reshape(len(x), -1) for x in (a, b))
+    if not len(a):
+        return pd.Series(np.zeros(0))
     out = [joint_estimate(left[i : i + 1000], right[i : i + 1000], na.to_numpy()[i : i + 1000], nb.to_numpy()[i : i + 1000]) for i in range(0, len(left), 1000)]
-    return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    return pd.Series(np.concatenate(out))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,18 +225,19 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 
 def parities(sets: DataFrame) -> DataFrame:
-    """(node, b0, b1, ...): for each of 64 * PARITY bits whether an odd number of the set's shingles falls on it."""
+    """(node, size, b0, b1, ...): for each of 64 * PARITY bits whether an odd number of the set's shingles falls on it."""
     bits = 64 * PARITY
 
     def start():
         def fold_(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [np.packbits(np.bincount((s.values.to_numpy() >> 20) & (bits - 1), minlength=bits) & 1).view(np.int64) for s in batch.column(1)]
             table_ = np.array(rows, np.int64).reshape(-1, PARITY)
-            return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(table_[:, i]) for i in range(PARITY)]], names=["node", *[f"b{i}" for i in range(PARITY)]])
+            sizes = pa.array([len(s) for s in batch.column(1)], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), sizes, *[pa.array(table_[:, i]) for i in range(PARITY)]], names=["node", "size", *[f"b{i}" for i in range(PARITY)]])
 
         return fold_
 
-    return map_arrow(sets.select("node", "shingles"), start, "node bigint, " + ", ".join(f"b{i} bigint" for i in range(PARITY)))
+    return map_arrow(sets.select("node", "shingles"), start, "node bigint, size bigint, " + ", ".join(f"b{i} bigint" for i in range(PARITY)))
 
 
 def cross_pairs(sets: DataFrame, percent: int) -> DataFrame:
@@ -226,23 +249,28 @@ def cross_pairs(sets: DataFrame, percent: int) -> DataFrame:
     from below. Of the components that meet at a shingle, the largest isn't paired with itself.
     """
     rows = cut_lineage(prefixes(sets, shingle_counts(sets), percent))
-    met = rows.groupBy("token", "comp").agg(F.count("*").alias("n"))
-    main = met.groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    met_rows = cut_lineage(rows.join(main, "token"))
-    open_ = cut_lineage(met_rows.join(parities(sets), "node"))
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
+    shared = cut_lineage(rows.join(mixed, "token"))
+    met = shared.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    main = met.groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+    open_ = cut_lineage(shared.join(main, "token").select("token", "node", "comp", "n", "pos", (F.col("comp") == F.col("main")).alias("inside")))
     step = lambda c: F.floor(F.log(c) / F.log(F.lit(SIZE_STEP))).cast("int")
     most = F.least(F.col("n"), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent + 1e-6) - F.col("n"))
     least = F.ceil(F.col("n") * percent / 100 - 1e-6)
-    x = open_.withColumn("most", most).filter(F.col("most") >= least)
-    x = x.withColumn("bin", F.explode(F.sequence(step(least), step(F.col("most"))))).select("token", "bin", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"), "main", *[F.col(f"b{i}").alias(f"x{i}") for i in range(PARITY)])
-    y = open_.withColumn("bin", step(F.col("n"))).select("token", "bin", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("main").alias("mb"), *[F.col(f"b{i}").alias(f"y{i}") for i in range(PARITY)])
+    x = open_.withColumn("most", most).filter(F.col("most") >= least).withColumn("bin", F.explode(F.sequence(step(least), step(F.col("most")))))
+    x = x.select("token", "bin", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"), "inside")
+    y = open_.withColumn("bin", step(F.col("n"))).select("token", "bin", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("inside").alias("within"))
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-6)
-    fits = "ca != cb and nb <= na"
     ends = (F.col("na") - F.col("pa") >= need) & (F.col("nb") - F.col("pb") >= need)
-    differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(PARITY)), F.lit(0))
-    pairs = [x.filter("ca != main").join(y, ["token", "bin"]), x.filter("ca = main").join(y.filter("cb != mb"), ["token", "bin"])]
-    both = [p.filter(fits).filter(ends).filter(differ <= F.col("na") + F.col("nb") - 2 * need).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")) for p in pairs]
-    return both[0].unionByName(both[1]).distinct()
+    pairs = [x.filter("not inside").join(y, ["token", "bin"]), x.filter("inside").join(y.filter("not within"), ["token", "bin"])]
+    both = [p.filter("ca != cb and nb <= na").filter(ends).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")) for p in pairs]
+    # ids only up to here: what tells two sets apart is fetched once for each pair of them
+    found = cut_lineage(both[0].unionByName(both[1]).distinct())
+    bits = cut_lineage(parities(sets))
+    side = lambda name: bits.select(F.col("node").alias(name), F.col("size").alias(f"n{name}"), *[F.col(f"b{i}").alias(f"{name}{i}") for i in range(PARITY)])
+    differ = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(PARITY)), F.lit(0))
+    need = F.ceil((F.col("nu") + F.col("nv")) * percent / (100 + percent) - 1e-6)
+    return found.join(side("u"), "u").join(side("v"), "v").filter(differ <= F.col("nu") + F.col("nv") - 2 * need).select("u", "v")
 
 
 def _seated(shared: DataFrame, label: DataFrame) -> DataFrame:
@@ -258,7 +286,7 @@ def _main_component(placed: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between classes that join everything a chain of links joins."""
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("regs").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(bands_for(percent) - 1)), lambda i: F.xxhash64(i, F.col("regs").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     member = classes.select("node", F.explode(pieces).alias("bucket"))
     crowd = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut_lineage(member.join(crowd, "bucket"))
@@ -282,7 +310,7 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     split = cut_lineage(placed.join(main, "bucket"))
     chosen = split.filter("comp = main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("o"), "node"))["node"].alias("v"))
     asked = split.filter("comp != main").select("bucket", F.col("node").alias("u")).join(chosen, "bucket").groupBy("u", "v").agg(F.count("*").alias("n"))
-    some = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "v"))), 1, SECOND_PICKS)  # of BANDS at most
+    some = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "v"))), 1, SECOND_PICKS)  # of as many as there are bands
     more = cut_lineage(asked.groupBy("u").agg(some.alias("p")).select("u", F.explode("p.v").alias("v")))
     star = star.unionByName(cut_lineage(confirm(more, sets, percent)))
     label = cut_lineage(components(star))
@@ -296,7 +324,7 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     left = sketch.select(F.col("node").alias("u"), F.col("regs").alias("ru"), F.col("n_shingles").alias("nu"))
     right = sketch.select(F.col("node").alias("v"), F.col("regs").alias("rv"), F.col("n_shingles").alias("nv"))
     share = percent / 100
-    floor = share - SLACK * (share * (1 - share) / M) ** 0.5
+    floor = share - SLACK * (share * (1 - share) / (bands_for(percent) * ROWS)) ** 0.5
     likely = cut_lineage(cross.join(left, "u").join(right, "v").filter(estimate("ru", "rv", "nu", "nv") >= floor).select("u", "v"))
     return star.unionByName(cut_lineage(confirm(likely, sets, percent)))
 
@@ -307,7 +335,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, row: Colu
     row_id is the column `row` of distinct numbers. Without it it is the row number of one scan, which
     another scan need not repeat.
     """
-    rows = cut_lineage(sketches(docs, size, row))
+    rows = cut_lineage(sketches(docs, size, bands_for(percent) * ROWS, row))
     full = rows.filter("digest is not null")
     classes = cut_lineage(
         full.groupBy("digest").agg(
@@ -316,13 +344,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, row: Colu
     )
     label = cut_lineage(components(near_links(docs, classes, size, percent)))
     named = classes.select("digest", "node", "doc_id").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # both small sides are written, so that the joins may split the rows of a large component
+    first = cut_lineage(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     named = cut_lineage(named.join(first, "comp").select("digest", "comp", "component_id"))
     out = rows.join(named, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     out = out.select("row_id", "doc_id", "n_shingles", "component_id", F.coalesce("comp", "row_id").alias("comp"))
     # one row of each component: the smallest id, ties by row
     pick = out.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_id"))["row_id"].alias("chosen"))
-    return out.join(pick, "comp").select("row_id", "doc_id", "n_shingles", "component_id", (F.col("row_id") == F.col("chosen")).alias("keeper"))
+    return out.join(cut_lineage(pick), "comp").select("row_id", "doc_id", "n_shingles", "component_id", (F.col("row_id") == F.col("chosen")).alias("keeper"))
 
 
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import pyarrow as pa
 from helpers import ODD, PLAIN, documents, no_documents, odd_documents
 
@@ -125,16 +126,44 @@ def test_near_duplicates_match_brute_force(spark):
     assert op9.near_duplicates(no_documents(spark)).count() == 0
 
 
+def test_no_link_at_the_threshold_is_lost(spark):
+    """2,400 texts whose similarities lie around the threshold; families share common words but no shingle at random."""
+    r = np.random.default_rng(8)
+    rows = []
+    for family in range(600):
+        w = [f"c{int(x)}" if x < 5 else f"f{family}x{int(x)}" for x in r.integers(0, 60, 70)]
+        for copy in range(4):
+            v = list(w)
+            for at in r.integers(0, len(v), copy + int(r.integers(0, 3))).tolist():
+                v[at] = f"n{family}y{int(r.integers(0, 9))}"
+            rows.append((len(rows), " ".join(v)))
+    for size, percent in ((3, 85), (5, 80)):
+        want = Counter()
+        for at in range(0, len(rows), 4):
+            want += plain_components(rows[at : at + 4], size, percent)
+        found = op9.near_duplicates(documents(spark, [(i, t, "en", "s") for i, t in rows]), size, percent).collect()
+        assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in found) == want
+        assert 600 < len({x.component_id for x in found}) < 2300
+
+
+def test_bands_follow_from_the_threshold():
+    for percent in (80, 85, 95):
+        # plain minima agree as often as the sets are similar, registers a little more often
+        assert op9.MISS / 2 < (1 - (percent / 100) ** op9.ROWS) ** op9.bands_for(percent) < 4 * op9.MISS
+    with pytest.raises(ValueError, match="registers"):
+        op9.bands_for(50)
+
+
 def test_sketches_estimate_and_merge():
     r = np.random.default_rng(2)
     a, b = r.integers(0, 1 << 63, (2, 2000), dtype=np.uint64)
     for share in (0.5, 0.85, 0.95):
         k = int(2000 * 2 * share / (1 + share))
         u, v = a, np.concatenate([a[:k], b[k:]])
-        ru, rv = (op9.registers(op9.minima(W.mix(x), np.array([0]))) for x in (u, v))
+        ru, rv = (op9.registers(op9.minima(W.mix(x), np.array([0]), 150)) for x in (u, v))
         got = op9.joint_estimate(ru, rv, np.array([2000]), np.array([2000]))[0]
         assert abs(got - share) < 0.17
-        both = op9.registers(op9.minima(W.mix(np.union1d(u, v)), np.array([0])))
+        both = op9.registers(op9.minima(W.mix(np.union1d(u, v)), np.array([0]), 150))
         assert (both == np.maximum(ru, rv)).all()
 
 
