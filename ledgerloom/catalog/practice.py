@@ -392,9 +392,28 @@ def session_events(spark, d, source: DataFrame | None = None) -> DataFrame:
     return e.select(F.col("user_id").alias("client_idx"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), task.alias("task_name"), note.alias("note"))
 
 
-@query("replay_sessions")
+@query(
+    "replay_sessions",
+    """WITH RECURSIVE ev AS (SELECT user_id AS c, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, 'task ' || event_id % 3 AS task, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id ELSE '' END AS said,
+      CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'hold' WHEN 'purchase' THEN 'finish' WHEN 'signup' THEN CASE WHEN event_id % 7 < 4 THEN 'resume' ELSE 'finish_held' END
+      ELSE CASE WHEN event_id % 7 < 3 THEN 'unfinish' WHEN event_id % 7 < 6 THEN 'suspend_all' ELSE 'remove' END END AS act FROM events),
+    st AS (SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, '' AS act, '' AS said, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS VARCHAR) AS before, CAST(NULL AS VARCHAR) AS after,
+        CAST(NULL AS VARCHAR) AS active, CAST(MAP {} AS MAP(VARCHAR, VARCHAR)) AS known FROM ev
+      UNION ALL SELECT c, i, seq, act, said, item, known[item], after, CASE WHEN after = 'active' THEN item WHEN after IS NOT NULL AND item = active THEN NULL ELSE active END, CASE WHEN after IS NULL THEN known ELSE map_concat(known, MAP {item: after}) END
+      FROM (SELECT st.c, ev.i, ev.seq, ev.act, ev.said, st.active, st.known, CASE WHEN ev.act IN ('hold', 'finish', 'suspend_all') THEN st.active ELSE ev.task END AS item,
+        CASE WHEN ev.act = 'start' AND st.active IS NULL THEN 'active' WHEN ev.act = 'resume' AND st.active IS NULL AND st.known[ev.task] = 'on_hold' THEN 'active'
+          WHEN ev.act IN ('hold', 'suspend_all') AND st.active IS NOT NULL THEN 'on_hold' WHEN ev.act = 'finish' AND st.active IS NOT NULL THEN 'completed'
+          WHEN ev.act = 'finish_held' AND st.active IS NULL AND st.known[ev.task] = 'on_hold' THEN 'completed' WHEN ev.act = 'remove' AND st.known[ev.task] <> 'removed' THEN 'removed'
+          WHEN ev.act = 'unfinish' AND st.known[ev.task] = 'completed' THEN 'on_hold' END AS after FROM st JOIN ev ON ev.c = st.c AND ev.i = st.i + 1)),
+    v AS (SELECT *, act = 'start' AND coalesce(before, '') NOT IN ('active', 'on_hold') AS fresh FROM st WHERE after IS NOT NULL),
+    g AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY c, item ORDER BY seq) AS gen,
+      CASE WHEN act = 'suspend_all' THEN 'Auto-held on app exit' WHEN act IN ('hold', 'finish', 'finish_held') AND said <> '' THEN said END AS line FROM v),
+    w AS (SELECT *, coalesce(max(seq) FILTER (WHERE fresh OR act = 'suspend_all') OVER (PARTITION BY c, item, gen), -1) AS wipe FROM g)
+    SELECT c AS client_idx, item AS task, CAST(gen AS BIGINT) AS gen, arg_max(after, seq) AS status, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY seq) FILTER (WHERE seq >= wipe), '') AS note
+    FROM w GROUP BY c, item, gen HAVING arg_max(after, seq) <> 'removed'""",
+)
 def replay_sessions(spark, d):
-    """Final item states after replaying all events; checked against a sequential loop in the tests."""
+    """Final item states after replaying all events of all clients."""
     items, _, _ = wl.replay_work_events(session_events(spark, d))
     return items.select("client_idx", "task", "gen", "status", "note")
 

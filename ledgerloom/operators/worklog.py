@@ -7,14 +7,12 @@ active(client_idx, work_item_id, task_name, started_at, created_at).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.labels import TASK_KINDS, plural_label, task_label
 from ledgerloom.functions.text import blank, norm_minute, norm_text, note_append, present, preview, split_history_text, tokenize
+from ledgerloom.operators.replay import ACTIONS, judge_events
 from ledgerloom.plans.ordered import Scan, block_of, first_per_key, scan
 from ledgerloom.plans.session import cut_lineage
 
@@ -183,131 +181,15 @@ def work_item_upsert(items: DataFrame, changes: DataFrame, now: str) -> DataFram
     return kept.unionByName(fresh)
 
 
-OPENS, CLOSES = ("start", "resume"), {"hold": "on_hold", "finish": "completed", "suspend_all": "on_hold"}
-ACTIONS = ("start", "resume", "hold", "finish", "suspend_all", "finish_held", "remove", "unfinish")
-
-
-def next_status(action: str, task: str, active: str | None, known: dict[str, str]) -> tuple[str, str] | None:
-    """(task, new status) when the action is allowed, else None. Shared with the stream."""
-    now = known.get(task)
-    if action in OPENS:
-        ok = active is None and bool(task) and (action == "start" or now == "on_hold")
-        return (task, "active") if ok else None
-    if action in CLOSES:
-        return (active, CLOSES[action]) if active is not None else None
-    rules = {
-        "finish_held": (active is None and now == "on_hold", "completed"),
-        "remove": (now not in (None, "removed"), "removed"),
-        "unfinish": (now == "completed", "on_hold"),
-    }
-    ok, to = rules.get(action, (False, ""))
-    return (task, to) if ok else None
-
-
-def replay_work_events(events: DataFrame, local_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def replay_work_events(events: DataFrame, slices: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Final (work items, active sessions, history lines) after an event log, for all clients at once.
 
     events: client_idx, seq, ts, action, task_name, note.  A client has one active task; an
-    action whose precondition fails is ignored.  Clients with at most `local_rows` events
-    stream through Arrow batches in seq order, with only the client's registers kept.
-    Larger ones are settled by chunked scans (`_settle_by_scans`).
+    action whose precondition fails is ignored (`replay.judge_events`, on as many ranges as
+    `slices` says, whatever the size of a client).
     """
     base = events.withColumn("task", F.lower(blank("task_name"))).filter(F.col("action").isin(*ACTIONS))
-    sizes = base.groupBy("client_idx").count().filter(F.col("count") > local_rows).select("client_idx")
-    large = cut_lineage(sizes)
-    if large.isEmpty():
-        return _outcome(_settle_in_order(base))
-    small = _settle_in_order(base.join(large, "client_idx", "left_anti"))
-    big = _settle_by_scans(base.join(large, "client_idx", "left_semi"))
-    return _outcome(small.unionByName(big))
-
-
-JUDGED = ("item", "status", "to")
-
-
-def _settle_in_order(base: DataFrame) -> DataFrame:
-    """Valid events with the task they are about, its status before, and its new status."""
-    schema = ", ".join(f"{n} {t}" for n, t in base.dtypes) + ", item string, status string, to string"
-    names = base.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, active, known = None, None, {}
-        for pdf in batches:
-            keep, rows = [], []
-            for i, (c, action, task) in enumerate(zip(pdf.client_idx, pdf.action, pdf.task, strict=True)):
-                if c != client:
-                    client, active, known = c, None, {}
-                step = next_status(action, task, active, known)
-                if step is None:
-                    continue
-                item, to = step
-                keep.append(i)
-                rows.append((item, known.get(item), to))
-                known[item] = to
-                active = item if to == "active" else None if item == active else active
-            yield pdf[names].iloc[keep].assign(**{n: [r[j] for r in rows] for j, n in enumerate(JUDGED)})
-
-    return base.repartition("client_idx").sortWithinPartitions("client_idx", "seq").mapInPandas(run, schema)
-
-
-def _settle_by_scans(base: DataFrame) -> DataFrame:
-    """The same verdicts without walking a client's events one by one.
-
-    Every precondition reads two registers: the client's active task and the task's status,
-    each the last write before the event, carried by chunked scans.  Whether a write counts
-    depends on earlier ones, so the replay starts by trusting every event and repeats with
-    the invalid ones muted until nothing changes; each round settles at least one more event
-    per client.
-    """
-    state = cut_lineage(base.withColumn("ok", F.lit(True)))
-    while True:
-        nxt = cut_lineage(_registers(state).withColumn("now_ok", _allowed()))
-        if nxt.filter(F.col("now_ok") != F.col("ok")).isEmpty():
-            return nxt.filter("ok").select(*base.columns, *JUDGED)
-        state = cut_lineage(nxt.select(*base.columns, F.col("now_ok").alias("ok")))
-
-
-def _registers(state: DataFrame) -> DataFrame:
-    """Add `active` (client's task before the event), `item` (task the event is about), `status` before."""
-    a, ok = F.col("action"), F.col("ok")
-    opens, closes = a.isin("start", "resume"), a.isin("hold", "finish", "suspend_all")
-    write = F.when(ok & opens, F.col("task")).when(ok & closes, "")
-    # Removing the active task also clears the session: kept apart, because it clears only its own.
-    drop = F.when(ok & (a == "remove"), F.struct("seq", "task"))
-    run = scan(
-        state, ["client_idx"], ["seq"], [block_of("seq")],
-        {"__a": Scan("prev_last", F.when(write.isNotNull(), F.struct("seq", write.alias("task"))))},
-    )
-    gone = scan(
-        run.withColumn("__of", F.coalesce("__a.task", F.lit(""))), ["client_idx", "__of"], ["seq"], [block_of("seq")],
-        {"__d": Scan("prev_last", F.when(drop.isNotNull() & (F.col("task") == F.col("__of")), F.col("seq")))},
-    )
-    cleared = F.col("__d") > F.col("__a.seq")
-    active = F.when(~F.coalesce(cleared, F.lit(False)), F.nullif("__of", F.lit("")))
-    named = gone.withColumn("active", active).withColumn("item", F.when(closes, F.col("active")).otherwise(F.col("task")))
-    to = (
-        F.when(opens, "active").when(a.isin("hold", "suspend_all", "unfinish"), "on_hold")
-        .when(a.isin("finish", "finish_held"), "completed").when(a == "remove", "removed")
-    )
-    with_item = named.withColumn("__i", F.coalesce("item", F.lit("")))
-    out = scan(
-        with_item, ["client_idx", "__i"], ["seq"], [block_of("seq")], {"status": Scan("prev_last", F.when(ok, to))}
-    )
-    return out.drop("__a", "__of", "__d", "__i").withColumn("to", to)
-
-
-def _allowed() -> Column:
-    a = F.col("action")
-    idle, held = F.col("active").isNull(), F.coalesce(F.col("status") == "on_hold", F.lit(False))
-    known = F.col("status").isNotNull() & (F.col("status") != "removed")
-    return (
-        F.when(a == "start", idle & (F.col("task") != ""))
-        .when(a.isin("resume", "finish_held"), idle & held)
-        .when(a.isin("hold", "finish", "suspend_all"), ~idle)
-        .when(a == "remove", known)
-        .when(a == "unfinish", F.coalesce(F.col("status") == "completed", F.lit(False)))
-        .otherwise(False)
-    )
+    return _outcome(cut_lineage(judge_events(base, slices)))
 
 
 def _outcome(valid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

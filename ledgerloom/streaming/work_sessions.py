@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerloom.operators.worklog import next_status
+from ledgerloom.operators.replay import next_status
 
 OUTPUT = "client_idx long, seq long, ts timestamp, task string, status string, note string"
 STATE = "active string, tasks array<string>, statuses array<string>, last_seq long, last_ts timestamp"

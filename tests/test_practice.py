@@ -10,6 +10,7 @@ from ledgerloom.operators import calendar as cal
 from ledgerloom.operators import documents as dc
 from ledgerloom.operators import graph as gr
 from ledgerloom.operators import merges as mg
+from ledgerloom.operators import replay as rp
 from ledgerloom.operators import tasks as tk
 from ledgerloom.operators import worklog as wl
 from ledgerloom.sources import readers, sinks
@@ -51,12 +52,55 @@ def _events(rng, n):
 EVENTS = "client_idx long, seq long, ts timestamp, action string, task_name string, note string"
 
 
-def test_replay_by_scans_equals_replay_in_order(spark):
-    df = spark.createDataFrame(_events(random.Random(6), 150), EVENTS)
-    a, b = wl.replay_work_events(df), wl.replay_work_events(df, local_rows=0)
-    for x, y in zip(a, b, strict=True):
+def _verdicts(rows):
+    """Allowed events by walking every client in order."""
+    seen, out = {}, set()
+    for c, seq, _, action, task, _ in sorted(rows, key=lambda r: (r[0], r[1])):
+        active, known = seen.setdefault(c, [None, {}])
+        step = rp.next_status(action, task.strip().lower(), active, known)
+        if step:
+            out.add((c, seq, step[0], known.get(step[0]), step[1]))
+            known[step[0]] = step[1]
+            seen[c][0] = step[0] if step[1] == "active" else None if step[0] == active else active
+    return out
+
+
+def test_what_is_left_of_a_run_does_what_the_run_does():
+    """Residual programs against the events themselves, from every kind of register, and their length."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        many = rng.choice([1, 2, 3, 6])
+        event = lambda: (rng.choice(rp.ACTIONS), rng.choice(["", *(f"t{i}" for i in range(many))]))
+        start, run = [event() for _ in range(rng.choice([0, 3, 20]))], [event() for _ in range(rng.choice([1, 2, 5, 40]))]
+        plain, short, left = rp.Register(), rp.Register(), rp.Residue()
+        for e in start:
+            plain.take(*e)
+            short.take(*e)
+        for e in run:
+            plain.take(*e)
+            left.take(*e)
+        rp.run_program(short, left.program())
+        assert (plain.active, plain.known) == (short.active, short.known), (start, run)
+    left = rp.Residue()
+    for _ in range(10_000):
+        left.take(rng.choice(rp.ACTIONS), f"t{rng.randrange(5)}")
+    assert len(left.program()) < 200
+
+
+def test_replay_does_not_depend_on_the_ranges(spark):
+    """A client with a third of all rows, cut into many ranges, among small ones."""
+    rng = random.Random(6)
+    rows = _events(rng, 400)
+    rows += [(9, 10_000 + i, dt.datetime(2024, 3, 1), rng.choice(wl.ACTIONS), f"Task {rng.randint(0, 40)}", "") for i in range(200)]
+    df = spark.createDataFrame(rows, EVENTS)
+    base = df.withColumn("task", F.lower("task_name"))
+    for slices in (1, 7, 60):
+        got = {(r.client_idx, r.seq, r.item, r.status, r.to) for r in rp.judge_events(base, slices).collect()}
+        assert got == _verdicts(rows)
+    for x, y in zip(wl.replay_work_events(df, 1), wl.replay_work_events(df, 25), strict=True):
         left = sorted(map(str, x.select(*sorted(x.columns)).collect()))
         assert left and left == sorted(map(str, y.select(*sorted(y.columns)).collect()))
+    assert rp.judge_events(base.limit(0)).count() == 0
 
 
 def test_stream_ends_where_the_batch_ends(spark, tmp_path):
