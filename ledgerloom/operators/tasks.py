@@ -3,21 +3,22 @@
 A task row carries: id, client columns, kind, kind_other, freq, dom, dom2, weekday,
 anchor_date, months, start_on, effective_from, end_on, pause_from, resume_from,
 is_paused, is_enabled, due, action_lead_days, method, completed, cancelled.
-Expansion is row-local (`sequence` + `filter`), so no shuffle until a feed ranks.
+Expansion is row-local: the numbers of the first and the last period that can touch the window
+follow from the rule, and the day of each number in between is computed, so its cost is that of the
+rows it makes, not that of the window's days.  No shuffle until a feed ranks.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import clamp_day, next_monthly, next_quarterly, next_semi_monthly
 from ledgerloom.functions.labels import DUE_WITHIN_DAYS, SUBMISSION_METHODS, occurrence_tags
 from ledgerloom.functions.text import blank
 from ledgerloom.operators.calendar import Span, display_date
-from ledgerloom.plans.ordered import first_per_key
 
 PAST_DAYS, FUTURE_DAYS, PAST_CHUNK = 7, 7, 90
 QUARTER_MONTHS = (1, 4, 7, 10)
@@ -67,6 +68,52 @@ def occurs_on(day: Column) -> Column:
     return ~F.coalesce(closed, F.lit(False)) & F.coalesce(rule, F.lit(False))
 
 
+def _enumerated(tasks: DataFrame, lo: dt.date, hi: dt.date) -> DataFrame:
+    """`tasks` with `orig`, one row per day in [lo, hi] on which the task falls; the days that `occurs_on` accepts.
+
+    Weeks are counted from the task's base day, months from that of the window's first open day;
+    a semi-monthly task has two numbers a month.
+    """
+    freq = _freq()
+    weekly, twice = freq.isin("weekly", "biweekly"), freq == "semi-monthly"
+    low = F.greatest(F.lit(lo), F.col("effective_from"), F.col("start_on"))
+    last = F.when(F.coalesce("is_paused", F.lit(False)), F.date_sub("pause_from", 1))
+    high = F.least(F.lit(hi), F.col("end_on"), last)
+    period = F.when(freq == "weekly", 7).otherwise(14)
+    by_day = F.col("weekday").isNotNull()
+    base = F.when(by_day, F.coalesce("start_on", "anchor_date")).otherwise(F.col("anchor_date"))
+    # periods are whole weeks, so every day of the series has the base's weekday
+    base = F.when(~by_day | (F.weekday(base) == F.col("weekday")), base)
+    months = ((F.year("__high") - F.year("__low")) * 12 + F.month("__high") - F.month("__low")).cast("long")
+    calendar = freq.isin("monthly", "semi-monthly", "quarterly")
+    from_ = F.when(weekly, F.greatest(F.ceil(F.date_diff("__low", "__base") / period), F.lit(0))).otherwise(F.lit(0))
+    to = F.when(weekly, F.floor(F.date_diff("__high", "__base") / period)).when(twice, months * 2 + 1).when(calendar, months).otherwise(F.lit(0))
+    ranged = tasks.withColumns({"__low": low, "__high": high, "__base": base}).filter("__low <= __high")
+    rule = {
+        "__every": F.when(weekly, period),
+        "__first": F.when(calendar, F.trunc(F.col("__low"), "month")),
+        "__dom": F.coalesce("dom", F.when(twice, 5).when(freq == "quarterly", 15).otherwise(1)),
+        "__dom2": F.when(twice, _or("dom2", 20)),
+        "__months": F.when(freq == "quarterly", _months()),
+        "__once": F.when(freq == "one-off", F.col("due")),
+    }
+    ranged = ranged.withColumns({"__from": from_.cast("int"), "__to": to.cast("int"), **rule}).filter("__from <= __to")
+    rows = ranged.withColumn("__k", F.explode(F.sequence("__from", "__to")))
+    k, second = F.col("__k"), F.col("__dom2").isNotNull() & (F.col("__k") % 2 == 1)
+    month = F.add_months("__first", F.when(F.col("__dom2").isNotNull(), F.shiftright(k, 1)).otherwise(k))
+    rows = rows.withColumn("__month", F.explode(F.array(month)))
+    long = F.dayofmonth(F.last_day("__month"))
+    nth, other = F.least("__dom", long), F.least("__dom2", long)
+    # the second day of a month may be the first one again
+    place = F.when(~second, nth).when(nth != other, other)
+    place = F.when((place >= 1) & F.coalesce(F.array_contains("__months", F.month("__month")), F.col("__months").isNull()), place)
+    day = F.coalesce("__once", F.date_add("__base", k * F.col("__every")), F.date_add("__month", place - 1))
+    rows = rows.withColumn("orig", F.explode(F.array(day)))
+    gap = (F.col("pause_from") < F.col("resume_from")) & (F.col("orig") >= F.col("pause_from")) & (F.col("orig") < F.col("resume_from"))
+    rows = rows.filter(F.col("orig").between(F.col("__low"), F.col("__high")) & ~F.coalesce(gap, F.lit(False)))
+    return rows.drop("__low", "__high", "__base", "__from", "__to", "__k", "__month", *rule)
+
+
 def expand_occurrences(
     tasks: DataFrame, start: dt.date, end: dt.date, buffer: int = 10, done_by: str = "either"
 ) -> DataFrame:
@@ -75,8 +122,7 @@ def expand_occurrences(
     `done_by` is "either" (original or display date closes it) or "orig".
     """
     lo, hi = start - dt.timedelta(days=buffer), end + dt.timedelta(days=buffer)
-    days = F.filter(F.sequence(F.lit(lo), F.lit(hi)), occurs_on)
-    rows = tasks.withColumn("orig", F.explode(days))
+    rows = _enumerated(tasks, lo, hi)
     far = tasks.agg(F.max("action_lead_days")).first()[0] or 0
     rows = display_date(rows, "orig", "action_lead_days", "disp", Span(lo, hi, max(0, far)))
     none = F.array().cast("array<date>")
@@ -127,19 +173,30 @@ def pause_start(today: dt.date) -> Column:
     return F.when(_freq() != "one-off", day)
 
 
-def next_occurrences(occ: DataFrame, today: dt.date, end: dt.date, key: str = "id") -> DataFrame:
-    """Per task the nearest upcoming occurrence, and the next one not yet done.
+def _nearest(occ: DataFrame, key: str, past: Column, ahead: Column, skip_done: bool) -> DataFrame:
+    """The occurrences of `past`, and of those of `ahead` a task's first and the next one not done.
 
-    Occurrences per task in a feed window number a few dozen at most, so they are
-    aggregated, not windowed.
+    With `skip_done` the second is shown only where the first is done.  Occurrences per task in a
+    feed window number a few dozen at most; one shuffle by task serves all ranks.
     """
-    t = F.lit(today)
-    up = occ.filter(F.col("disp").between(t, F.lit(end)))
-    rows = F.array_sort(F.collect_list(F.struct("disp", "orig", *[c for c in occ.columns if c not in ("disp", "orig", key)])))
-    grouped = up.groupBy(key).agg(rows.alias("r"))
-    first = F.slice("r", F.lit(1), F.lit(1))
-    later = F.filter("r", lambda x, i: (i > 0) & ~x["is_done"])
-    return grouped.select(key, F.explode(F.concat(first, F.slice(later, F.lit(1), F.lit(1)))).alias("x")).select(key, "x.*")
+    flagged = occ.withColumns({"__past": F.coalesce(past, F.lit(False)), "__up": F.coalesce(ahead, F.lit(False))})
+    line = Window.partitionBy(key, "__up").orderBy("disp", "orig")
+    ranked = flagged.withColumns({"__no": F.row_number().over(line), "__done": F.first("is_done").over(line)})
+    waits = (F.col("__no") > 1) & ~F.col("is_done")
+    ranked = ranked.withColumn("__wait", F.sum(F.when(waits, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    second = waits & (F.col("__wait") == 1) & (F.col("__done") if skip_done else F.lit(True))
+    kept = ranked.filter(F.col("__past") | (F.col("__up") & ((F.col("__no") == 1) | second)))
+    return kept.drop("__past", "__up", "__no", "__done", "__wait")
+
+
+def next_occurrences(occ: DataFrame, today: dt.date, end: dt.date, key: str = "id") -> DataFrame:
+    """Per task the nearest upcoming occurrence, and the next one not yet done."""
+    return _nearest(occ, key, F.lit(False), F.col("disp").between(F.lit(today), F.lit(end)), skip_done=False)
+
+
+def _first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key; groups are the copies of one task's occurrence, already side by side."""
+    return rows.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("__at = 1").drop("__at")
 
 
 def todo_feed(
@@ -150,9 +207,9 @@ def todo_feed(
     start, end = today - dt.timedelta(days=past_days), today + dt.timedelta(days=future_days)
     enabled = tasks.filter(F.coalesce("is_enabled", F.lit(True))).withColumn("kind_label", kind_label())
     occ = expand_occurrences(enabled, start, end)
-    past = occ.filter((F.col("orig") <= F.date_add(F.lit(today - one), 10)) & F.col("disp").between(F.lit(start), F.lit(end)))
-    ahead = next_occurrences(occ.filter(F.col("orig") >= F.date_sub(t, 10)), today, end)
-    rows = first_per_key(past.unionByName(ahead.select(*past.columns)), ["id", "orig"], ["disp"])
+    past = (F.col("orig") <= F.date_add(F.lit(today - one), 10)) & F.col("disp").between(F.lit(start), F.lit(end))
+    ahead = (F.col("orig") >= F.date_sub(t, 10)) & F.col("disp").between(t, F.lit(end))
+    rows = _first_of(_nearest(occ, "id", past, ahead, skip_done=False), ["id", "orig"], "disp")
     mark = F.when(F.col("is_cancelled"), "×").when(F.col("is_done"), "v").otherwise("ㅁ")
     closed = F.col("is_done") | F.col("is_cancelled")
     tags = occurrence_tags(F.col("disp"), closed, t, F.col("method"), F.col("action_lead_days"))
@@ -166,17 +223,9 @@ def client_task_feed(
     """Profile feed: done by original date only, a single upcoming row unless it is done."""
     start, end = today - dt.timedelta(days=past_days), today + dt.timedelta(days=future_days)
     occ = expand_occurrences(tasks.withColumn("kind_label", kind_label()), start, end, buffer=5, done_by="orig")
-    past = occ.filter(
-        (F.col("orig") <= F.lit(today + dt.timedelta(days=4))) & (F.col("disp") >= F.lit(start)) & (F.col("disp") < F.lit(today))
-    )
-    ahead = occ.filter((F.col("orig") >= F.lit(today - dt.timedelta(days=5))) & F.col("disp").between(F.lit(today), F.lit(end)))
-    others = [c for c in occ.columns if c not in ("disp", "orig", key)]
-    rows = ahead.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("disp", "orig", *others))).alias("r"))
-    first = F.slice("r", F.lit(1), F.lit(1))
-    pending = F.slice(F.filter("r", lambda x, i: (i > 0) & ~x["is_done"]), F.lit(1), F.lit(1))
-    shown = F.when(F.element_at("r", 1)["is_done"], F.concat(first, pending)).otherwise(first)
-    near = rows.select(key, F.explode(shown).alias("x")).select(key, "x.*")
-    return first_per_key(past.unionByName(near.select(*past.columns)), [key, "disp"], ["orig"])
+    past = (F.col("orig") <= F.lit(today + dt.timedelta(days=4))) & (F.col("disp") >= F.lit(start)) & (F.col("disp") < F.lit(today))
+    ahead = (F.col("orig") >= F.lit(today - dt.timedelta(days=5))) & F.col("disp").between(F.lit(today), F.lit(end))
+    return _first_of(_nearest(occ, key, past, ahead, skip_done=True), [key, "disp"], "orig")
 
 
 def sort_todo(feed: DataFrame, key: str = "date", ascending: bool = False) -> DataFrame:

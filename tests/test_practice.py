@@ -227,6 +227,25 @@ def test_client_files_round_trip(spark, tmp_path):
     assert counts["clients_added"] == 2 and tables["clients"].count() == 2
 
 
+def test_enumerated_days_are_those_the_predicate_accepts(spark):
+    """Every rule, odd days of month, missing columns, pauses and gaps, on windows long and short."""
+    rng = random.Random(3)
+    day = lambda: rng.choice([None, dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(500))])
+    freqs = ["monthly", "semi-monthly", "weekly", "biweekly", "quarterly", "one-off", "", None, "Weekly", "yearly"]
+    rows = [
+        (i, rng.choice(freqs), rng.choice([None, 0, 1, 15, 29, 31, 40]), rng.choice([None, 0, 20, 31]), rng.choice([None, *range(7)]), day(), rng.choice([None, [], [2, 5, 11]]), day(), day(), day(), day(), day(),
+         rng.choice([None, True, False]), day(), rng.choice([0, 2]))
+        for i in range(800)
+    ]
+    schema = "id int, freq string, dom int, dom2 int, weekday int, anchor_date date, months array<int>, start_on date, effective_from date, end_on date, pause_from date, resume_from date, is_paused boolean, due date, action_lead_days int"
+    t = spark.createDataFrame(rows, schema)
+    for lo, hi in ((dt.date(2024, 1, 1), dt.date(2025, 12, 31)), (dt.date(2024, 2, 28), dt.date(2024, 3, 2)), (dt.date(2024, 5, 5), dt.date(2024, 5, 4))):
+        got = sorted((r.id, r.orig) for r in tk._enumerated(t, lo, hi).select("id", "orig").collect())
+        days = F.sequence(F.lit(lo), F.lit(hi)) if lo <= hi else F.array().cast("array<date>")
+        want = sorted((r.id, r.d) for r in t.select("id", F.explode(F.filter(days, tk.occurs_on)).alias("d")).collect())
+        assert got == want and (lo > hi or want)
+
+
 def test_small_readers(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps([{"phrase": " a ", "vendor": "V"}, {"phrase": "", "vendor": "W"}]))
     assert [(r.phrase, r.vendor) for r in readers.read_rules(spark, str(tmp_path / "r.json")).collect()] == [("a", "V")]
