@@ -5,11 +5,13 @@ import re
 from collections import Counter
 
 import numpy as np
-import pytest
 import pyarrow as pa
+import pytest
+import zstandard
 from helpers import ODD, PLAIN, documents, no_documents, odd_documents
 
 from ledgerloom.llm import op9_setsketch as op9
+from ledgerloom.llm import op10_compression_bands as op10
 from ledgerloom.llm import words as W
 from ledgerloom.llm.op5_winnowing import contamination, fingerprints
 from ledgerloom.llm.op10_compression_bands import compression_rules
@@ -167,6 +169,20 @@ def test_sketches_estimate_and_merge():
         assert (both == np.maximum(ru, rv)).all()
 
 
+def test_both_ends_of_a_text_are_judged(spark):
+    """Prose with a tail or a head of noise or of one phrase is rejected, whichever comes first; prose alone stays."""
+    r = np.random.default_rng(6)
+    vocabulary = ["".join(chr(97 + int(x)) for x in r.integers(0, 26, int(n))) for n in r.integers(2, 9, 900)]
+    prose = " ".join(vocabulary[int(900 * x**2)] for x in r.random(3000))
+    noise = " ".join("".join(chr(33 + int(x)) for x in r.integers(0, 93, 7)) for _ in range(400))
+    phrase = "buy it now " * 400
+    rows = [prose[:4500], prose[:2048] + noise[:1950], noise[:1950] + prose[:2048], prose[:2048] + phrase[:1950], phrase[:1950] + prose[:2048], prose[:1500]]
+    got = {x.doc_id: x for x in compression_rules(documents(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])).collect()}
+    assert [got[i].bad_chunks for i in range(6)] == [0, 1, 1, 1, 1, 0]
+    assert [got[i].kept for i in range(6)] == [True, False, False, False, False, True]
+    assert not any(got[i].base_failed for i in (0, 1, 2, 5))
+
+
 def test_compression_rules_match_plain_counts(spark):
     noise = "".join(chr(33 + x) for x in np.random.default_rng(0).integers(0, 90, 4000)) + " a b" * 20
     texts = [*ODD, noise, "spam and eggs " * 400, "a #b $c\nx\n\nx\n \nx " + PLAIN]
@@ -183,5 +199,16 @@ def test_compression_rules_match_plain_counts(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
         assert not (failed and r.kept)
     assert got[7].kept and not got[len(ODD)].kept and not got[len(ODD) + 1].kept
+    # the verdict itself, by plain calls of the compressor
+    size = lambda b: len(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False).compress(b))
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        if not raw:
+            continue
+        low, high, least, most, share = [b[1:] for b in op10.BANDS if len(raw) >= b[0]][-1]
+        chunks = [raw[a : a + 2048] for a in range(0, len(raw) - 2047, 2048)] + ([raw[-2048:]] if len(raw) > 2048 and len(raw) % 2048 else [])
+        bad = sum(not least <= size(c) / 2048 <= most for c in chunks)
+        fits = low <= size(raw) / len(raw) <= high and (not chunks or bad / len(chunks) < share)
+        assert (got[i].kept, got[i].bad_chunks, got[i].n_chunks) == (not got[i].base_failed and fits, bad, len(chunks))
     assert compression_rules(no_documents(spark)).count() == 0
     assert compression_rules(odd_documents(spark)).count() == len(ODD) + 3
