@@ -19,7 +19,7 @@ from ledgerloom.operators import worklog as wl
 from ledgerloom.plans.ordered import number_rows, spread_of
 from ledgerloom.plans.session import ensure_checkpoint_dir
 from ledgerloom.sources.sinks import document_register_table, with_output_file
-from ledgerloom.streaming.work_sessions import work_sessions_stream
+from ledgerloom.streaming.work_sessions import use_rocksdb, work_sessions_stream
 
 # ---- payroll -----------------------------------------------------------------------------
 
@@ -418,16 +418,35 @@ def replay_sessions(spark, d):
     return items.select("client_idx", "task", "gen", "status", "note")
 
 
-@query("work_sessions_stream")
+@query(
+    "work_sessions_stream",
+    """WITH RECURSIVE src AS (SELECT user_id AS c, event_id AS seq, epoch_us(ts) // 1000 AS ms, 'task ' || event_id % 3 AS task, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id ELSE '' END AS said,
+      CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'hold' WHEN 'purchase' THEN 'finish' WHEN 'signup' THEN CASE WHEN event_id % 7 < 4 THEN 'resume' ELSE 'finish_held' END
+      ELSE CASE WHEN event_id % 7 < 3 THEN 'unfinish' WHEN event_id % 7 < 6 THEN 'suspend_all' ELSE 'remove' END END AS act FROM events),
+    nxt AS (SELECT *, lead(ms) OVER (PARTITION BY c ORDER BY ms, seq) AS after FROM src),
+    ev AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY ms, kind, seq) AS i FROM (SELECT c, seq, ms, 1 AS kind, task, said, act FROM src
+      UNION ALL SELECT c, seq, ms + 28800000, 0, '', 'Auto-held on inactivity', 'suspend_all' FROM nxt WHERE after IS NULL OR after >= ms + 28800000) WHERE ms <= (SELECT max(ms) - 600000 FROM src)),
+    st AS (SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS ms, '' AS said, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS VARCHAR) AS after,
+        CAST(NULL AS VARCHAR) AS active, CAST(MAP {} AS MAP(VARCHAR, VARCHAR)) AS known FROM ev
+      UNION ALL SELECT c, i, seq, ms, said, item, after, CASE WHEN after = 'active' THEN item WHEN after IS NOT NULL AND item = active THEN NULL ELSE active END, CASE WHEN after IS NULL THEN known ELSE map_concat(known, MAP {item: after}) END
+      FROM (SELECT st.c, ev.i, ev.seq, ev.ms, ev.said, st.active, st.known, CASE WHEN ev.act IN ('hold', 'finish', 'suspend_all') THEN st.active ELSE ev.task END AS item,
+        CASE WHEN ev.act = 'start' AND st.active IS NULL THEN 'active' WHEN ev.act = 'resume' AND st.active IS NULL AND st.known[ev.task] = 'on_hold' THEN 'active'
+          WHEN ev.act IN ('hold', 'suspend_all') AND st.active IS NOT NULL THEN 'on_hold' WHEN ev.act = 'finish' AND st.active IS NOT NULL THEN 'completed'
+          WHEN ev.act = 'finish_held' AND st.active IS NULL AND st.known[ev.task] = 'on_hold' THEN 'completed' WHEN ev.act = 'remove' AND st.known[ev.task] <> 'removed' THEN 'removed'
+          WHEN ev.act = 'unfinish' AND st.known[ev.task] = 'completed' THEN 'on_hold' END AS after FROM st JOIN ev ON ev.c = st.c AND ev.i = st.i + 1))
+    SELECT c AS client_idx, seq, ms, item AS task, after AS status, said AS note FROM st WHERE after IS NOT NULL""",
+)
 def work_sessions(spark, d):
-    """The same events as a file stream; the status changes land in Parquet and are read back."""
+    """The same events as a file stream, sessions held after eight hours of silence; the status changes land in Parquet and are read back."""
+    use_rocksdb(spark)
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    out = work_sessions_stream(session_events(spark, d, stream), timeout="3650 days")
+    out = work_sessions_stream(session_events(spark, d, stream))
     root = f"{ensure_checkpoint_dir(spark)}/sessions-{uuid.uuid4().hex}"
     q = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("client_idx long, seq long, ts timestamp, task string, status string, note string").parquet(f"{root}/out")
+    done = spark.read.schema(out.schema).parquet(f"{root}/out")
+    return done.select("client_idx", "seq", F.unix_millis("ts").alias("ms"), "task", "status", "note")
 
 
 @query(

@@ -1,68 +1,148 @@
 """Work sessions from an event stream: one open session per client, auto-hold on inactivity.
 
-The batch form is `worklog.replay_work_events`; on a bounded input both give the same
-active sessions and item states.
+Events are applied in order of event time: a row waits in map state under its time until the
+watermark has passed it, and the timer of that time applies what has come for it, so neither the
+order of arrival nor the size of a batch matters and no rows of a client are gathered in memory.
+State per client is the open task and the last event (value state), the status of each of its tasks
+(map state, without removed ones) and the waiting rows.  A session without an event for `timeout` is
+held by a timer.  What a client leaves behind is cleared when it has been silent for `forget`.
+
+`with_auto_holds` gives the same events to the batch form (`replay.judge_events`).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ledgerloom.operators.replay import next_status
+from ledgerloom.functions.text import blank
+from ledgerloom.operators.replay import ACTIONS, next_status
 
 OUTPUT = "client_idx long, seq long, ts timestamp, task string, status string, note string"
-STATE = "active string, tasks array<string>, statuses array<string>, last_seq long, last_ts timestamp"
-
-def _advance(timeout_ms: int):
-    def run(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, status, seq, ts = None, {}, -1, None
-        if state.exists:
-            active, names, values, seq, ts = state.get
-            status = dict(zip(names, values, strict=True))
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            if active is not None:
-                out.append((key[0], seq, ts, active, "on_hold", "Auto-held on inactivity"))
-                status[active], active = "on_hold", None
+AUTO_HELD = "Auto-held on inactivity"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _struct(**fields: type) -> StructType:
+    """A schema without a session, which the processor's worker has not."""
+    return StructType([StructField(n, t()) for n, t in fields.items()])
+
+
+SESSION = _struct(active=StringType, last_ms=LongType, last_seq=LongType, forget_at=LongType)
+
+
+class Sessions(StatefulProcessor):
+    """Registers of one client; times are whole milliseconds."""
+
+    def __init__(self, timeout_ms: int, forget_ms: int) -> None:
+        self.timeout, self.forget = timeout_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", SESSION)
+        self.status = handle.getMapState("status", _struct(task=StringType), _struct(status=StringType))
+        self.waiting = handle.getMapState("waiting", _struct(ms=LongType), _struct(rows=StringType))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        for r in rows:
+            at = (r.ms,)
+            held = self.waiting.getValue(at) if self.waiting.containsKey(at) else None
+            if held is None:
+                # also for the silence that may follow: a timer set while timers run fires a batch later
+                self.handle.registerTimer(r.ms)
+                self.handle.registerTimer(r.ms + self.timeout)
+            line = [r.seq, r.action, r.task, r.note]
+            self.waiting.updateValue(at, (json.dumps([*(json.loads(held[0]) if held else []), line]),))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        active, last_ms, last_seq, forget_at = self.session.get() if self.session.exists() else (None, None, -1, -1)
+        out = []
+
+        def put(seq: int, ms: int, task: str, status: str, note: str) -> None:
+            if status == "removed":
+                self.status.removeKey((task,))
+            else:
+                self.status.updateValue((task,), (status,))
+            out.append((key[0], seq, ms, task, status, note))
+
+        # the silence before `now`
+        if active is not None and last_ms + self.timeout <= now:
+            put(last_seq, last_ms + self.timeout, active, "on_hold", AUTO_HELD)
+            active = None
+        if last_ms is not None and last_ms + self.forget <= now:
+            self.status.clear()
+        if self.waiting.containsKey((now,)):
+            for seq, action, task, note in sorted(json.loads(self.waiting.getValue((now,))[0])):
+                known = {task: self.status.getValue((task,))[0]} if self.status.containsKey((task,)) else {}
+                step = next_status(action, task, active, known)
+                last_ms, last_seq = now, seq
+                if step is not None:
+                    put(seq, now, *step, note)
+                    active = step[0] if step[1] == "active" else None if step[0] == active else active
+            self.waiting.removeKey((now,))
+        # one timer stands for forgetting; it moves on while events come
+        if forget_at <= now and last_ms is not None:
+            forget_at = last_ms + self.forget if last_ms + self.forget > now else -1
+            if forget_at > now:
+                self.handle.registerTimer(forget_at)
+        if forget_at < 0:
+            self.session.clear()
         else:
-            # Only this batch's rows of one client are ever held here.
-            rows = pd.concat(list(batches)).sort_values("seq")
-            for r in rows.itertuples():
-                step = next_status(r.action, (r.task_name or "").strip().lower(), active, status)
-                seq, ts = int(r.seq), r.ts
-                if step is None:
-                    continue
-                task, to = step
-                status[task] = to
-                if to == "active":
-                    active = task
-                elif task == active:
-                    active = None
-                out.append((key[0], seq, ts, task, to, r.note or ""))
-        state.update((active, list(status), list(status.values()), seq, ts))
-        if active is not None and not state.hasTimedOut:
-            stamp = int(pd.Timestamp(ts).timestamp() * 1000) + timeout_ms
-            state.setTimeoutTimestamp(max(stamp, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["client_idx", "seq", "ts", "task", "status", "note"])
-
-    return run
-
-
-def work_sessions_stream(events: DataFrame, timeout: str = "8 hours", lateness: str = "10 minutes") -> DataFrame:
-    """Status changes of a streaming event table (client_idx, seq, ts, action, task_name, note).
-
-    Events of a client are expected in seq order up to the allowed lateness.  A session that
-    sees no event for `timeout` of event time is put on hold.
+            self.session.update((active, last_ms, last_seq, forget_at))
+        for client, seq, ms, task, status, note in out:
+            yield Row(client_idx=client, seq=seq, ms=ms, task=task, status=status, note=note)
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(length: str) -> int:
+    return int(pd.Timedelta(length).total_seconds() * 1000)
+
+
+def work_sessions_stream(events: DataFrame, timeout: str = "8 hours", lateness: str = "10 minutes", forget: str = "400 days") -> DataFrame:
+    """Status changes of a streaming event table (client_idx, seq, ts, action, task_name, note), in order of event time.
+
+    Rows later than `lateness` are dropped.  A session that sees no event for `timeout` is put on
+    hold at that moment.  Needs the RocksDB state store (`use_rocksdb`).
     """
-    gap = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    return (
-        events.withWatermark("ts", lateness)
-        .groupBy("client_idx")
-        .applyInPandasWithState(_advance(gap), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    if _millis(forget) <= _millis(timeout):
+        raise ValueError("a client can only be forgotten after its session has timed out")
+    rows = events.withWatermark("ts", lateness).filter(F.col("action").isin(*ACTIONS))
+    rows = rows.select("client_idx", "seq", "ts", F.unix_millis("ts").alias("ms"), "action", F.lower(blank("task_name")).alias("task"), F.coalesce("note", F.lit("")).alias("note"))
+    out = rows.groupBy("client_idx").transformWithState(
+        statefulProcessor=Sessions(_millis(timeout), _millis(forget)),
+        outputStructType=StructType.fromDDL("client_idx long, seq long, ms long, task string, status string, note string"),
+        outputMode="append",
+        timeMode="eventTime",
     )
+    return out.select("client_idx", "seq", F.timestamp_millis("ms").alias("ts"), "task", "status", "note")
+
+
+def use_rocksdb(spark) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def with_auto_holds(events: DataFrame, timeout: str = "8 hours") -> DataFrame:
+    """The events up to the watermark's end in batch form: numbered by time, with a hold after each silence of `timeout`.
+
+    `seq` becomes a struct of (time, kind, seq), which orders as the stream does; a hold carries the
+    seq of the event before it and is ignored where no session is open.
+    """
+    ms = F.unix_millis("ts")
+    rows = events.select("*", F.struct(ms.alias("ms"), F.lit(1).alias("kind"), F.col("seq").alias("of")).alias("__at"))
+    nxt = F.lead(ms).over(Window.partitionBy("client_idx").orderBy("__at"))
+    silent = rows.withColumn("__next", nxt).withColumn("__end", ms + _millis(timeout)).filter(F.coalesce(F.col("__next") >= F.col("__end"), F.lit(True)))
+    holds = silent.withColumn("__at", F.struct(F.col("__end").alias("ms"), F.lit(0).alias("kind"), F.col("seq").alias("of")))
+    holds = holds.withColumns({"ts": F.timestamp_millis("__end"), "action": F.lit("suspend_all"), "task_name": F.lit(""), "note": F.lit(AUTO_HELD)})
+    both = rows.unionByName(holds.drop("__next", "__end"))
+    return both.drop("seq").withColumnRenamed("__at", "seq")

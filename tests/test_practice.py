@@ -103,22 +103,34 @@ def test_replay_does_not_depend_on_the_ranges(spark):
     assert rp.judge_events(base.limit(0)).count() == 0
 
 
-def test_stream_ends_where_the_batch_ends(spark, tmp_path):
-    from ledgerloom.streaming.work_sessions import work_sessions_stream
+def test_stream_equals_the_batch_with_holds(spark, tmp_path):
+    """Two batches out of order, sessions that time out in the middle and at the end, and a client that is forgotten."""
+    from ledgerloom.streaming.work_sessions import AUTO_HELD, use_rocksdb, with_auto_holds, work_sessions_stream
 
-    df = spark.createDataFrame(_events(random.Random(1), 300), EVENTS)
-    df.write.parquet(str(tmp_path / "in"))
-    out = work_sessions_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), timeout="3650 days")
+    rng = random.Random(1)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, at = [], t0
+    for i in range(240):
+        at += dt.timedelta(minutes=rng.choice([0, 1, 20, 90]))
+        rows.append((rng.randint(0, 4), i, at, rng.choice(wl.ACTIONS), f"Task {rng.randint(0, 2)}", rng.choice(["", f"n{i}"])))
+    far = at + dt.timedelta(days=40)
+    rows += [(7, 900, t0, "start", "Once", ""), (7, 901, far, "resume", "Once", ""), (8, 902, far + dt.timedelta(hours=9), "start", "Late", "")]
+    df = spark.createDataFrame(rows, EVENTS)
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, EVENTS).repartition(6).write.parquet(str(tmp_path / "in"))
+    use_rocksdb(spark)
+    out = work_sessions_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in")), timeout="1 hour", forget="30 days")
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out")).groupBy("client_idx", "task").agg(F.max_by("status", "seq").alias("s"))
-    got = {(r.client_idx, r.task): r.s for r in last.filter("s <> 'removed'").collect()}
-    items, active, _ = wl.replay_work_events(df)
-    newest = items.groupBy("client_idx", "task").agg(F.max_by("status", "gen").alias("s"))
-    # A removed item leaves older finished items of its name in the batch table.
-    want = {(r.client_idx, r.task): r.s for r in newest.collect()}
-    assert {k: v for k, v in want.items() if k in got} == got
-    assert {(r.client_idx, r.task) for r in active.collect()} == {k for k, v in got.items() if v == "active"}
+    got = {tuple(r) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
+    end = far + dt.timedelta(hours=9) - dt.timedelta(minutes=10)
+    base = with_auto_holds(df, "1 hour").withColumn("task", F.lower("task_name"))
+    verdicts = rp.judge_events(base.filter(F.col("ts") <= F.lit(end)), 5)
+    want = {(r.client_idx, r.seq.of, r.ts, r.item, r.to, r.note or "") for r in verdicts.collect()}
+    # the batch form remembers for ever; the stream has forgotten client 7 when it comes back
+    want = {w for w in want if w[0] != 7 or w[2] < far}
+    assert got == want
+    assert sum(r[5] == AUTO_HELD for r in got) > 10 and (7, 900, t0 + dt.timedelta(hours=1), "once", "on_hold", AUTO_HELD) in got
 
 
 def test_unique_names_equal_the_loop(spark):
