@@ -1,9 +1,13 @@
 """Similarity joins that never compare all pairs.
 
-Candidates come from exact prefix filters: when two texts must share at least T of
-their bigrams, they share one among the rarest (n - T + 1) of either side.  The same
-argument on token weight covers the token-set score.  Scores run in Arrow UDFs over
-candidates only.
+Candidates come from an index of bigrams.  When two texts must share at least T of their
+bigrams in order, the rarest shared one is among the rarest (n - T + 1) of either side, at
+places that differ by no more than the characters that stay unmatched, in texts of like
+length; gram and length band are the join key, the places a condition on it.  Pairs that
+meet are then counted: all T grams must be there, and the edit distance must leave room for
+the matched characters.  The token-set score adds an index of
+words weighted by their characters, counted the same way.  Scores run in Arrow UDFs over
+what is left.
 """
 
 from __future__ import annotations
@@ -15,6 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.plans.session import cut_lineage
+
+#: Text lengths are banded in steps of a quarter.
+LENGTH_STEP = 1.25
+
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -77,32 +86,64 @@ def _bigrams(text: Column) -> Column:
     return F.when(n <= 3, F.concat(F.filter(pairs, lambda p: F.length(p) == 2), singles)).otherwise(pairs)
 
 
-def _prefix(df: DataFrame, text: str, counts: DataFrame, ratio: float) -> DataFrame:
-    """(text, token) for the rarest bigrams that a match cannot all miss."""
-    n = F.length(text)
-    # With M matched characters in k blocks, k <= S - 2M + 1, so at least M - k bigrams are
-    # shared; M >= r*S/2 gives (1.5r - 1)*S - 1, and r also forces S >= 2n/(2 - r).
-    share = F.ceil((1.5 * ratio - 1.0) * (2.0 / (2.0 - ratio)) * n - 1.0 - 1e-9)
+def _share(n: Column, ratio: float) -> Column:
+    """Bigrams that texts of `n` characters together share at least.
+
+    With M matched characters in k blocks, k <= n - 2M + 1, so at least M - k bigrams are
+    shared; M >= ratio * n / 2.
+    """
+    return F.ceil((1.5 * ratio - 1.0) * n - 1.0 - 1e-9)
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(LENGTH_STEP))).cast("int")
+
+
+def _indexed(df: DataFrame, text: str, ratio: float, ordered: bool) -> DataFrame:
+    """(text, n, grams, bag): the bigrams in order, and hashes of them with repeats numbered."""
+    grams = _bigrams(F.col(text))
+    numbered = _numbered(grams)
+    return df.select(text, F.length(text).alias("n"), (grams if ordered else numbered).alias("grams"), F.transform(numbered, lambda t: F.xxhash64(t)).alias("bag"))
+
+
+def _prefix(rows: DataFrame, text: str, counts: DataFrame, ratio: float) -> DataFrame:
+    """(text, n, token, pos) for the rarest bigrams that a match cannot all miss."""
+    n = F.col("n")
+    # the ratio also forces the lengths' sum to 2n / (2 - ratio) or more
+    share = _share(n * (2.0 / (2.0 - ratio)), ratio)
     keep = F.when(n <= 3, F.lit(1 << 20)).otherwise(F.greatest((n - 1) - F.greatest(share, F.lit(1)) + 1, F.lit(1)))
-    tokens = df.select(text, keep.cast("int").alias("keep"), F.explode(_numbered(_bigrams(F.col(text)))).alias("token"))
-    ranked = tokens.join(counts, "token").groupBy(text, "keep").agg(
-        F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("tokens")
-    )
-    return ranked.select(text, F.explode(F.slice("tokens", F.lit(1), F.col("keep"))).alias("t")).select(
-        text, F.col("t.token").alias("token")
+    tokens = rows.select(text, "n", keep.cast("int").alias("keep"), F.posexplode("grams").alias("pos", "token"))
+    ranked = tokens.join(counts, "token").groupBy(text, "n", "keep").agg(
+        F.array_sort(F.collect_list(F.struct("freq", "token", "pos"))).alias("tokens")
     )
+    return ranked.select(text, "n", F.explode(F.slice("tokens", F.lit(1), F.col("keep"))).alias("t")).select(text, "n", "t.token", "t.pos")
 
 
-def ratio_candidates(left: DataFrame, right: DataFrame, a: str, b: str, ratio: float) -> DataFrame:
-    """Distinct (a, b) pairs that can reach 2*matched/(len a + len b) >= ratio."""
-    left, right = left.select(a).distinct(), right.select(b).distinct()
-    both = left.select(F.col(a).alias("x")).unionByName(right.select(F.col(b).alias("x")))
-    counts = both.select(F.explode(_numbered(_bigrams(F.col("x")))).alias("token")).groupBy("token").agg(
-        F.count("*").alias("freq")
-    )
-    pairs = _prefix(left, a, counts, ratio).join(_prefix(right, b, counts, ratio), "token")
-    total = F.length(a) + F.length(b)
-    return pairs.filter(2 * F.least(F.length(a), F.length(b)) >= F.lit(ratio) * total - 1e-9).select(a, b).distinct()
+def ratio_candidates(left: DataFrame, right: DataFrame, a: str, b: str, ratio: float, ordered: bool = True) -> DataFrame:
+    """Distinct (a, b) pairs that can reach 2*matched/(len a + len b) >= ratio.
+
+    `ordered` says that the texts are matched as they stand; otherwise only their bigrams count,
+    not where they are.
+    """
+    left, right = (cut_lineage(_indexed(x.select(c).distinct(), c, ratio, ordered)) for x, c in ((left, a), (right, b)))
+    both = left.select(F.explode("grams").alias("token")).unionByName(right.select(F.explode("grams").alias("token")))
+    counts = cut_lineage(both.groupBy("token").agg(F.count("*").alias("freq")))
+    wide = (2.0 - ratio) / ratio
+    bands = F.explode(F.sequence(_band(F.floor(F.col("n") / wide)), _band(F.ceil(F.col("n") * wide))))
+    x = _prefix(left, a, counts, ratio).withColumn("band", bands).withColumnsRenamed({"n": "na", "pos": "pa"})
+    y = _prefix(right, b, counts, ratio).withColumn("band", _band(F.col("n"))).withColumnsRenamed({"n": "nb", "pos": "pb"})
+    total, matched = F.col("na") + F.col("nb"), F.ceil((F.col("na") + F.col("nb")) * ratio / 2 - 1e-9)
+    shift = F.col("pb") - F.col("pa")
+    near = (F.least("na", "nb") <= 3) | ((shift <= F.col("nb") - matched) & (-shift <= F.col("na") - matched))
+    alike = 2 * F.least("na", "nb") >= F.lit(ratio) * total - 1e-9
+    pairs = x.join(y, ["token", "band"]).filter(alike & near if ordered else alike).select(a, b).distinct()
+    bags = pairs.join(left.select(a, F.col("n").alias("na"), F.col("bag").alias("xa")), a).join(right.select(b, F.col("n").alias("nb"), F.col("bag").alias("xb")), b)
+    enough = (F.least("na", "nb") <= 3) | (F.size(F.array_intersect("xa", "xb")) >= _share(F.col("na") + F.col("nb"), ratio))
+    if ordered:
+        # what is matched in order need not be edited: the distance is at most the unmatched characters of both
+        spare = F.floor((1.0 - ratio) * (F.col("na") + F.col("nb")) + 1e-9).cast("int")
+        enough = enough & (F.call_function("levenshtein", F.col(a), F.col(b), spare) >= 0)
+    return bags.filter(enough).select(a, b)
 
 
 def token_set_candidates(left: DataFrame, right: DataFrame, a: str, b: str, score: float) -> DataFrame:
@@ -112,29 +153,36 @@ def token_set_candidates(left: DataFrame, right: DataFrame, a: str, b: str, scor
     shared words, so one of that side's rarest words is shared.
     """
     r = score / 100.0
-    left, right = left.select(a).distinct(), right.select(b).distinct()
+    left, right = cut_lineage(_worded(left, a)), cut_lineage(_worded(right, b))
     # Padded with blanks, the bigrams of a word list do not depend on word order.
-    sorted_words = lambda c: F.concat(
-        F.lit(" "), F.array_join(F.array_sort(F.array_distinct(F.split(c, " "))), " "), F.lit(" ")
-    )
-    la = left.withColumn("__sa", sorted_words(F.col(a)))
-    rb = right.withColumn("__sb", sorted_words(F.col(b)))
-    close = (
-        ratio_candidates(la, rb, "__sa", "__sb", r).join(la, "__sa").join(rb, "__sb").select(a, b)
-    )
-    wa = left.select(a, F.explode(F.array_distinct(F.split(a, " "))).alias("word"))
-    wb = right.select(b, F.explode(F.array_distinct(F.split(b, " "))).alias("word"))
-    freq = wa.select("word").unionByName(wb.select("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    padded = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+    la, rb = left.withColumn("__sa", padded(F.col("ws"))).select(a, "__sa"), right.withColumn("__sb", padded(F.col("ws"))).select(b, "__sb")
+    close = ratio_candidates(la, rb, "__sa", "__sb", r, ordered=False).join(la, "__sa").join(rb, "__sb").select(a, b)
+    wa, wb = (x.select(c, "ws", F.explode("ws").alias("word")) for x, c in ((left, a), (right, b)))
+    freq = cut_lineage(wa.select("word").unionByName(wb.select("word")).groupBy("word").agg(F.count("*").alias("freq")))
 
     def rare(w: DataFrame, key: str) -> DataFrame:
-        listed = w.join(freq, "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("freq", "word"))).alias("ws"))
-        total = F.aggregate("ws", F.lit(0), lambda s, x: s + F.length(x["word"]) + 1)
-        allowed = total * (2.0 - 2.0 * r) + 1
-        picked = F.filter(
-            "ws",
-            lambda x, i: F.aggregate(F.slice("ws", F.lit(1), i), F.lit(0), lambda s, y: s + F.length(y["word"]) + 1) <= allowed,
-        )
-        return listed.select(key, F.explode(picked).alias("x")).select(key, F.col("x.word").alias("word"))
-
-    by_word = rare(wa, a).join(wb, "word").select(a, b).unionByName(wa.join(rare(wb, b), "word").select(a, b))
-    return close.unionByName(by_word).distinct()
+        """The rarest words of a side that can keep so little of itself unshared, one more than it may miss."""
+        listed = w.join(freq, "word").groupBy(key, "ws").agg(F.array_sort(F.collect_list(F.struct("freq", "word"))).alias("by"))
+        size = F.length(F.array_join("ws", " "))
+        # the shared words make r / (2 - r) of the side's characters, so more than the rest holds one of them
+        spare = size * (2.0 - 2.0 * r) / (2.0 - r) + 1e-9
+        weight = lambda ws: F.aggregate(ws, F.lit(0), lambda s, x: s + F.length(x["word"]) + 1)
+        picked = F.filter("by", lambda x, i: weight(F.slice("by", F.lit(1), i)) <= spare)
+        return listed.select(key, "ws", F.explode(picked).alias("x")).select(key, "ws", F.col("x.word").alias("word"))
+
+    def held(mine: str, other: str) -> Column:
+        """Whether the shared words make enough of `mine`."""
+        shared, size = F.length(F.array_join(F.array_intersect(mine, other), " ")), F.length(F.array_join(mine, " "))
+        return 2.0 * shared >= r * (shared + size) - 1e-9
+
+    named = lambda w, c, n: w.select(c, F.col("ws").alias(n), "word")
+    by_a = named(rare(wa, a), a, "xa").join(named(wb, b, "xb"), "word").filter(held("xa", "xb")).select(a, b)
+    by_b = named(wa, a, "xa").join(named(rare(wb, b), b, "xb"), "word").filter(held("xb", "xa")).select(a, b)
+    return close.unionByName(by_a).unionByName(by_b).distinct()
+
+
+def _worded(df: DataFrame, text: str) -> DataFrame:
+    """Distinct texts with their distinct words in order."""
+    ws = F.array_sort(F.array_distinct(F.filter(F.split(text, " "), lambda w: w != "")))
+    return df.select(text).distinct().withColumn("ws", ws)

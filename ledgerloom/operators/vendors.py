@@ -233,14 +233,15 @@ def standardize_payee(checks: DataFrame, vendors: DataFrame, threshold: int = 90
 
     `vendors` holds payee_norm.  Several prefix hits resolve to the longest, then alphabetical.
     """
-    names = checks.select(normalize_payee(payee).alias("p")).filter(F.col("p") != "").distinct()
-    terms = vendors.select(F.col("payee_norm").alias("v")).distinct()
+    names = cut_lineage(checks.select(normalize_payee(payee).alias("p")).filter(F.col("p") != "").distinct())
+    terms = cut_lineage(vendors.select(F.col("payee_norm").alias("v")).distinct())
     exact = names.join(terms.withColumn("p", F.col("v")), "p").select("p", "v", F.lit(100).alias("score"))
     rest = names.join(exact, "p", "left_anti")
     longer = rest.select("p", F.explode(_prefixes(F.col("p"))).alias("v")).join(terms, "v")
     shorter = terms.select("v", F.explode(_prefixes(F.col("v"))).alias("p")).join(rest, "p")
     prefix = longer.select("p", "v").unionByName(shorter.select("p", "v")).distinct().withColumn("score", F.lit(96))
-    rest = rest.join(prefix, "p", "left_anti")
+    prefix = cut_lineage(prefix)
+    rest = cut_lineage(rest.join(prefix, "p", "left_anti"))
     fuzzy = token_set_candidates(rest, terms, "p", "v", float(threshold)).withColumn(
         "score", F.floor(token_set_score(F.col("p"), F.col("v"))).cast("int")
     )

@@ -31,6 +31,34 @@ def test_token_set_candidates_miss_nothing(spark):
     assert want and want <= got
 
 
+def _names(rng, n):
+    """Shop names as statements print them: a few common words, own words, numbers, cities."""
+    common = ["MARKET", "CAFE", "STORE", "SUPPLY", "INC", "LLC", "SERVICE", "AUTO", "GRILL", "THE", "HOUSE", "OF", "CENTER", "SHOP"]
+    cities = ["HONOLULU", "SAN JOSE", "NEW YORK", "PORTLAND", "AUSTIN", "RENO"]
+    syllables = ["KA", "LO", "MI", "TRA", "VEN", "SO", "BER", "TO", "NU", "SHI", "RO", "DEL", "PA", "GRE", "WIN", "HA", "CO", "LI"]
+    own = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    made = set()
+    while len(made) < n:
+        parts = [own(), rng.choice([own(), rng.choice(common)]), rng.choice(common)] + ([rng.choice(cities)] if rng.random() < 0.3 else []) + ([f"#{rng.randint(1, 999)}"] if rng.random() < 0.3 else [])
+        made.add(" ".join(parts))
+    return sorted(made)
+
+
+def test_few_pairs_of_many_names_become_candidates(spark):
+    """2,000 names against 2,000, a tenth of them misspelt from the other side: under one pair in a hundred is scored."""
+    rng = random.Random(12)
+    b = _names(rng, 2000)
+    a = _names(random.Random(13), 1800) + [x[:k] + x[k + 1 :] for x in rng.sample(b, 200) for k in [rng.randrange(1, len(x))]]
+    left, right = spark.createDataFrame([(x,) for x in sorted(set(a))], "a string"), spark.createDataFrame([(x,) for x in b], "b string")
+    got = {(r.a, r.b) for r in sim.ratio_candidates(left, right, "a", "b", 0.8).collect()}
+    assert len(got) < 0.01 * len(set(a)) * len(b)
+    some = rng.sample(sorted(set(a)), 60) + sorted(set(a) - set(_names(random.Random(13), 1800)))[:60]
+    want = {(x, y) for x in some for y in b if 2 * min(len(x), len(y)) >= 0.8 * (len(x) + len(y)) and SequenceMatcher(None, y, x).ratio() >= 0.8}
+    assert want and want <= got
+    pairs = sim.token_set_candidates(left, right, "a", "b", 90.0).collect()
+    assert len(pairs) < 0.01 * len(set(a)) * len(b)
+
+
 def test_vendor_precedence_and_ties(spark):
     sheet = spark.createDataFrame([(0, "Acme", "Acme Tools;Tool Co"), (1, "Tool Shop", None), (2, " ", "x")], "row_no int, Vendor string, Aliases string")
     d = vd.build_vendor_dict(sheet, "row_no")
