@@ -99,14 +99,15 @@ def rule_longest_match(spark, d):
 @query(
     "vendor_precedence",
     f"""WITH t AS (SELECT *, {norm_sql('description')} AS n, CASE WHEN l_orderkey % 10 = 0 THEN 'Payee ' || l_linenumber ELSE '' END AS payee FROM ({TX_SQL})),
-    r AS (SELECT description, 'Gear Rule' AS rv FROM t WHERE contains(description, 'HOT GEAR') GROUP BY description)
-    SELECT l_orderkey, l_linenumber, coalesce(nullif(payee, ''), rv, vendor, '') AS vendor FROM t LEFT JOIN r USING (description) LEFT JOIN ({CONTAINS_SQL}) ON n = norm_text""",
+    p AS ({RULES_SQL}), r AS (SELECT description, co, arg_min(p.vendor, (-length(phrase), rule_no)) AS rv FROM (SELECT DISTINCT description, l_linenumber % 3 AS co FROM t) JOIN p ON rule_no % 3 = co AND contains(description, upper(phrase)) GROUP BY ALL)
+    SELECT l_orderkey, l_linenumber, coalesce(nullif(payee, ''), rv, vendor, '') AS vendor FROM t LEFT JOIN r ON r.description = t.description AND co = l_linenumber % 3 LEFT JOIN ({CONTAINS_SQL}) ON n = norm_text""",
 )
 def vendor_precedence(spark, d):
     payee = F.when(F.col("l_orderkey") % 10 == 0, F.concat(F.lit(" Payee "), F.col("l_linenumber").cast("string"))).otherwise("")
-    tx = transactions(spark, d).withColumn("payee", payee)
-    rules = rule_rows(spark, d).filter(F.col("phrase") == "hot gear").withColumn("vendor", F.lit("Gear Rule"))
-    out = vd.assign_vendor(tx, vd.build_vendor_dict(vendor_sheet(spark, d), "row_no"), rules, fuzzy=False)
+    # three companies, each with its own rules; what they miss goes on to the dictionary
+    tx = transactions(spark, d).withColumns({"payee": payee, "company": F.col("l_linenumber") % 3})
+    rules = rule_rows(spark, d).withColumn("company", (F.col("rule_no") % 3).cast("int"))
+    out = vd.assign_vendor(tx, vd.build_vendor_dict(vendor_sheet(spark, d), "row_no"), rules, keys=["company"], fuzzy=False)
     return out.select("l_orderkey", "l_linenumber", "vendor")
 
 
@@ -122,7 +123,7 @@ def vendor_fuzzy(spark, d):
 @query(
     "account_lookup",
     f"""WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'V' || (l_orderkey % 7) END AS vendor, CASE WHEN c < 0 THEN 'debits' ELSE 'credits' END AS direction, c, tx_date FROM ({TX_SQL}))
-    SELECT strftime(tx_date, '%m/%d/%Y') AS "Date", vendor AS "Vendor", CASE WHEN vendor = '' OR CAST(right(vendor, 1) AS INT) % 2 = 0 THEN '' ELSE 'Acct ' || vendor || ' ' || direction END AS "Account", '' AS "Memo", abs(c) AS cents, l_orderkey FROM t WHERE direction = 'debits'""",
+    SELECT strftime(tx_date, '%m/%d/%Y') AS "Date", vendor AS "Vendor", CASE WHEN vendor = '' OR CAST(right(vendor, 1) AS INT) % 2 = 0 THEN '' ELSE 'Acct ' || vendor || ' ' || direction END AS "Account", '' AS "Memo", abs(c) AS cents, l_orderkey, direction FROM t""",
 )
 def account_lookup(spark, d):
     tx = transactions(spark, d).withColumn("vendor", F.when(F.col("l_orderkey") % 5 == 0, "").otherwise(F.concat(F.lit("V"), (F.col("l_orderkey") % 7).cast("string"))))
@@ -130,9 +131,10 @@ def account_lookup(spark, d):
     odd = named.filter(F.right("vendor", F.lit(1)).cast("int") % 2 == 1)
     accounts = odd.select("vendor", F.explode(F.array(F.lit("debits"), F.lit("credits"))).alias("direction"))
     accounts = accounts.withColumn("account", F.concat_ws(" ", F.lit("Acct"), "vendor", "direction"))
-    out = vd.assign_account(tx, accounts).filter(F.col("direction") == "debits")
-    shaped = vd.shape_output(out.withColumn("check_number", F.col("l_orderkey").cast("string")), "debits")
-    return shaped.select("Date", "Vendor", "Account", "Memo", cents("Amount").alias("cents"), F.col("Check Number").cast("bigint").alias("l_orderkey"))
+    out = vd.assign_account(tx, accounts).withColumn("check_number", F.col("l_orderkey").cast("string"))
+    sides = [vd.shape_output(out.filter(F.col("direction") == x), x).withColumn("direction", F.lit(x)) for x in ("debits", "credits")]
+    both = sides[0].unionByName(sides[1])
+    return both.select("Date", "Vendor", "Account", "Memo", cents("Amount").alias("cents"), F.col("Check Number").cast("bigint").alias("l_orderkey"), "direction")
 
 
 @query(

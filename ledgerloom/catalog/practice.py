@@ -327,7 +327,7 @@ def worklog_union(spark, d):
     """SELECT CAST(event_id + 100000000 AS VARCHAR) AS ref FROM events WHERE user_id % 5 = 2 AND event_type = 'purchase' AND event_id % 3 <> 0""",
 )
 def search_logs(spark, d):
-    feed = wl.union_worklog(*work_tables(spark, d)).filter(F.col("kind") == "memo")
+    feed = wl.union_worklog(*work_tables(spark, d))
     feed = feed.withColumns({"client_name": F.concat(F.lit("Client "), F.col("client_idx").cast("string")), "acct_mgr": F.concat(F.lit("Mgr "), (F.col("client_idx") % 5).cast("string"))})
     return wl.sort_logs(wl.search_logs(feed, "client PURCHASE 2024-01", "Mgr 2", "Open")).select("ref")
 
@@ -350,8 +350,7 @@ def held_summary(spark, d):
     SELECT * FROM n WHERE unchecked_logs > 0 ORDER BY unchecked_logs DESC, lpad(CAST(client_idx AS VARCHAR), 12, '0') LIMIT 20""",
 )
 def unchecked_counts(spark, d):
-    logs = work_tables(spark, d)[1].filter(F.col("log_type") != "history")
-    counts = wl.unchecked_counts(logs).withColumn("name", F.lpad(F.col("client_idx").cast("string"), 12, "0"))
+    counts = wl.unchecked_counts(work_tables(spark, d)[1]).withColumn("name", F.lpad(F.col("client_idx").cast("string"), 12, "0"))
     top, _ = tr.top_clients(counts, F.col("unchecked_logs"), 20)
     return top.select("client_idx", "unchecked_logs", "unchecked_memos")
 
@@ -451,10 +450,12 @@ def work_sessions(spark, d):
 
 @query(
     "edit_logs",
-    """SELECT event_id AS pos, event_type || CASE WHEN event_id % 10 = 2 THEN '!' ELSE '' END AS text, CASE WHEN event_id % 10 = 4 THEN event_id % 3 <> 0 ELSE event_id % 3 = 0 END AS done FROM events WHERE event_id % 10 <> 6""",
+    f"""SELECT event_id + 100000000 AS pos, event_type || CASE WHEN event_id % 10 = 2 THEN '!' ELSE '' END AS text, CASE WHEN event_id % 10 = 4 THEN event_id % 3 <> 0 ELSE event_id % 3 = 0 END AS done FROM events WHERE event_id % 10 <> 6
+    UNION ALL SELECT o_orderkey, upper({KIND_SQL}) || ' | memo ' || o_orderkey, true FROM orders WHERE o_orderstatus = 'F' OR o_orderkey % 2 = 0""",
 )
 def edit_logs(spark, d):
-    logs = work_tables(spark, d)[1].filter(F.col("log_type") != "history").withColumn("pos", F.col("pos") - 100000000)
+    """Edits aim at every log; history lines must not follow them."""
+    logs = work_tables(spark, d)[1]
     k = F.col("pos") % 10
     act = F.when(k == 2, "edit").when(k == 4, "toggle").when(k == 6, "delete")
     edits = logs.filter(act.isNotNull()).select("client_idx", "pos", act.alias("action"), F.concat("text", F.lit("!")).alias("text"))
