@@ -113,6 +113,27 @@ def managers(spark, d):
     return m.join(counts, "name").select("id", "name", "n_companies")
 
 
+@query(
+    "merge_managers",
+    """WITH cur AS (SELECT DISTINCT 'mgr ' || s_suppkey || '|m' || s_suppkey % 4 || '@x.com|' AS k FROM supplier),
+    inc AS (SELECT c_custkey AS pos, c_custkey // 3 AS n, CASE WHEN c_custkey % 2 = 0 THEN 'MGR  ' ELSE 'Mgr ' END || c_custkey // 3 AS name, CASE WHEN c_custkey % 5 = 0 THEN 'given' || c_custkey END AS given FROM customer),
+    k AS (SELECT *, 'mgr ' || n || '|m' || n % 4 || '@x.com|' AS k FROM inc)
+    SELECT pos, name, coalesce(given, 'am_' || substr(sha1(k), 1, 12)) AS id FROM k WHERE k NOT IN (SELECT k FROM cur) QUALIFY row_number() OVER (PARTITION BY k ORDER BY pos) = 1""",
+)
+def merge_managers(spark, d):
+    """Suppliers are the managers on file, customers come in by threes that differ in letter case and blanks."""
+    mail = lambda n, tail: F.concat(F.lit("m"), (n % 4).cast("string"), F.lit(tail))
+    k, n = F.col("s_suppkey"), F.floor(F.col("c_custkey") / 3)
+    now = table(spark, d, "supplier").select(F.concat(F.lit("Mgr "), k.cast("string")).alias("name"), mail(k, "@x.com").alias("email"), F.lit("").alias("phone"))
+    c = table(spark, d, "customer")
+    shout = F.when(F.col("c_custkey") % 2 == 0, "MGR  ").otherwise("Mgr ")
+    new = c.select(
+        F.col("c_custkey").alias("pos"), F.concat(shout, n.cast("string")).alias("name"), mail(n, "@X.com").alias("email"), F.lit(None).cast("string").alias("phone"),
+        F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("given"), F.col("c_custkey").cast("string"))).alias("id"),
+    )
+    return mg.merge_managers(now, new).select("pos", "name", "id")
+
+
 @query("manager_companies", f"WITH {C_SQL} SELECT client_idx FROM c WHERE acct_mgr = 'Mgr 2'")
 def manager_companies(spark, d):
     return en.companies_of_manager(clients(spark, d), " mgr 2 ").select("client_idx")
