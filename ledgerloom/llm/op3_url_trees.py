@@ -7,8 +7,10 @@ frequent it is among all urls, and how often it was blocked among the labelled).
 expressions and Spark's own tree learner.
 
 Cases: a null url or one without `://` has empty host and path, fits no rule and is judged by the
-trees; without labelled urls the verdict is allow, with one kind only it is that kind; repeated
-rows get equal verdicts; other columns are not read; an empty table gives an empty result.
+trees; without labelled urls the verdict is allow, with one kind only it is that kind; a score of
+exactly 0.5 blocks; of rules that fit, the longest wins, and no two of one length fit one url; repeated
+rows get equal verdicts; a very long url is one string like others; other columns are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

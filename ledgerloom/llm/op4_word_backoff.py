@@ -10,7 +10,9 @@ hold. Every whole text is read once, without a shuffle.
 
 Cases: `und` with score 0 for null texts, texts without a letter, and where nothing was learned; ties go to
 the first language by code point; repeated rows get equal answers; rows without language or text teach
-nothing; other columns are not read; an empty table gives an empty result.
+nothing; very long texts are read whole, but do not teach; words and n-grams that the sample holds only
+once are not in the model, nor those beyond the documented numbers of words and n-grams, and are
+scored by shorter n-grams; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ a passage that many texts share is a skewed join with one partner per row, which
 
 Cases: null and empty texts have no words and no hits; a test row without item_id hits words but
 names no item; rows with the same item_id are one item; repeated documents are judged row by row;
-an empty test set hits nothing; columns of other names are not read.
+an empty test set hits nothing, an empty table gives an empty result; a window keeps
+its smallest hash whatever its place, and windows are compared by all their words, so ties of hashes
+add and lose no hit; very long texts are read whole, a block at a time; columns of other names are not read.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ virtual time, which every flow fills evenly; only range totals meet in one place
 
 Cases: a null text has no words and takes part with size 0 (taken 0); null is a source of its own,
 the last; a source without words has target 0; repeated rows are separate entries; ties in the
-shuffle fall to doc_id, size and text hash, so only equal rows can swap; other columns are not read;
-an empty table gives an empty result.
+shuffle fall to doc_id, size and text hash, so only equal rows can swap; a very long text is one
+document of many words and may be served in part; other columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ Bounds: `SAMPLE_ROWS` labelled texts of up to `SAMPLE_CHARS` characters fit term
 `TERMS` terms are kept. Document frequencies count all documents: each task sends one row per term.
 
 Cases: null and empty texts have no terms and score like all texts without; without labels the score
-is 0; repeated rows get equal scores; equally near examples are ordered by their place in the index; other columns are not
-read; an empty table gives an empty result.
+is 0; repeated rows get equal scores; equally near examples are ordered by their place in the index; very
+long texts are scored whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
