@@ -134,6 +134,32 @@ def merge_managers(spark, d):
     return mg.merge_managers(now, new).select("pos", "name", "id")
 
 
+@query(
+    "merge_client_update",
+    """WITH k AS (SELECT c_custkey AS k FROM customer), m AS (SELECT k, CASE WHEN k % 3 <> 0 THEN 'M' || k END AS name, 'c' || (k + 1) AS link FROM k)
+    SELECT 'c' || k AS id, CASE WHEN k % 2 = 0 THEN coalesce(name, 'N' || k) ELSE 'N' || k END AS name, 'Town' AS city, CASE WHEN k % 2 = 0 THEN link ELSE '' END AS links,
+      CASE k % 4 WHEN 0 THEN 'Old,New' || k WHEN 1 THEN 'Old' WHEN 2 THEN 'New' || k ELSE '' END AS people FROM m
+    UNION ALL SELECT 'z' || k, name, NULL, link, 'New' || k FROM m WHERE k % 10 = 5""",
+)
+def merge_client_update(spark, d):
+    """Even customers get an update, some rows are new; each update brings a person and a business that may be linked already."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    text = lambda prefix, x=k: F.concat(F.lit(prefix), x.cast("string"))
+    person = lambda role, link, name: F.struct(F.lit("").alias("id"), role.alias("role"), link.alias("linked_client_id"), name.alias("name"), F.lit("").alias("email"), F.lit("").alias("phone"))
+    business, old, new = person(F.lit("business"), text("c", k + 1), F.lit("")), person(F.lit("officer"), F.lit(""), F.lit("Old")), person(F.lit("officer"), F.lit(""), text("New"))
+    some = lambda test, x: F.filter(F.array(x), lambda _: test)
+    now = c.select(
+        text("c").alias("id"), text("N").alias("name"), F.lit("Town").alias("city"), some(k % 4 == 0, business).alias("relations"), some((k % 4).isin(0, 1), old).alias("officers")
+    )
+    update = c.filter((k % 2 == 0) | (k % 10 == 5)).select(
+        F.concat(F.when(k % 2 == 0, "c").otherwise("z"), k.cast("string")).alias("id"),
+        F.when(k % 3 != 0, text("M")).alias("name"), F.array(business, new).alias("officers"),
+    )
+    out = mg.merge_client_update(now, update)
+    return out.select("id", "name", "city", F.array_join("relations.linked_client_id", ",").alias("links"), F.array_join("officers.name", ",").alias("people"))
+
+
 @query("manager_companies", f"WITH {C_SQL} SELECT client_idx FROM c WHERE acct_mgr = 'Mgr 2'")
 def manager_companies(spark, d):
     return en.companies_of_manager(clients(spark, d), " mgr 2 ").select("client_idx")
