@@ -191,3 +191,12 @@ def test_pipeline_drops_the_same_rows_when_splits_change(spark, tmp_path):
 def test_pipeline_runs_and_repeats(spark):
     one, two = (sorted(map(str, corpus_pipeline.run(spark, SF).select("doc_id", "taken").collect())) for _ in range(2))
     assert one == two
+
+
+def test_pipeline_stages_on_an_empty_table(spark):
+    """No documents, columns whose names the operators use inside: every stage gives none and keeps the columns but row_id."""
+    docs = no_documents(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert [c for c in docs.columns if c != "row_id"] == [c for c in out.columns if c != "row_id"] and out.count() == 0
+    assert corpus_pipeline.mix_sources(spark, docs, SF).count() == 0
