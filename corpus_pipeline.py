@@ -6,8 +6,9 @@ takes, how many words of each, and in which order.
 
 Cases, for every stage: a null text counts as an empty one, a null doc_id, lang or source is a value
 like others; very long texts are read whole; repeated rows are rows of their own, so all or none of
-them pass a classifier; columns beyond those of documents, whatever their names, pass through all
-stages but the last; an empty table gives an empty table, and without labels nothing is learnt and
+them pass a classifier; columns beyond those of documents pass through all stages but the last,
+except one named row_id, which the near duplicates and the decontamination number rows with and do not
+give back; an empty table gives an empty table, and without labels nothing is learnt and
 nothing rejected by that classifier's examples. Each stage names its own ties.
 """
 
