@@ -30,27 +30,52 @@ def identity_keys(clients: DataFrame, row: str, legacy: bool = False) -> DataFra
     return clients.select(row, F.explode(keys).alias("key"))
 
 
+def _settle_chains(open_keys: DataFrame, row: str) -> DataFrame:
+    """(row, added) of the rows whose verdict hangs on a chain of single earlier rows.
+
+    A row that is first or second on each of its keys can be refused only by the firsts before it.
+    Without any it is added; with just one its verdict is the opposite of that row's. Such rows point
+    at the one before, and pointers are doubled until they reach a row without a pointer or the start.
+    """
+    first = open_keys.groupBy("key").agg(F.min(row).alias("__a"))
+    low = open_keys.join(first, "key")
+    second = low.filter(F.col(row) > F.col("__a")).groupBy("key").agg(F.min(row).alias("__b"))
+    before = F.when(F.col("__a") < F.col(row), F.col("__a"))
+    judged = low.join(second, "key", "left").groupBy(row).agg(
+        F.bool_and(F.col(row) <= F.coalesce("__b", "__a")).alias("near"), F.min(before).alias("to"), F.max(before).alias("__hi")
+    )
+    single = judged.filter(F.col("near") & F.col("to").eqNullSafe(F.col("__hi")))
+    # a pointer to nothing carries the verdict; one to a row says whether both verdicts are the same
+    links = cut_lineage(single.select(row, "to", F.col("to").isNull().alias("same"), F.col("to").isNotNull().alias("moved")))
+    while not links.filter("moved").isEmpty():
+        ahead = links.select(F.col(row).alias("to"), F.col("to").alias("__to"), F.col("same").alias("__same"))
+        met = F.col("__same").isNotNull()
+        links = cut_lineage(
+            links.join(ahead, "to", "left").select(
+                row, F.when(met, F.col("__to")).otherwise(F.col("to")).alias("to"),
+                F.when(met, F.col("same") == F.col("__same")).otherwise(F.col("same")).alias("same"), met.alias("moved"),
+            )
+        )
+    return links.filter(F.col("to").isNull()).select(row, F.col("same").alias("added"))
+
+
 def merge_clients(current: DataFrame, incoming: DataFrame, row: str = "row_no", legacy: bool = False) -> DataFrame:
     """Incoming rows with `outcome` added | skipped.
 
     A row is skipped when a current client, or an earlier incoming row that was itself
-    added, holds one of its keys.  Each round adds every undecided row that is the earliest
-    undecided one on all of its keys, then skips the rows those block.
+    added, holds one of its keys.  Each round settles whole chains of rows that hang on one
+    earlier row each, then skips the rows which those added ones block.
     """
     taken = identity_keys(current.withColumn("__r", F.lit(0)), "__r", legacy).select("key").distinct()
     keys = cut_lineage(identity_keys(incoming, row, legacy).distinct())
-    blocked = keys.join(taken, "key", "left_semi").select(row).distinct()
-    done = blocked.withColumn("added", F.lit(False))
-    open_keys = cut_lineage(keys.join(blocked, row, "left_anti"))
-    parts = [cut_lineage(done)]
+    parts = [cut_lineage(keys.join(taken, "key", "left_semi").select(row).distinct().withColumn("added", F.lit(False)))]
+    open_keys = cut_lineage(keys.join(parts[0], row, "left_anti"))
     while not open_keys.isEmpty():
-        first = open_keys.groupBy("key").agg(F.min(row).alias("__first"))
-        judged = open_keys.join(first, "key").groupBy(row).agg(F.bool_and(F.col(row) == F.col("__first")).alias("wins"))
-        winners = cut_lineage(judged.filter("wins").select(row))
-        won_keys = open_keys.join(winners, row, "left_semi").select("key").distinct()
-        rest = open_keys.join(winners, row, "left_anti")
-        losers = cut_lineage(rest.join(won_keys, "key", "left_semi").select(row).distinct())
-        parts += [winners.withColumn("added", F.lit(True)), losers.withColumn("added", F.lit(False))]
+        known = _settle_chains(open_keys, row)
+        won_keys = open_keys.join(known.filter("added"), row, "left_semi").select("key").distinct()
+        rest = open_keys.join(known, row, "left_anti")
+        losers = cut_lineage(rest.join(won_keys, "key", "left_semi").select(row).distinct().withColumn("added", F.lit(False)))
+        parts += [known, losers]
         open_keys = cut_lineage(rest.join(losers, row, "left_anti"))
     verdict = parts[0]
     for part in parts[1:]:

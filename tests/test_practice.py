@@ -41,6 +41,23 @@ def test_merge_clients_equals_first_wins_loop(spark):
     assert again.count() == 0
 
 
+def test_a_long_chain_of_clients_takes_few_rounds(spark, monkeypatch):
+    """Each row shares its id with the row before it or its EIN, in turns."""
+    n, writes = 10_000, []
+    rows = [(i, str((i + 1) // 2 + 1), f"{i // 2 + 1:09d}", "LLC") for i in range(n)]
+    real = mg.cut_lineage
+    monkeypatch.setattr(mg, "cut_lineage", lambda df: writes.append(1) or real(df))
+    schema = "row_no int, id string, ein string, entity_type string"
+    seen, want = set(), {}
+    for i, a, b, _ in rows:
+        mine = {("id", a), ("ein", b)}
+        want[i] = "skipped" if mine & seen else "added"
+        seen |= mine if want[i] == "added" else set()
+    out = mg.merge_clients(spark.createDataFrame(rows[:0], schema), spark.createDataFrame(rows, schema))
+    assert {r.row_no: r.outcome for r in out.collect()} == want
+    assert len(writes) <= 25
+
+
 def _events(rng, n):
     t0 = dt.datetime(2024, 1, 1)
     return [
