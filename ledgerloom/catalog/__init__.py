@@ -14,6 +14,7 @@ __all__ = ["all_queries", "all_oracles"]
 def _load() -> None:
     from ledgerloom.catalog import (  # noqa: F401
         entities,
+        files,
         matching,
         practice,
         reconciliation,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import blank, label_sort_key
+from ledgerloom.plans.ordered import number_rows
+from ledgerloom.plans.session import cut_lineage
 
 # The grid's sixteen columns and cell states.
 COLUMNS = ("Jan", "Feb", "Mar", "Q1", "Apr", "May", "Jun", "Q2", "Jul", "Aug", "Sep", "Q3", "Oct", "Nov", "Dec", "Q4")
@@ -64,3 +66,14 @@ def sort_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """Accent-free order with digit-led labels last."""
     key = label_sort_key(label)
     return df.orderBy(key["digits"], key["text"], label)
+
+
+def label_positions(df: DataFrame, label: str = "label") -> DataFrame:
+    """`df` with its place in the order of `sort_labels`, from 1; labels are distinct.
+
+    Rows are cut into ranges of the order, numbered inside, and moved by the sizes of the ranges before.
+    """
+    keyed = df.withColumns({"__d": label_sort_key(label)["digits"], "__t": label_sort_key(label)["text"], "__g": F.lit(0)})
+    ranged = cut_lineage(keyed.repartitionByRange("__d", "__t", label).withColumn("__part", F.spark_partition_id()))
+    out = number_rows(ranged, ["__g"], ["__d", "__t", label], [F.col("__part")], "position", written=True)
+    return out.select(*df.columns, "position")

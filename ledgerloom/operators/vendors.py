@@ -150,8 +150,8 @@ def assign_account(tx: DataFrame, accounts: DataFrame, keys: Sequence[str] = ())
     return out.withColumn("account", F.coalesce("account", F.lit("")))
 
 
-def shape_output(tx: DataFrame, direction: str) -> DataFrame:
-    """Import layout: positive amounts, blank memo, column order by direction."""
+def shape_output(tx: DataFrame, direction: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Import layout after `keys`: positive amounts, blank memo, column order by direction."""
     cols = {
         "Date": F.coalesce(F.date_format("tx_date", "MM/dd/yyyy"), F.lit("")),
         "Check Number": F.coalesce(F.col("check_number"), F.lit("")) if "check_number" in tx.columns else F.lit(""),
@@ -165,7 +165,7 @@ def shape_output(tx: DataFrame, direction: str) -> DataFrame:
         if direction == "credits"
         else ("Date", "Check Number", "Vendor", "Account", "Amount", "Memo")
     )
-    return tx.select(*[cols[c].alias(c) for c in order])
+    return tx.select(*keys, *[cols[c].alias(c) for c in order])
 
 
 def last_transaction_month(tx: DataFrame, keys: Sequence[str] = (), file_name: str | None = None) -> DataFrame:

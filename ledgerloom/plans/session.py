@@ -44,6 +44,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own for one job's files, in the folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it back, so loops keep short, recoverable plans.
 
@@ -52,6 +57,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     later unions and aggregations would trust.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = run_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

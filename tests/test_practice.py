@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import calendar as cal
@@ -13,7 +14,7 @@ from ledgerloom.operators import merges as mg
 from ledgerloom.operators import replay as rp
 from ledgerloom.operators import tasks as tk
 from ledgerloom.operators import worklog as wl
-from ledgerloom.sources import readers, sinks
+from ledgerloom.sources import readers, sinks, versions
 
 
 def test_merge_clients_equals_first_wins_loop(spark):
@@ -198,6 +199,22 @@ def test_book_written_over_its_own_source(spark, tmp_path):
     assert sinks.write_clients(kept, path)["clients"] == 2
 
 
+def test_a_failed_commit_leaves_the_book_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "book")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_book(spark, path)
+    (tmp_path / "c.json").write_text(json.dumps([{"name": "A", "ein": "1"}, {"name": "B", "ein": "2"}]))
+    c = readers.read_clients(spark, str(tmp_path / "c.json"))
+    assert sinks.write_clients(c, path) == {"clients": 2, "relations": 0}
+    monkeypatch.setattr(versions, "read_counts", lambda df, counts: {"clients": 1, "relations": 0})
+    with pytest.raises(OSError):
+        sinks.write_clients(c.filter("name = 'A'").unionByName(c), path)
+    assert sorted((r.client_idx, r.name) for r in sinks.read_book(spark, path).collect()) == [(0, "A"), (1, "B")]
+    monkeypatch.undo()
+    assert sinks.write_clients(c.limit(0), path) == {"clients": 0, "relations": 0}
+    assert sinks.read_book(spark, path).count() == 0
+
+
 def test_shifts_far_away_and_long_leads(spark):
     days = [dt.date(1950, 1, 1), dt.date(1998, 7, 4), dt.date(2099, 12, 31)]
     rows = [(d, n) for d in days for n in (0, 1, -1, 5, 120, -120, 400)]
