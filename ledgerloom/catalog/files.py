@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog.entities import EDGE_SQL, edges, supplier_nodes
-from ledgerloom.catalog.registry import cents, cents_sql, orders, query, table
+from ledgerloom.catalog.practice import hi_wages
+from ledgerloom.catalog.registry import ORACLES, cents, cents_sql, orders, query, table
 from ledgerloom.operators import checklist as ck
-from ledgerloom.operators.graph import edges_to_relations
+from ledgerloom.operators.graph import apply_reciprocal, edges_to_relations
+from ledgerloom.operators.wages import LAYOUTS
 from ledgerloom.plans.session import run_folder
 from ledgerloom.sources import readers, sinks
 
@@ -193,3 +195,54 @@ def sorted_labels(spark, d):
     k = F.col("p_partkey") % 3
     head = F.when(k == 0, "É").when(k == 1, "# ").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("-")))
     return ck.label_positions(table(spark, d, "part").select(F.concat(head, "p_name").alias("label")).distinct())
+
+
+@query(
+    "checklist_files",
+    """WITH m AS (SELECT o_custkey AS c, year(o_orderdate) AS y, strftime(o_orderdate, '%b') AS col, count(*) AS n FROM orders GROUP BY ALL), k AS (SELECT DISTINCT c, y FROM m),
+    cols AS (SELECT unnest(['Jan', 'Feb', 'Mar', 'Q1', 'Apr', 'May', 'Jun', 'Q2', 'Jul', 'Aug', 'Sep', 'Q3', 'Oct', 'Nov', 'Dec', 'Q4']) AS col)
+    SELECT 'payroll' AS section, y AS year, 'c' || c AS company_key, col, CASE n % 3 WHEN 0 THEN 'Done' WHEN 1 THEN 'To do' ELSE '' END AS value FROM k CROSS JOIN cols LEFT JOIN m USING (c, y, col)""",
+)
+def checklist_files(spark, d):
+    """Nested section, year, company and cell maps with decorated and unknown states."""
+    o = orders(spark, d).groupBy("o_custkey", F.year("day").cast("string").alias("y"), F.date_format("day", "MMM").alias("col")).agg(F.count("*").alias("n"))
+    state = F.when(F.col("n") % 3 == 0, "✅ Done").when(F.col("n") % 3 == 1, "⏳ To do").otherwise("Waiting")
+    months = o.groupBy("o_custkey", "y").agg(F.map_from_entries(F.collect_list(F.struct("col", state.alias("v")))).alias("cells"))
+    part = F.floor(F.col("o_custkey") / FILE_ROWS).alias("part")
+    entry = F.struct(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("k"), F.col("cells").alias("v"))
+    years = months.groupBy(part, "y").agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
+    body = F.struct(F.map_keys("cells").alias("companies"), F.col("cells"))
+    files = years.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("y").alias("k"), body.alias("v")))).alias("years"))
+    path = run_folder(spark, "checklists")
+    files.select("part", F.to_json(F.struct(F.struct("years").alias("payroll"))).alias("value")).write.partitionBy("part").text(path)
+    return readers.read_checklist(spark, path).withColumn("year", F.col("year").cast("bigint"))
+
+
+@query("wage_files", ORACLES["wage_rows_hi"])
+def wage_files(spark, d):
+    """The state's file without a header, written and read back by place."""
+    path = run_folder(spark, "wages")
+    sinks.write_wage_file(hi_wages(spark, d), "HI", path)
+    names = LAYOUTS["HI"]
+    back = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path)
+    return back.select(*[F.coalesce(n, F.lit("")).alias(n) for n in names])
+
+
+@query(
+    "reciprocal_links",
+    """SELECT c_custkey AS client_idx, pos, CASE WHEN pos = 1 THEN '' WHEN c_custkey % 2 = 0 THEN 'ein:' || lpad(CAST(c_custkey + 2 AS VARCHAR), 9, '0')
+      WHEN c_custkey % 6 = 1 THEN '' ELSE 'ein:' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') END AS linked_client_id FROM customer CROSS JOIN (VALUES (0), (1)) v(pos)""",
+)
+def reciprocal_links(spark, d):
+    """Each even client's first person points at the next client, whose person of the same e-mail gets the key back; every third pair has no such person."""
+    k = F.col("c_custkey")
+    ein = lambda n: F.lpad(n.cast("string"), 9, "0")
+    c = table(spark, d, "customer")
+    nodes = c.select(k.alias("client_idx"), F.col("c_name").alias("name"), F.lit("LLC").alias("entity_type"), ein(k + 1).alias("ein"), F.lit("").alias("ssn"), F.lit("").alias("id"))
+    mail = F.concat(F.when((k % 6 == 1) | (F.col("pos") == 1), F.concat(F.lit("o"), k.cast("string"))).otherwise("p"), F.floor(k / 2).cast("string"), F.lit("@x"))
+    people = c.select(k, F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).select(
+        k.alias("client_idx"), F.lit(0).alias("list_rank"), "pos", F.lit("").alias("first_name"), F.lit("").alias("last_name"), mail.alias("email"), F.lit("").alias("phone"),
+        F.when((k % 2 == 0) & (F.col("pos") == 0), F.concat(F.lit("EIN: "), ein(k + 2))).otherwise("").alias("linked_client_id"),
+    )
+    out = apply_reciprocal(people, nodes)
+    return out.select("client_idx", "pos", F.replace("linked_client_id", F.lit("EIN: "), F.lit("ein:")).alias("linked_client_id"))

@@ -171,13 +171,17 @@ def wage_rows_ny(spark, d):
     return out.select("doc_id", "ssn", "first_name", "middle_initial", "last_name", cents("amount_1").alias("amount_1"), "wage_type")
 
 
+def hi_wages(spark, d) -> DataFrame:
+    body = [_ssn(), F.concat(F.lit("KEALOHA, "), _who(), F.lit(" M")), F.format_number("o_totalprice", 2), F.when(F.col("o_orderkey") % 2 == 0, "7.50").otherwise("Add to form UC-B6"), F.lit("Page 1")]
+    return wg.wage_rows(_wage_lines(spark, d, body), "HI")
+
+
 @query(
     "wage_rows_hi",
     f"SELECT CAST(o_orderkey + 100000000 AS VARCHAR) AS ssn, 'Kealoha' AS last_name, {NAME_SQL} AS first_name, 'M' AS middle_initial, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount_1, CASE WHEN o_orderkey % 2 = 0 THEN '7.50' ELSE '0.00' END AS amount_2, '' AS state FROM orders",
 )
 def wage_rows_hi(spark, d):
-    body = [_ssn(), F.concat(F.lit("KEALOHA, "), _who(), F.lit(" M")), F.format_number("o_totalprice", 2), F.when(F.col("o_orderkey") % 2 == 0, "7.50").otherwise("Add to form UC-B6"), F.lit("Page 1")]
-    return wg.wage_layout(wg.wage_rows(_wage_lines(spark, d, body), "HI"), "HI")
+    return wg.wage_layout(hi_wages(spark, d), "HI")
 
 
 # ---- tracker -----------------------------------------------------------------------------
