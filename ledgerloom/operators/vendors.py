@@ -1,8 +1,9 @@
 """Vendor and account matching.
 
 "Contained in" joins are equi-joins: each term is keyed by the three letters of it that the
-fewest terms hold, each distinct text emits its runs of three letters once, and a pair that
-meets is checked.  The optimizer broadcasts the dictionary when its measured size allows and
+fewest terms hold (a long term by sixteen, which few others hold however many terms there are),
+each distinct text emits its runs of these lengths once, and a pair that meets is checked.  The
+optimizer broadcasts a dictionary of up to 100,000 terms when its measured size allows and
 shuffles otherwise; matches are ranked by aggregation, which combines before the shuffle.
 """
 
@@ -22,6 +23,10 @@ from ledgerloom.plans.session import cut_lineage
 
 #: Letters of the runs that texts and terms meet by; a shorter term is its own key.
 RUN = 3
+#: The same for terms that have as many.
+LONG_RUN = 16
+#: A dictionary of more terms is never sent whole to every task: written it is far smaller than in memory.
+BROADCAST_TERMS = 100_000
 
 
 def build_vendor_dict(vendors: DataFrame, order: str | None = None) -> DataFrame:
@@ -50,8 +55,8 @@ def _runs(text: Column, k: int) -> Column:
 
 def term_keys(terms: DataFrame, term: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, term, __run): the run of each distinct term that the fewest terms hold."""
-    size = F.least(F.length(term), F.lit(RUN))
-    by_size = [F.when(size == k, _runs(F.col(term), k)) for k in range(1, RUN + 1)]
+    size = F.when(F.length(term) >= LONG_RUN, LONG_RUN).otherwise(F.least(F.length(term), F.lit(RUN)))
+    by_size = [F.when(size == k, _runs(F.col(term), k)) for k in (*range(1, RUN + 1), LONG_RUN)]
     pieces = terms.filter(F.length(term) > 0).select(*keys, term).distinct().select(*keys, term, F.explode(F.coalesce(*by_size)).alias("__run"))
     held = pieces.groupBy("__run").agg(F.count("*").alias("__held"))
     return pieces.join(held, "__run").groupBy(*keys, term).agg(F.min(F.struct("__held", "__run"))["__run"].alias("__run"))
@@ -62,7 +67,10 @@ def contained_pairs(
 ) -> DataFrame:
     """Rows of (keys, text, every term column) for terms that occur inside the text; empty terms are inside none."""
     keyed = cut_lineage(term_keys(terms, term, keys))
-    sizes = sorted(r[0] for r in keyed.select(F.length("__run")).distinct().collect())
+    held = keyed.groupBy(F.length("__run")).count().collect()
+    sizes = sorted(r[0] for r in held)
+    if sum(r[1] for r in held) > BROADCAST_TERMS:
+        keyed, terms = keyed.hint("merge"), terms.hint("merge")
     runs = F.flatten(F.array(*[_runs(F.col(text), k) for k in sizes])) if sizes else F.array().cast("array<string>")
     probe = texts.select(*keys, text).distinct().select(*keys, text, F.explode(runs).alias("__run"))
     met = probe.join(keyed, [*keys, "__run"]).filter(F.contains(F.col(text), F.col(term))).drop("__run")
@@ -184,19 +192,27 @@ def last_transaction_month(tx: DataFrame, keys: Sequence[str] = (), file_name: s
 def pick_vendor_list(companies: DataFrame, files: DataFrame, company: str = "company", path: str = "path") -> DataFrame:
     """(company, path): an exact candidate file name, else the first name holding the company.
 
-    The loose rule is a substring equi-join, so no company meets every file.
+    The loose rule is a substring equi-join, so no company meets every file.  Equal companies and
+    equal file names are one row each, and spellings that are equal when compacted are matched
+    once, so repeated rows do not multiply; sides that grow with the tables are joined by sorting.
     """
+    files = files.groupBy(path).agg(F.lit(1).alias("__one"))
+    companies = companies.groupBy(company).agg(F.lit(1).alias("__one"))
     base, slug = F.trim(company), slugify(company)
     names = [F.concat(base, F.lit(".csv")), F.concat(slug, F.lit(".csv")), F.concat(slug, F.lit("_vendor_list.csv"))]
     names += [F.concat(base, F.lit(".xlsx")), F.concat(slug, F.lit(".xlsx")), F.concat(slug, F.lit("_vendor_list.xlsx"))]
     listed = files.select(path, F.element_at(F.split(path, "/"), -1).alias("file"))
+    best = F.min(F.struct("file", F.col(path).alias("path"))).alias("at")
     wanted = companies.select(company, F.posexplode(F.array(*names)).alias("prio", "file"))
-    exact = wanted.join(listed, "file").select(company, path, "prio", "file")
-    usable = listed.filter(F.lower("file").rlike(r"\.(csv|xlsx|xls)$")).withColumn("__flat", compact("file"))
+    exact = wanted.join(listed.groupBy("file").agg(F.min(path).alias("path")).hint("merge"), "file")
+    exact = exact.select(company, "prio", F.struct("file", "path").alias("at"))
+    usable = listed.filter(F.lower("file").rlike(r"\.(csv|xlsx|xls)$")).withColumn("__flat", compact("file")).groupBy("__flat").agg(best)
     terms = companies.select(company, compact(company).alias("__want")).filter(F.col("__want") != "")
-    loose = contained_pairs(usable, "__flat", terms, "__want").join(usable, "__flat")
-    loose = loose.select(company, path, F.lit(100).alias("prio"), "file")
-    return first_per_key(exact.unionByName(loose), [company], ["prio", "file", path]).select(company, path)
+    met = contained_pairs(usable, "__flat", terms.select("__want").distinct(), "__want")
+    loose = met.join(usable.hint("merge"), "__flat").groupBy("__want").agg(F.min("at").alias("at"))
+    loose = terms.join(loose.hint("merge"), "__want").select(company, F.lit(100).alias("prio"), "at")
+    picked = exact.unionByName(loose).groupBy(company).agg(F.min(F.struct("prio", "at")).alias("pick"))
+    return picked.select(company, F.col("pick.at.path").alias(path))
 
 
 def normalize_payee(x: str | Column) -> Column:
