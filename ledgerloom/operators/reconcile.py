@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import month_number, safe_date
 from ledgerloom.functions.money import MONEY, money_parse
-from ledgerloom.plans.ordered import Scan, block_of, number_rows, scan
+from ledgerloom.plans.ordered import CHUNK_ROWS, Scan, block_of, number_rows, scan
 from ledgerloom.plans.session import cut_lineage
 
 KEYS = ("company_id", "period")
@@ -32,14 +32,19 @@ def filter_payment_period(
 def parse_federal_payments(lines: DataFrame) -> DataFrame:
     """Six-line records: settlement, initiation, form, period, amount, status.
 
-    Lines repeat into the five record offsets that may start above them, so a record is one
-    group of six rows whatever the document size.
+    A window over the lines of a document looks five positions ahead.  Long documents are cut into
+    chunks of positions, and only the first five lines of a chunk are repeated for the one above.
     """
-    at = F.explode(F.sequence(F.lit(0), F.lit(5)))
-    spread = lines.select("doc_id", "pos", "text", at.alias("off")).withColumn("start", F.col("pos") - F.col("off"))
-    spread = spread.filter((F.col("off") != 0) | F.col("text").rlike(r"^\d{4}-\d{2}-\d{2}"))
-    part = lambda i: F.max(F.when(F.col("off") == i, F.col("text")))
-    rows = spread.groupBy("doc_id", "start").agg(*[part(i).alias(f"f{i}") for i in range(6)])
+    chunk = F.floor(F.col("pos") / CHUNK_ROWS)
+    into = F.when(F.pmod("pos", F.lit(CHUNK_ROWS)) < 5, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    spread = lines.select("doc_id", "pos", "text", F.explode(into).alias("chunk"))
+    ordered = Window.partitionBy("doc_id", "chunk").orderBy("pos")
+    part = lambda i, v: F.max(v).over(ordered.rangeBetween(i, i)).alias(f"f{i}")
+    dated = F.when(F.col("text").rlike(r"^\d{4}-\d{2}-\d{2}"), F.col("text"))
+    # of lines that share a position the first stands for all
+    single = F.rank().over(ordered) == F.row_number().over(ordered)
+    rows = spread.select("doc_id", F.col("pos").alias("start"), "chunk", part(0, dated), *[part(i, F.col("text")) for i in range(1, 6)], single.alias("single"))
+    rows = rows.filter(F.col("single") & (F.col("chunk") == F.floor(F.col("start") / CHUNK_ROWS)))
     status = F.when(F.trim("f5") == "Return", "Returned").otherwise(F.trim("f5"))
     out = rows.filter(F.col("f0").isNotNull() & status.isin(*SUCCESS, "Returned")).select(
         "doc_id", F.col("start").alias("row_no"),
