@@ -26,7 +26,7 @@ def _base(spark, d) -> DataFrame:
     fy = F.year(F.add_months("day", -6))
     doc = F.concat_ws("-", F.col("o_custkey").cast("string"), fy.cast("string"))
     o = o.withColumn("fy", fy).withColumn("doc_id", doc).withColumn("shown", F.format_number("price", 2))
-    return number_rows(o, ["doc_id"], ["o_orderkey"], [spread_of("o_orderkey")], "rn")
+    return number_rows(o, ["doc_id"], ["o_orderkey"], [spread_of("o_orderkey")], "rn", near=True)
 
 
 def _lines(base: DataFrame, head: Sequence[Column], body: Sequence[Column], profile: str) -> DataFrame:
@@ -105,7 +105,7 @@ def parse_running_balance(spark, d):
 
     b = _base(spark, d)
     signed = F.when(F.col("o_orderstatus") == "O", F.col("price")).otherwise(-F.col("price"))
-    b = scan(b, ["doc_id"], ["o_orderkey"], [spread_of("o_orderkey")], {"bal": Scan("sum", signed)})
+    b = scan(b, ["doc_id"], ["o_orderkey"], [spread_of("o_orderkey")], {"bal": Scan("sum", signed)}, near=True)
     bal = F.col("bal") + F.lit("99999999.00").cast("decimal(18,2)")
     body = [
         F.date_format("day", "MM/dd"), F.concat(F.lit("ITEM "), _key()), F.col("shown"), F.format_number(bal, 2),

@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import _c
+from ledgerloom.functions.text import _c, matched
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def month_number(name: str | Column) -> Column:
     """1..12 from the first three letters of a month name, else null."""
-    pos = F.instr(F.lit("".join(MONTHS)), F.lower(F.substring(_c(name), 1, 3)))
-    ok = (F.length(_c(name)) >= 3) & (pos > 0) & (pos % 3 == 1)
-    return F.when(ok, ((pos - 1) / 3 + 1).cast("int"))
+    numbers = F.create_map(*[F.lit(v) for i, m in enumerate(MONTHS) for v in (m, i + 1)])
+    return F.try_element_at(numbers, F.lower(F.substring(_c(name), 1, 3)))
 
 
 def safe_date(y: Column, m: Column, d: Column) -> Column:
     """DATE or null when the parts name no real day."""
-    text = F.concat_ws(
-        "-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")
+    # Each part stands here once: they are often long expressions over patterns.
+    text = F.concat(
+        F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0")
     )
-    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), text.try_cast("date"))
+    return text.try_cast("date")
 
 
 def wide_year(y: Column, pivot: int) -> Column:
@@ -36,7 +36,7 @@ def date_parse(x: str | Column, pivot: int = 69) -> Column:
     mon = r"^(\d{1,2})-([A-Za-z]{3})-(\d{2}|\d{4})$"
     iso = F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
     flat = F.when(s.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2)))
-    part = lambda p, i: F.regexp_extract(s, p, i).try_cast("int")
+    part = lambda p, i: matched(s, p, i).try_cast("int")
     american = safe_date(wide_year(part(us, 3), pivot), part(us, 1), part(us, 2))
     named = safe_date(wide_year(part(mon, 3), pivot), month_number(F.regexp_extract(s, mon, 2)), part(mon, 1))
     return F.coalesce(iso, flat.try_cast("date"), american, named)

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import _c
+from ledgerloom.functions.text import _c, matched
 
 MONEY = "decimal(18,2)"
 
 
 def money_parse(x: str | Column) -> Column:
     """`$1,234.56`, leading or trailing minus; anything else is null."""
-    s = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"[$,\s]", "")
-    neg = s.startswith("-") | s.endswith("-")
-    body = F.regexp_replace(s, r"^[+-]|-$", "")
-    value = F.when(body.rlike(r"^(\d+\.?\d*|\.\d+)$"), body).try_cast(MONEY)
-    return F.when(neg, -value).otherwise(value).cast(MONEY)
+    s = F.regexp_replace(_c(x), r"[$,\s]", "")
+    value = matched(s, r"^[+-]?(\d+\.?\d*|\.\d+)-?\z").try_cast(MONEY)
+    # In text that reads as money a minus stands in front or at the end.
+    return F.when(_c(x).contains("-"), -value).otherwise(value).cast(MONEY)
 
 
 def worksheet_money(x: str | Column) -> Column:

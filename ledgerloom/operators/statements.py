@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import month_number, safe_date, wide_year
 from ledgerloom.functions.money import MONEY, money_parse
-from ledgerloom.functions.text import blank, merchant_location
+from ledgerloom.functions.text import blank, let, matched, merchant_location
 from ledgerloom.operators.profiles import BY_NAME, ISSUER_RULES, MONTH_NAME, PROFILES, Profile
-from ledgerloom.plans.ordered import Scan, block_of, first_per_key, number_rows, scan
+from ledgerloom.plans.ordered import Scan, block_of, first_per_key, fits, number_rows, scan
 from ledgerloom.plans.session import cut_lineage
 
 TX_COLUMNS = (
@@ -110,7 +110,7 @@ def mark_lines(lines: DataFrame) -> DataFrame:
 
 def tag_sections(marked: DataFrame) -> DataFrame:
     """Carry the last section header down; an end marker clears it."""
-    out = scan(marked, ["doc_id"], ["pos"], [block_of("pos")], {"section": Scan("last", F.col("mk_section"))})
+    out = scan(marked, ["doc_id"], ["pos"], [block_of("pos")], {"section": Scan("last", F.col("mk_section"))}, near=True)
     return out.withColumn("section", F.coalesce("section", F.lit("")))
 
 
@@ -148,11 +148,12 @@ def assemble_blocks(marked: DataFrame, start: Column | None = None) -> DataFrame
         .when(F.col("is_amount"), "closed")
         .when(ends, "none")
     )
+    short = fits(marked, ["doc_id"], [block_of("pos")])
     found = scan(
         marked,
         ["doc_id"],
         ["pos"],
-        [block_of("pos")],
+        None if short else [block_of("pos")],
         {
             "section": Scan("last", F.col("mk_section")),
             "block": Scan("sum", F.when(boundary, 1).otherwise(0)),
@@ -162,7 +163,11 @@ def assemble_blocks(marked: DataFrame, start: Column | None = None) -> DataFrame
     in_section = (F.col("section") != "") | ~_needs("needs_section")
     open_row = begin | (F.col("before") == "open") | (_needs("tail") & (F.col("before") == "closed"))
     rows = found.filter(~F.col("is_noise") & F.col("mk_section").isNull() & in_section & F.coalesce(open_row, F.lit(False)))
-    rows = rows.join(rows.filter("is_amount").select("doc_id", "block").distinct(), ["doc_id", "block"], "left_semi")
+    if short:
+        paid = F.max("is_amount").over(Window.partitionBy("doc_id", "block"))
+        rows = rows.filter(F.col("doc_id").isNotNull()).withColumn("__paid", paid).filter("__paid").drop("__paid")
+    else:
+        rows = rows.join(rows.filter("is_amount").select("doc_id", "block").distinct(), ["doc_id", "block"], "left_semi")
     inside = ~begin & ~F.col("is_amount")
     printed_ref = F.col("is_ref") & _needs("ref_ends")
     line = F.struct("pos", "text")
@@ -203,7 +208,7 @@ def assemble_blocks_backward(marked: DataFrame) -> DataFrame:
         breaks, F.struct("pos", "line_no", F.col("is_amount").alias("pays"), "section", F.upper("text").endswith("CR").alias("cr"))
     )
     rev = sectioned.withColumn("__back", -F.col("pos"))
-    found = scan(rev, ["doc_id"], ["__back"], [block_of("__back")], {"closer": Scan("last", closing)})
+    found = scan(rev, ["doc_id"], ["__back"], [block_of("__back")], {"closer": Scan("last", closing)}, near=True)
     reach = F.lit(None).cast("int")
     for p in PROFILES:
         if p.lookback:
@@ -249,6 +254,7 @@ def parse_fixed_layout(marked: DataFrame) -> DataFrame:
             "second": Scan("last", date_here),
             "first": Scan("prev_last", date_here),
         },
+        near=True,
     )
     # On a second date line `first` is the line before it; below, it is the second itself.
     offset = F.col("pos") - F.col("second.pos")
@@ -272,15 +278,16 @@ def parse_fixed_layout(marked: DataFrame) -> DataFrame:
 
 def parse_single_line(marked: DataFrame) -> DataFrame:
     """One-line records by profile pattern, inside the wanted sections."""
-    sectioned = tag_sections(marked)
     pattern = _pattern("single")
+    hit = _found(pattern, 0).isNotNull()
+    # Other lines neither set a section nor are records.
+    sectioned = tag_sections(marked.filter(hit | F.col("mk_section").isNotNull()))
 
     def part(name: str) -> Column:
         group = lambda p: F.lit(p.single_fields.index(name) + 1) if name in p.single_fields else None
         has = F.col("profile").isin(*[p.name for p in PROFILES if name in p.single_fields])
         return F.when(has, _found(pattern, _by_profile(group, F.lit(0))))
 
-    hit = _found(pattern, 0).isNotNull()
     keep = hit & ~F.col("is_noise") & ((F.col("section") != "") | ~_needs("needs_section"))
     return sectioned.filter(keep).select(
         "doc_id", "profile", "section", F.col("pos").alias("line_no"),
@@ -297,7 +304,7 @@ def parse_checks(marked: DataFrame) -> DataFrame:
     number = _by_profile(lambda p: F.lit(p.checks[1]) if p.checks else None, F.lit(None).cast("string"))
     numbered = marked.filter(_needs("checks")).withColumn("check_no", _found(number))
     rev = numbered.withColumn("__back", -F.col("pos"))
-    numbered = scan(rev, ["doc_id"], ["__back"], [block_of("__back")], {"__dated": Scan("prev_last", F.col("is_start"))})
+    numbered = scan(rev, ["doc_id"], ["__back"], [block_of("__back")], {"__dated": Scan("prev_last", F.col("is_start"))}, near=True)
     # A bare number is a check only when a date follows it; a prefixed one always is.
     follows = F.coalesce("__dated", F.lit(False)) | ~_needs("check_before_date")
     anchor = F.col("check_no").isNotNull() & F.col("mk_section").isNull() & ~F.col("is_noise") & follows
@@ -326,6 +333,7 @@ def parse_fees_interest(marked: DataFrame, tx: DataFrame, period: DataFrame) ->
         ["pos"],
         [block_of("pos")],
         {"section": Scan("last", F.col("mk_section")), "label": Scan("prev_last", label)},
+        near=True,
     )
     rows = found.filter(
         (F.col("section") == "interest") & (F.col("label.pos") == F.col("pos") - 1) & (money != "")
@@ -377,6 +385,7 @@ def summary_counts(lines: DataFrame) -> DataFrame:
         {
             "opened": Scan("last", F.when(F.lower("text").startswith("beginning balance on"), F.col("pos"))),
         },
+        near=True,
     ).filter(F.col("opened").isNotNull() & (F.col("pos") - F.col("opened")).between(0, 28))
     low = F.lower("text")
     kind = (
@@ -414,70 +423,90 @@ def statement_period(lines: DataFrame, year_max: int = 2035) -> DataFrame:
     )
     top = top.select("doc_id", F.array_join(F.transform("rows", lambda r: r["text"]), " ").alias("head"))
     t = F.col("head")
-    num = lambda p, i: F.regexp_extract(t, p, i).try_cast("int")
-    name = lambda p, i: month_number(F.regexp_extract(t, p, i))
     sane = lambda y: y.between(1990, year_max)
     slash = r"(?i)(\d{1,2})/(\d{1,2})/(\d{4})\s*(?:-|through|to)\s*(\d{1,2})/(\d{1,2})/(\d{4})"
     openclose = r"(?i)Open\s+Date:\s*(\d{1,2})/(\d{1,2})/(\d{4}).*?Closing\s+Date:\s*(\d{1,2})/(\d{1,2})/(\d{4})"
     abbr = r"([A-Z][a-z]{2})\s+(\d{1,2}),\s+(\d{4})\s*(?:-|through)\s*([A-Z][a-z]{2})\s+(\d{1,2}),\s+(\d{4})"
     long = rf"(?i)({MONTH_NAME})\s+(\d{{1,2}}),?\s+(\d{{4}})\s+(?:to|through)\s+({MONTH_NAME})\s+(\d{{1,2}}),?\s+(\d{{4}})"
+    number = lambda v: v.try_cast("int")
+
+    def found(p: str, fields: Callable[[Callable[[int], Column]], Column]) -> Column:
+        """The fields of a pattern's first match; the document is searched once, its groups are read from the match."""
+        return let(F.regexp_extract(t, p, 0), lambda hit: F.when(hit != "", fields(lambda i: F.regexp_extract(hit, p, i))))
 
     def span(p: str, month: Callable) -> Column:
-        got = F.struct(
-            month(p, 1).alias("start_month"), num(p, 3).alias("start_year"), month(p, 4).alias("end_month"),
-            num(p, 6).alias("end_year"), safe_date(num(p, 6), month(p, 4), num(p, 5)).alias("end_date"),
-        )
-        return F.when(sane(num(p, 3)) & sane(num(p, 6)), got)
+        def fields(at: Callable[[int], Column]) -> Column:
+            got = F.struct(
+                month(at(1)).alias("start_month"), number(at(3)).alias("start_year"), month(at(4)).alias("end_month"),
+                number(at(6)).alias("end_year"), safe_date(number(at(6)), month(at(4)), number(at(5))).alias("end_date"),
+            )
+            return F.when(sane(number(at(3))) & sane(number(at(6))), got)
+
+        return found(p, fields)
 
     def closing(p: str) -> Column:
-        none = F.lit(None).cast("int")
-        got = F.struct(
-            none.alias("start_month"), none.alias("start_year"), num(p, 1).alias("end_month"),
-            num(p, 3).alias("end_year"), safe_date(num(p, 3), num(p, 1), num(p, 2)).alias("end_date"),
-        )
-        return F.when(sane(num(p, 3)), got)
+        def fields(at: Callable[[int], Column]) -> Column:
+            none = F.lit(None).cast("int")
+            got = F.struct(
+                none.alias("start_month"), none.alias("start_year"), number(at(1)).alias("end_month"),
+                number(at(3)).alias("end_year"), safe_date(number(at(3)), number(at(1)), number(at(2))).alias("end_date"),
+            )
+            return F.when(sane(number(at(3))), got)
+
+        return found(p, fields)
 
     ends = [
         rf"(?i){word}\s+(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})"
         for word in ("through", r"as\s+of", r"statement\s+ending", r"statement\s+date")
     ]
     best = F.coalesce(
-        span(openclose, num), span(slash, num), span(abbr, name), span(long, name), *[closing(p) for p in ends]
+        span(openclose, number), span(slash, number), span(abbr, month_number), span(long, month_number), *[closing(p) for p in ends]
     )
+    year = lambda p: number(matched(t, p))
     spare = F.coalesce(
-        num(rf"(?i)statement\s+period.*?(\d{{4}})", 1),
-        num(rf"(?i){MONTH_NAME}\s+\d{{1,2}},?\s+(\d{{4}})", 1),
-        num(r"\d{1,2}/\d{1,2}/(\d{4})", 1),
-        num(r"\b(20\d{2})\b", 1),
+        year(rf"(?i)statement\s+period.*?(\d{{4}})"),
+        year(rf"(?i){MONTH_NAME}\s+\d{{1,2}},?\s+(\d{{4}})"),
+        year(r"\d{1,2}/\d{1,2}/(\d{4})"),
+        year(r"\b(20\d{2})\b"),
+    )
+    # The spare year is looked for only where no period ends.
+    return (
+        top.select("doc_id", "head", best.alias("p"))
+        .select("doc_id", "p", F.when(F.col("p.end_year").isNull(), spare).alias("spare"))
+        .select("doc_id", "p.*", F.coalesce("p.end_year", F.when(sane(F.col("spare")), F.col("spare"))).alias("statement_year"))
     )
-    return top.select(
-        "doc_id", best.alias("p"), F.when(sane(spare), spare).alias("spare")
-    ).select("doc_id", "p.*", F.coalesce("p.end_year", "spare").alias("statement_year"))
 
 
 def assign_year(tx: DataFrame, period: DataFrame, fallback_year: int = 2000) -> DataFrame:
     """Add `tx_date`; a period over a year end gives each month its own year."""
-    joined = tx.join(period, "doc_id", "left")
     raw = F.trim("date_raw")
     slash = r"^(\d{1,2})/(\d{1,2})(?:/(\d{2}|\d{4}))?$"
     named = r"^([A-Za-z]{3,})\s*(\d{1,2})$"
-    part = lambda p, i: F.regexp_extract(raw, p, i).try_cast("int")
-    month = F.coalesce(part(slash, 1), month_number(F.regexp_extract(raw, named, 1)))
-    day = F.coalesce(part(slash, 2), part(named, 2))
+    part = lambda p, i: matched(raw, p, i).try_cast("int")
+    # Read once, as columns: the year's rule names them several times.
+    read = tx.withColumns(
+        {
+            "__month": F.coalesce(part(slash, 1), month_number(F.regexp_extract(raw, named, 1))),
+            "__day": F.coalesce(part(slash, 2), part(named, 2)),
+            "__printed": part(slash, 3),
+        }
+    )
+    joined = read.join(period, "doc_id", "left")
+    month = F.col("__month")
     spans = (F.col("start_year") != F.col("end_year")) & F.col("start_month").isNotNull()
     late = F.col("profile").isin(*[p.name for p in PROFILES if p.straddle == "start"])
     straddled = F.when(
         F.when(late, month >= F.col("start_month")).otherwise(month > F.col("end_month")), F.col("start_year")
     ).otherwise(F.col("end_year"))
     year = F.coalesce(
-        wide_year(part(slash, 3), 50),
+        wide_year(F.col("__printed"), 50),
         F.when(spans, straddled),
         F.col("end_year"),
         F.col("statement_year"),
         F.lit(fallback_year),
     )
     keep = [c for c in tx.columns]
-    return joined.select(*keep, safe_date(year, month, day).alias("tx_date"))
+    return joined.select(*keep, safe_date(year, month, F.col("__day")).alias("tx_date"))
 
 
 def opening_balance(lines: DataFrame) -> DataFrame:
@@ -485,7 +514,7 @@ def opening_balance(lines: DataFrame) -> DataFrame:
     pattern = r"(?i)(?:Beginning|Opening|Previous|Prior)\s+Balance\s*[:$]?\s*\$?([\d,]+\.\d{2}-?)"
     bare = r"(?i)(?:Beginning|Opening|Previous|Prior)\s+Balance\s*:?\s*$"
     here = F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
-    found = scan(lines, ["doc_id"], ["pos"], [block_of("pos")], {"__prior": Scan("prev_last", F.struct("pos", "text"))})
+    found = scan(lines, ["doc_id"], ["pos"], [block_of("pos")], {"__prior": Scan("prev_last", F.struct("pos", "text"))}, near=True)
     after = F.when(
         F.col("__prior.text").rlike(bare), F.nullif(F.regexp_extract("text", r"^\$?([\d,]+\.\d{2}-?)$", 1), F.lit(""))
     )
@@ -503,6 +532,7 @@ def sign_by_balance(tx: DataFrame, opening: DataFrame) -> DataFrame:
         ["line_no"],
         [block_of("line_no")],
         {"__prev": Scan("prev_last", F.col("balance"))},
+        near=True,
     ).join(opening, "doc_id", "left")
     has = tx.groupBy("doc_id").agg(F.count("balance").alias("__balances"))
     seen = seen.join(has, "doc_id", "left")
@@ -607,7 +637,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     if names := of(lambda p: p.single is not None):
         single = cut_lineage(parse_single_line(marked.filter(_wanted(names))))
         # Documents with one-line records need no assembly.
-        pending = marked.join(single.select("doc_id").distinct(), "doc_id", "left_anti")
+        if not single.isEmpty():
+            pending = marked.join(single.select("doc_id").distinct(), "doc_id", "left_anti")
         parts.append(single)
     if names := of(lambda p: p.layout == "forward"):
         rows = assemble_blocks(pending.filter(_wanted(names))).drop("start_text")

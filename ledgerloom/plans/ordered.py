@@ -1,10 +1,11 @@
 """Ordered scans that survive one group holding a large share of all rows.
 
 A plain ``Window.partitionBy(key).orderBy(...)`` sends a whole group to one task.
-These scans split every group into order-consistent chunks, run the window inside
-each chunk, scan the much smaller table of chunk totals, and add the carried value
-back.  The input is written once, so chained scans do not recompute it, and the big
-table is shuffled once, by (key, chunk).
+These scans split every group of more than `CHUNK_ROWS` ordinals into order-consistent
+chunks, run the window inside each chunk, scan the much smaller table of chunk totals, and
+add the carried value back.  Where no group is that long, which one look at keys and
+ordinals tells, that plain window is used: chained scans over one key then share one
+shuffle, and nothing is written.
 
 `chunk` is a list of columns that is a prefix of the order (or a block of it), so
 chunk order equals row order.  `block_of` builds one from a dense ordinal, `spread_of`
@@ -32,10 +33,22 @@ class Scan:
     value: Column
 
 
-def block_of(ordinal: str | Column, size: int = CHUNK_ROWS) -> Column:
-    """Order-consistent chunk number of a dense ordinal."""
-    col = F.col(ordinal) if isinstance(ordinal, str) else ordinal
-    return F.floor(col / F.lit(size))
+@dataclass(frozen=True)
+class Block:
+    """A chunk column of a dense ordinal; see `block_of`."""
+
+    ordinal: str | Column
+    size: int = CHUNK_ROWS
+
+    def number(self) -> Column:
+        col = F.col(self.ordinal) if isinstance(self.ordinal, str) else self.ordinal
+        # cut towards zero, so ordinals counted backwards from 0 begin in chunk 0 as well
+        return (col / F.lit(self.size)).cast("bigint")
+
+
+def block_of(ordinal: str | Column, size: int = CHUNK_ROWS) -> Block:
+    """Order-consistent chunks of a dense ordinal, counted forward or backward from 0."""
+    return Block(ordinal, size)
 
 
 @dataclass(frozen=True)
@@ -62,6 +75,20 @@ def _spread(df: DataFrame, keys: Sequence[str], spread: Spread, name: str) -> Da
     return joined.withColumn(name, chunk).drop("__lo", "__hi", "__n")
 
 
+def fits(df: DataFrame, keys: Sequence[str], chunk: Sequence[Column | Block | Spread] | None) -> bool:
+    """Whether every group is a single chunk, so that a plain window holds few rows of it."""
+    if chunk is None:
+        return True
+    if len(chunk) != 1 or isinstance(chunk[0], Column):
+        return False
+    only = chunk[0]
+    if isinstance(only, Spread):
+        long = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > only.size)
+    else:
+        long = df.filter(only.number() != 0).select(F.lit(1))
+    return long.isEmpty()
+
+
 def _local(spec: Scan, value: Column, base) -> Column:
     upto = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = base.rowsBetween(Window.unboundedPreceding, -1)
@@ -75,6 +102,16 @@ def _local(spec: Scan, value: Column, base) -> Column:
     }[spec.kind]()
 
 
+def _merged(spec: Scan, mine: Column, before: Column | None) -> Column:
+    """A chunk's own value with what is carried into it; the type is the same with nothing carried."""
+    kind = spec.kind.removeprefix("prev_")
+    if kind == "sum":
+        return F.coalesce(mine, F.lit(0)) + (F.lit(0) if before is None else F.coalesce(before, F.lit(0)))
+    if before is None:
+        return mine
+    return F.least(mine, before) if kind == "min" else F.coalesce(mine, before)
+
+
 def _total(spec: Scan, value: Column, order: Column) -> Column:
     kind = spec.kind.removeprefix("prev_")
     if kind == "sum":
@@ -88,32 +125,37 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Sequence[Column | Spread] | None,
+    chunk: Sequence[Column | Block | Spread] | None,
     specs: dict[str, Scan],
     written: bool = False,
+    near: bool = False,
 ) -> DataFrame:
     """Add one column per spec: a running value over (keys ORDER BY order).
 
     `order` must be unique inside a key and hold no nulls. With ``chunk=None`` the
     caller vouches that groups are small and a plain window is used; `written` says
-    that `df` is read from a table and need not be written again.
+    that `df` is read from a table and need not be written again, `near` that its keys and
+    ordinals are rows or windows over one, so it is written only if some group is long.
     """
     keys = list(keys)
     values = {name: F.col(f"__v_{name}") for name in specs}
     work = df.select("*", *[s.value.alias(f"__v_{n}") for n, s in specs.items()])
     drop = [f"__v_{n}" for n in specs]
-    if chunk is None:
+    if chunk is not None and not (written or near):
+        work = cut_lineage(work)
+    if fits(work, keys, chunk):
         base = Window.partitionBy(*keys).orderBy(*order)
-        for name, spec in specs.items():
-            work = work.withColumn(name, _local(spec, values[name], base))
-            if spec.kind.endswith("sum"):
-                work = work.withColumn(name, F.coalesce(name, F.lit(0)))
-        return work.drop(*drop)
+        out = work.withColumns({name: _merged(s, _local(s, values[name], base), None) for name, s in specs.items()})
+        return out.drop(*drop)
 
+    if near:
+        work = cut_lineage(work)
     ck = [f"__c{i}" for i in range(len(chunk))]
-    work = work if written else cut_lineage(work)
     for n, c in zip(ck, chunk, strict=True):
-        work = _spread(work, keys, c, n) if isinstance(c, Spread) else work.withColumn(n, c)
+        if isinstance(c, Spread):
+            work = _spread(work, keys, c, n)
+        else:
+            work = work.withColumn(n, c.number() if isinstance(c, Block) else c)
     base = Window.partitionBy(*keys, *ck).orderBy(*order)
     local = work
     for name, spec in specs.items():
@@ -138,23 +180,15 @@ def scan(
     )
     out = local.join(carried, [*keys, *ck], "left")
     for name, spec in specs.items():
-        mine, before = F.col(f"__l_{name}"), F.col(f"__b_{name}")
-        kind = spec.kind.removeprefix("prev_")
-        if kind == "sum":
-            merged = F.coalesce(mine, F.lit(0)) + F.coalesce(before, F.lit(0))
-        elif kind == "min":
-            merged = F.least(mine, before)
-        else:
-            merged = F.coalesce(mine, before)
-        out = out.withColumn(name, merged)
+        out = out.withColumn(name, _merged(spec, F.col(f"__l_{name}"), F.col(f"__b_{name}")))
     return out.drop(*drop, *ck, *[f"__l_{n}" for n in specs], *[f"__b_{n}" for n in specs])
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Sequence[Column | Spread] | None, name: str, written: bool = False
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Sequence[Column | Block | Spread] | None, name: str, written: bool = False, near: bool = False
 ) -> DataFrame:
     """`row_number()` over (keys ORDER BY order) on split groups."""
-    out = scan(df, keys, order, chunk, {name: Scan("sum", F.lit(1))}, written)
+    out = scan(df, keys, order, chunk, {name: Scan("sum", F.lit(1))}, written, near)
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 
