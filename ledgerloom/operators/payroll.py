@@ -6,7 +6,7 @@ down by a chunked scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY, money_parse
@@ -18,7 +18,7 @@ from ledgerloom.functions.payroll_text import (
     payroll_section,
     payroll_tokens,
 )
-from ledgerloom.plans.ordered import Scan, number_rows, scan, spread_of
+from ledgerloom.plans.ordered import CHUNK_ROWS, Scan, Spread, fits, number_rows, scan, spread_of
 
 NUMERIC_LINE = r"^\d+(?:\.\d{2})?$"
 DATE_LINE = r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$"
@@ -30,7 +30,12 @@ DETAIL_WORDS = r"\$|보너스|빌려간돈|빼고"
 
 def carry_forward(lines: DataFrame, values: dict[str, Column], keys: tuple[str, ...] = ("doc_id",), order: str = "pos") -> DataFrame:
     """Carry each column's last non-null value down the lines of a document."""
-    return scan(lines, list(keys), [order], [spread_of(order)], {n: Scan("last", v) for n, v in values.items()})
+    return scan(lines, list(keys), [order], [spread_of(order)], {n: Scan("last", v) for n, v in values.items()}, near=True)
+
+
+def _split(lines: DataFrame, order: str) -> list[Spread] | None:
+    """How scans inside the blocks of these documents are cut: not at all where whole documents are short."""
+    return None if fits(lines, ["doc_id"], [spread_of("pos")]) else [spread_of(order)]
 
 
 def employee_lines(lines: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def hours_summary(lines: DataFrame) -> DataFrame:
     """REG, OVER, DOUBLE, TOTAL from the last six numbers of each employee block, and their check."""
     nums = employee_lines(lines).filter(F.col("text").rlike(NUMERIC_LINE))
     back = nums.withColumn("__back", -F.col("pos"))
-    ranked = number_rows(back, ["doc_id", "block", "employee"], ["__back"], [spread_of("__back")], "rn").filter("rn <= 6")
+    ranked = number_rows(back, ["doc_id", "block", "employee"], ["__back"], _split(lines, "__back"), "rn").filter("rn <= 6")
     at = lambda i: F.max(F.when(F.col("rn") == i, F.col("text").cast(MONEY)))
     out = ranked.groupBy("doc_id", "block", "employee").agg(
         F.count("*").alias("__n"), at(4).alias("reg"), at(3).alias("over"), at(2).alias("double"), at(1).alias("total")
@@ -57,7 +62,7 @@ def hours_summary(lines: DataFrame) -> DataFrame:
 def punch_stamps(lines: DataFrame) -> DataFrame:
     """(doc_id, block, employee, ts): a date line directly followed by a time line."""
     rows = scan(
-        employee_lines(lines), ["doc_id", "block"], ["pos"], [spread_of("pos")], {"__p": Scan("prev_last", F.struct("pos", "text"))}
+        employee_lines(lines), ["doc_id", "block"], ["pos"], _split(lines, "pos"), {"__p": Scan("prev_last", F.struct("pos", "text"))}
     )
     pair = rows.filter(F.col("text").rlike(TIME_LINE) & F.col("__p.text").rlike(DATE_LINE) & (F.col("__p.pos") == F.col("pos") - 1))
     d = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$"
@@ -91,14 +96,15 @@ def threshold_days(lines: DataFrame, hours: float) -> DataFrame:
     rows = employee_lines(lines)
     number = F.when(F.col("text").rlike(NUMERIC_LINE), F.col("text").cast(MONEY))
     run = scan(
-        rows.withColumn("v", number), ["doc_id", "block", "employee"], ["pos"], [spread_of("pos")],
+        rows.withColumn("v", number), ["doc_id", "block", "employee"], ["pos"], _split(lines, "pos"),
         {"run": Scan("sum", F.when(F.col("v").isNull(), 1).otherwise(0))},
     )
-    spread = run.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("start", F.col("pos") - F.col("off"))
-    at = lambda i: F.max(F.when(F.col("off") == i, F.col("v")))
-    fours = spread.filter(F.col("v").isNotNull()).groupBy("doc_id", "block", "employee", "run", "start").agg(
-        *[at(i).alias(f"v{i}") for i in range(4)]
-    )
+    # A window looks three lines ahead; slices of a long run also hold the three lines after them.
+    here, first = F.floor(F.col("pos") / CHUNK_ROWS), F.floor((F.col("pos") - 3) / CHUNK_ROWS)
+    numbers = run.filter(F.col("v").isNotNull()).withColumn("__slice", F.explode(F.when(first < here, F.array(here, first)).otherwise(F.array(here))))
+    slices = Window.partitionBy("doc_id", "block", "employee", "run", "__slice").orderBy("pos")
+    fours = numbers.withColumns({f"v{i}": F.max("v").over(slices.rangeBetween(i, i)) for i in range(4)})
+    fours = fours.filter(F.col("__slice") == here).withColumn("start", F.col("pos"))
     full = F.col("v0").isNotNull() & F.col("v1").isNotNull() & F.col("v2").isNotNull() & F.col("v3").isNotNull()
     good = fours.filter(full & (F.col("v3") >= F.greatest("v0", "v1", "v2")))
     days = good.groupBy("doc_id", "block", "employee", "run").agg(F.min_by("v3", "start").alias("day_total"))
