@@ -92,7 +92,7 @@ def test_runs_of_numbers_across_slices(spark, monkeypatch):
     lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "doc_id string, pos bigint, text string")
     for size in (1 << 18, 5, 4, 3):
         monkeypatch.setattr(pr, "CHUNK_ROWS", size)
-        assert [(r.employee, r.days) for r in pr.threshold_days(lines, 8.0).collect()] == [("A", 1)]
+        assert [(r.employee, r.days) for r in pr.threshold_days(lines, 8.0).collect()] == [("Employee A", 1)]
     assert "sequence" not in pr.threshold_days(lines, 8.0)._jdf.queryExecution().logical().toString()
 
 
