@@ -108,9 +108,14 @@ def mark_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def tag_sections(marked: DataFrame) -> DataFrame:
+def _chunks(short: bool, pos: str = "pos") -> list | None:
+    """No chunks where the caller has seen that every document fits one."""
+    return None if short else [block_of(pos)]
+
+
+def tag_sections(marked: DataFrame, short: bool = False) -> DataFrame:
     """Carry the last section header down; an end marker clears it."""
-    out = scan(marked, ["doc_id"], ["pos"], [block_of("pos")], {"section": Scan("last", F.col("mk_section"))}, near=True)
+    out = scan(marked, ["doc_id"], ["pos"], _chunks(short), {"section": Scan("last", F.col("mk_section"))}, near=True)
     return out.withColumn("section", F.coalesce("section", F.lit("")))
 
 
@@ -128,16 +133,18 @@ def _needs(attr: str) -> Column:
 
 
 def _joined(rows: Column) -> Column:
-    ordered = F.array_sort(rows)
+    ordered = F.sort_array(rows)
     return F.trim(F.array_join(F.transform(ordered, lambda r: r["text"]), " "))
 
 
-def assemble_blocks(marked: DataFrame, start: Column | None = None) -> DataFrame:
+def assemble_blocks(marked: DataFrame, start: Column | None = None, of: Column | None = None, short: bool | None = None) -> DataFrame:
     """Records that begin at their date (or check-number) line and end at their amount.
 
     Lines after the amount belong to the record only under layouts with a trailing
-    description.  Records without an amount are dropped before anything is collected, so a
-    date that no amount follows does not gather the rest of its document.
+    description.  In long documents records without an amount are dropped before anything is
+    collected, so a date that no amount follows does not gather the rest of its document.
+    `of` keeps records by their profile and section, before they are assembled; `short` says
+    whether every document fits a chunk, and is looked up if not given.
     """
     begin = F.col("is_start") if start is None else start
     boundary = begin | F.col("mk_section").isNotNull()
@@ -148,12 +155,13 @@ def assemble_blocks(marked: DataFrame, start: Column | None = None) -> DataFrame
         .when(F.col("is_amount"), "closed")
         .when(ends, "none")
     )
-    short = fits(marked, ["doc_id"], [block_of("pos")])
+    if short is None:
+        short = fits(marked, ["doc_id"], [block_of("pos")])
     found = scan(
         marked,
         ["doc_id"],
         ["pos"],
-        None if short else [block_of("pos")],
+        _chunks(short),
         {
             "section": Scan("last", F.col("mk_section")),
             "block": Scan("sum", F.when(boundary, 1).otherwise(0)),
@@ -163,9 +171,10 @@ def assemble_blocks(marked: DataFrame, start: Column | None = None) -> DataFrame
     in_section = (F.col("section") != "") | ~_needs("needs_section")
     open_row = begin | (F.col("before") == "open") | (_needs("tail") & (F.col("before") == "closed"))
     rows = found.filter(~F.col("is_noise") & F.col("mk_section").isNull() & in_section & F.coalesce(open_row, F.lit(False)))
+    if of is not None:
+        rows = rows.filter(of)
     if short:
-        paid = F.max("is_amount").over(Window.partitionBy("doc_id", "block"))
-        rows = rows.filter(F.col("doc_id").isNotNull()).withColumn("__paid", paid).filter("__paid").drop("__paid")
+        rows = rows.filter(F.col("doc_id").isNotNull())
     else:
         rows = rows.join(rows.filter("is_amount").select("doc_id", "block").distinct(), ["doc_id", "block"], "left_semi")
     inside = ~begin & ~F.col("is_amount")
@@ -178,7 +187,7 @@ def assemble_blocks(marked: DataFrame, start: Column | None = None) -> DataFrame
         F.min_by("text", F.when(begin, F.col("pos"))).alias("start_line"),
         F.min_by("date_text", F.when(F.col("date_text").isNotNull(), F.col("pos"))).alias("date_raw"),
         F.min_by("amount_text", F.when(F.col("is_amount"), F.col("pos"))).alias("amount_text"),
-        F.array_sort(F.collect_list(F.when(F.col("is_amount"), F.struct("pos", "amount_text")))).alias("__amounts"),
+        F.sort_array(F.collect_list(F.when(F.col("is_amount"), F.struct("pos", "amount_text")))).alias("__amounts"),
         F.collect_list(F.when(inside & ~printed_ref, line)).alias("__text"),
         F.min_by("text", F.when(printed_ref, F.col("pos"))).alias("ref_line"),
     )
@@ -199,23 +208,25 @@ def assemble_blocks(marked: DataFrame, start: Column | None = None) -> DataFrame
     )
 
 
-def assemble_blocks_backward(marked: DataFrame) -> DataFrame:
+def assemble_blocks_backward(marked: DataFrame, short: bool = False) -> DataFrame:
     """Records closed by their amount line; text above it, back to the previous break, describes it."""
-    sectioned = tag_sections(marked)
+    sectioned = tag_sections(marked, short)
     breaks = F.col("is_amount") | F.col("is_noise") | (F.col("is_ref") & ~_needs("lookback"))
     breaks = F.when(_needs("lookback"), F.col("is_amount")).otherwise(breaks)
     closing = F.when(
         breaks, F.struct("pos", "line_no", F.col("is_amount").alias("pays"), "section", F.upper("text").endswith("CR").alias("cr"))
     )
-    rev = sectioned.withColumn("__back", -F.col("pos"))
-    found = scan(rev, ["doc_id"], ["__back"], [block_of("__back")], {"closer": Scan("last", closing)}, near=True)
+    # Furniture and headers that break nothing are done with.
+    body = ~F.col("is_noise") & F.col("mk_section").isNull()
+    rev = sectioned.filter(breaks | body).withColumn("__back", -F.col("pos"))
+    found = scan(rev, ["doc_id"], ["__back"], _chunks(short, "__back"), {"closer": Scan("last", closing)}, near=True)
     reach = F.lit(None).cast("int")
     for p in PROFILES:
         if p.lookback:
             reach = F.when(F.col("profile") == p.name, p.lookback).otherwise(reach)
     near = reach.isNull() | (F.col("closer.line_no") - F.col("line_no") <= reach)
     in_section = (F.col("closer.section") != "") | ~_needs("needs_section")
-    rows = found.filter(F.col("closer.pays") & near & in_section & ~F.col("is_noise") & F.col("mk_section").isNull())
+    rows = found.filter(F.col("closer.pays") & near & in_section & body)
     dated = F.col("date_text").isNotNull()
     card_ref = F.col("is_ref") & _needs("lookback")
     text = ~F.col("is_amount") & ~(dated & _needs("lookback")) & ~card_ref
@@ -241,14 +252,14 @@ def assemble_blocks_backward(marked: DataFrame) -> DataFrame:
     ).filter(F.col("description").isNotNull() & F.col("date_raw").isNotNull())
 
 
-def parse_fixed_layout(marked: DataFrame) -> DataFrame:
+def parse_fixed_layout(marked: DataFrame, short: bool = False) -> DataFrame:
     """Five-line records: posted, transaction date, description, long reference, amount."""
     date_here = F.when(F.col("is_start"), F.struct("pos", "date_text"))
     found = scan(
         marked,
         ["doc_id"],
         ["pos"],
-        [block_of("pos")],
+        _chunks(short),
         {
             "section": Scan("last", F.col("mk_section")),
             "second": Scan("last", date_here),
@@ -276,41 +287,49 @@ def parse_fixed_layout(marked: DataFrame) -> DataFrame:
     )
 
 
-def parse_single_line(marked: DataFrame) -> DataFrame:
+def parse_single_line(marked: DataFrame, short: bool = False) -> DataFrame:
     """One-line records by profile pattern, inside the wanted sections."""
     pattern = _pattern("single")
     hit = _found(pattern, 0).isNotNull()
     # Other lines neither set a section nor are records.
-    sectioned = tag_sections(marked.filter(hit | F.col("mk_section").isNotNull()))
+    sectioned = tag_sections(marked.filter(hit | F.col("mk_section").isNotNull()), short)
 
     def part(name: str) -> Column:
         group = lambda p: F.lit(p.single_fields.index(name) + 1) if name in p.single_fields else None
         has = F.col("profile").isin(*[p.name for p in PROFILES if name in p.single_fields])
         return F.when(has, _found(pattern, _by_profile(group, F.lit(0))))
 
-    keep = hit & ~F.col("is_noise") & ((F.col("section") != "") | ~_needs("needs_section"))
-    return sectioned.filter(keep).select(
-        "doc_id", "profile", "section", F.col("pos").alias("line_no"),
+    keep = ~F.col("is_noise") & ((F.col("section") != "") | ~_needs("needs_section"))
+    record = F.struct(
         part("date").alias("date_raw"), part("tx_date").alias("tx_date_raw"),
         F.trim(part("description")).alias("description"),
         money_parse(part("amount")).alias("amount"),
         money_parse(part("balance")).alias("balance"),
         F.coalesce(part("reference"), F.lit("")).alias("reference"),
-    ).filter(F.col("amount").isNotNull())
+    )
+    # A line without a match has no amount either. As a list of one the record is read once, not again by the filter.
+    paid = F.filter(F.array(record), lambda r: r["amount"].isNotNull())
+    return sectioned.filter(keep).select("doc_id", "profile", "section", F.col("pos").alias("line_no"), F.inline(paid))
 
 
-def parse_checks(marked: DataFrame) -> DataFrame:
+def parse_checks(marked: DataFrame, short: bool | None = None) -> DataFrame:
     """Check-section records anchored on the check-number line."""
+    if short is None:
+        short = fits(marked, ["doc_id"], [block_of("pos")])
     number = _by_profile(lambda p: F.lit(p.checks[1]) if p.checks else None, F.lit(None).cast("string"))
     numbered = marked.filter(_needs("checks")).withColumn("check_no", _found(number))
-    rev = numbered.withColumn("__back", -F.col("pos"))
-    numbered = scan(rev, ["doc_id"], ["__back"], [block_of("__back")], {"__dated": Scan("prev_last", F.col("is_start"))}, near=True)
+    if short:
+        # in the order of the assembly, so both use one sort
+        numbered = numbered.withColumn("__dated", F.lead("is_start").over(Window.partitionBy("doc_id").orderBy("pos")))
+    else:
+        rev = numbered.withColumn("__back", -F.col("pos"))
+        numbered = scan(rev, ["doc_id"], ["__back"], [block_of("__back")], {"__dated": Scan("prev_last", F.col("is_start"))}, near=True)
     # A bare number is a check only when a date follows it; a prefixed one always is.
     follows = F.coalesce("__dated", F.lit(False)) | ~_needs("check_before_date")
     anchor = F.col("check_no").isNotNull() & F.col("mk_section").isNull() & ~F.col("is_noise") & follows
     records = assemble_blocks(
-        numbered.withColumn("is_amount", F.col("is_amount") & ~anchor), start=anchor
-    ).filter((F.col("section") == "checks") & F.col("date_raw").isNotNull())
+        numbered.withColumn("is_amount", F.col("is_amount") & ~anchor), start=anchor, of=F.col("section") == "checks", short=short
+    ).filter(F.col("date_raw").isNotNull())
     check = F.regexp_extract("start_text", r"(\d+)", 1)
     payee = F.trim(F.regexp_replace("description", rf"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s*\d{{1,2}}\b|\b[A-Z]*\d{{7,}}\*?", ""))
     return records.select(
@@ -347,13 +366,13 @@ def parse_fees_interest(marked: DataFrame, tx: DataFrame, period: DataFrame) ->
     )
 
 
-def split_by_summary_counts(records: DataFrame, summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_by_summary_counts(records: DataFrame, summary: DataFrame, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """Sections by item counts: first n_customer, then n_other, then withdrawals, then checks.
 
     Also returns one expected-versus-found row per document, because a wrong count shifts
-    everything after it.
+    everything after it.  `short` says that every document fits a chunk.
     """
-    ranked = number_rows(records, ["doc_id"], ["line_no"], [block_of("line_no")], "rn")
+    ranked = number_rows(records, ["doc_id"], ["line_no"], _chunks(short, "line_no"), "rn")
     joined = ranked.join(summary, "doc_id", "left")
     n1, n2, n3 = F.col("n_customer"), F.col("n_other_dep"), F.col("n_other_wdr")
     section = (
@@ -375,13 +394,13 @@ def split_by_summary_counts(records: DataFrame, summary: DataFrame) -> tuple[Dat
     return out, quality
 
 
-def summary_counts(lines: DataFrame) -> DataFrame:
+def summary_counts(lines: DataFrame, short: bool = False) -> DataFrame:
     """Item counts of the account summary: on the header line or one of the next three."""
     after = scan(
         lines,
         ["doc_id"],
         ["pos"],
-        [block_of("pos")],
+        _chunks(short),
         {
             "opened": Scan("last", F.when(F.lower("text").startswith("beginning balance on"), F.col("pos"))),
         },
@@ -394,8 +413,10 @@ def summary_counts(lines: DataFrame) -> DataFrame:
         .when(low.contains("other withdrawals"), "n_other_wdr")
         .when(low.contains("checks paid") | low.contains("checks presented"), "n_checks")
     )
-    # At most 29 lines per document reach this point, so the rows of one document are few.
-    rows = after.select("doc_id", "pos", kind.alias("kind"), "text").groupBy("doc_id").agg(
+    # At most 29 lines of a summary reach this point, so the rows of one document are few;
+    # lines that are neither a kind nor a number are not looked at below, the opening line keeps its document.
+    told = kind.isNotNull() | F.replace("text", F.lit(","), F.lit("")).rlike(r"^\d+$") | (F.col("pos") == F.col("opened"))
+    rows = after.filter(told).select("doc_id", "pos", kind.alias("kind"), "text").groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("rows")
     )
 
@@ -482,31 +503,31 @@ def assign_year(tx: DataFrame, period: DataFrame, fallback_year: int = 2000) ->
     raw = F.trim("date_raw")
     slash = r"^(\d{1,2})/(\d{1,2})(?:/(\d{2}|\d{4}))?$"
     named = r"^([A-Za-z]{3,})\s*(\d{1,2})$"
-    part = lambda p, i: matched(raw, p, i).try_cast("int")
-    # Read once, as columns: the year's rule names them several times.
-    read = tx.withColumns(
-        {
-            "__month": F.coalesce(part(slash, 1), month_number(F.regexp_extract(raw, named, 1))),
-            "__day": F.coalesce(part(slash, 2), part(named, 2)),
-            "__printed": part(slash, 3),
-        }
+    number = lambda v: v.try_cast("int")
+    fields = lambda m, d, y: F.struct(m.alias("month"), d.alias("day"), y.alias("printed"))
+    # Read once, as a column: the year's rule names it several times.
+    parts = let(
+        raw,
+        lambda t: F.when(t.rlike(slash), let(F.split(t, "/"), lambda p: fields(number(p[0]), number(p[1]), number(F.get(p, F.lit(2)))))).when(
+            t.rlike(named), fields(month_number(t), number(F.regexp_extract(t, named, 2)), F.lit(None).cast("int"))
+        ),
     )
-    joined = read.join(period, "doc_id", "left")
-    month = F.col("__month")
+    joined = tx.withColumn("__read", parts).join(period, "doc_id", "left")
+    month = F.col("__read.month")
     spans = (F.col("start_year") != F.col("end_year")) & F.col("start_month").isNotNull()
     late = F.col("profile").isin(*[p.name for p in PROFILES if p.straddle == "start"])
     straddled = F.when(
         F.when(late, month >= F.col("start_month")).otherwise(month > F.col("end_month")), F.col("start_year")
     ).otherwise(F.col("end_year"))
     year = F.coalesce(
-        wide_year(F.col("__printed"), 50),
+        wide_year(F.col("__read.printed"), 50),
         F.when(spans, straddled),
         F.col("end_year"),
         F.col("statement_year"),
         F.lit(fallback_year),
     )
     keep = [c for c in tx.columns]
-    return joined.select(*keep, safe_date(year, month, F.col("__day")).alias("tx_date"))
+    return joined.select(*keep, safe_date(year, month, F.col("__read.day")).alias("tx_date"))
 
 
 def opening_balance(lines: DataFrame) -> DataFrame:
@@ -549,7 +570,7 @@ def sign_by_balance(tx: DataFrame, opening: DataFrame) -> DataFrame:
 def sign_by_section(tx: DataFrame) -> DataFrame:
     """Credits section, a printed CR mark or credit words mean money in."""
     size = F.abs("amount")
-    words = F.col("description").rlike(CARD_CREDIT_WORDS) & (F.col("profile") == "card_open_close")
+    words = (F.col("profile") == "card_open_close") & F.col("description").rlike(CARD_CREDIT_WORDS)
     printed = F.coalesce(F.col("printed_credit"), F.lit(False)) if "printed_credit" in tx.columns else F.lit(False)
     minus = (F.col("amount") < 0) & (F.col("profile") == "card_billing")
     return tx.withColumn(
@@ -561,25 +582,31 @@ def extract_refs(tx: DataFrame) -> DataFrame:
     """Check number by ordered patterns, else a reference number, from the description."""
     d = F.coalesce(F.col("description"), F.lit(""))
     pick = lambda p: F.nullif(F.regexp_extract(d, p, 1), F.lit(""))
-    check = F.coalesce(
-        pick(r"(?i)CHECK\s+NO\.?\s*:?\s*(\d+)"), pick(r"(?i)Check\s*#\s*(\d+)"), pick(r"(?i)CHK\s*#?\s*(\d+)")
+    check = F.when(
+        d.rlike("(?i)CHE?C?K"),
+        F.coalesce(pick(r"(?i)CHECK\s+NO\.?\s*:?\s*(\d+)"), pick(r"(?i)Check\s*#\s*(\d+)"), pick(r"(?i)CHK\s*#?\s*(\d+)")),
     )
     ref = F.coalesce(pick(r"\b#\s*(\d{3,8})\b"), pick(r"(?i)REF\s*[=#]?\s*([A-Z0-9]+)"))
     own_check = F.col("check_number") if "check_number" in tx.columns else F.lit(None).cast("string")
     own_ref = F.nullif(F.col("reference"), F.lit("")) if "reference" in tx.columns else F.lit(None).cast("string")
     number = F.coalesce(F.nullif(own_check, F.lit("")), check)
-    return tx.withColumn("check_number", F.coalesce(number, F.lit(""))).withColumn(
-        "reference", F.coalesce(own_ref, F.when(number.isNull(), ref), F.lit(""))
+    # The number is found once, as a column; both results name it.
+    numbered = tx.withColumn("__number", number).withColumns(
+        {"check_number": F.coalesce("__number", F.lit("")), "reference": F.coalesce(own_ref, F.when(F.col("__number").isNull(), ref), F.lit(""))}
     )
+    return numbered.drop("__number")
 
 
 def split_merchant_location(tx: DataFrame) -> DataFrame:
     return tx.withColumns(merchant_location("description"))
 
 
-def dedupe_transactions(tx: DataFrame) -> DataFrame:
-    """First row per (document, date, description, amount, reference)."""
-    return first_per_key(tx, ["doc_id", "tx_date", "description", "amount", "reference"], ["line_no"])
+def dedupe_transactions(tx: DataFrame, short: bool = False) -> DataFrame:
+    """First row per (document, date, description, amount, reference); a window serves where documents are `short`."""
+    keys = ["doc_id", "tx_date", "description", "amount", "reference"]
+    if not short:
+        return first_per_key(tx, keys, ["line_no"])
+    return tx.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))).filter("__rn = 1").drop("__rn")
 
 
 def filter_direction(tx: DataFrame, direction: str = "both", respect_sign: bool = True) -> DataFrame:
@@ -632,28 +659,33 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     def of(test: Callable[[Profile], bool]) -> tuple[str, ...]:
         return tuple(p.name for p in there if test(p))
 
+    # One look at the positions tells all scans whether a document is longer than a chunk.
+    short = fits(marked, ["doc_id"], [block_of("pos")])
     parts = []
     pending = marked
     if names := of(lambda p: p.single is not None):
-        single = cut_lineage(parse_single_line(marked.filter(_wanted(names))))
-        # Documents with one-line records need no assembly.
-        if not single.isEmpty():
+        single = cut_lineage(parse_single_line(marked.filter(_wanted(names)), short))
+        # Documents with one-line records need no assembly; without such records only the columns are kept,
+        # so the other parts stay dealt out by document.
+        if single.isEmpty():
+            single = single.limit(0)
+        else:
             pending = marked.join(single.select("doc_id").distinct(), "doc_id", "left_anti")
         parts.append(single)
     if names := of(lambda p: p.layout == "forward"):
-        rows = assemble_blocks(pending.filter(_wanted(names))).drop("start_text")
         anchored = F.col("profile").isin(*[p.name for p in PROFILES if p.checks]) & (F.col("section") == "checks")
+        rows = assemble_blocks(pending.filter(_wanted(names)), of=~anchored, short=short).drop("start_text")
         number = F.nullif(F.regexp_extract("description", r"^(\d{4,})\*?$", 1), F.lit(""))
         check = F.when(F.col("section") == "checks", number)
-        rows = rows.filter(~anchored).withColumn("check_number", check)
+        rows = rows.withColumn("check_number", check)
         title = F.when(check.isNotNull(), F.concat(F.lit("Check "), check)).otherwise(F.col("description"))
         parts.append(rows.withColumn("description", title))
     if names := of(lambda p: p.checks is not None):
-        parts.append(parse_checks(pending.filter(_wanted(names))))
+        parts.append(parse_checks(pending.filter(_wanted(names)), short))
     if names := of(lambda p: p.layout == "backward"):
-        parts.append(assemble_blocks_backward(pending.filter(_wanted(names))))
+        parts.append(assemble_blocks_backward(pending.filter(_wanted(names)), short))
     if names := of(lambda p: p.layout == "fixed"):
-        parts.append(parse_fixed_layout(pending.filter(_wanted(names))))
+        parts.append(parse_fixed_layout(pending.filter(_wanted(names)), short))
 
     period = statement_period(marked)
     dated = assign_year(union_transactions(*parts), period)
@@ -670,7 +702,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     signed = union_transactions(*[rules[kind](dated.filter(_wanted(names))) for kind, names in used.items()])
     if of(lambda p: p.name == "card_billing"):
         signed = union_transactions(signed, parse_fees_interest(marked, signed, period))
-    return dedupe_transactions(extract_refs(signed))
+    return dedupe_transactions(extract_refs(signed), short)
 
 
 def _no_rows(marked: DataFrame) -> DataFrame:
