@@ -14,7 +14,8 @@ from ledgerloom.catalog.registry import cents, cents_sql, orders, query, table
 from ledgerloom.operators import reconcile as rc
 from ledgerloom.operators import statements as st
 from ledgerloom.operators.vendors import compare_company_names, payer_names
-from ledgerloom.plans.ordered import number_rows, spread_of
+from ledgerloom.plans.ordered import block_of, fits, number_rows, spread_of
+from ledgerloom.plans.session import cut_lineage
 from ledgerloom.sources.readers import read_pasted_worksheet
 
 DOC_SQL = "CAST(o_custkey AS VARCHAR) || '-' || CAST(year(CAST(o_orderdate AS DATE) - INTERVAL 6 MONTH) AS VARCHAR)"
@@ -216,9 +217,11 @@ def split_by_counts(spark, d):
         F.lit("Customer Deposits 1 10.00"), F.lit("Other Deposits"), F.lit("2"), F.lit("Other Withdrawals 1"), F.lit("Checks Paid"), F.lit("3"), F.lit("Other Deposits (continued) 2"),
     ]
     body = [F.date_format("day", "MMM dd"), F.concat(F.lit("ITEM "), _key()), F.col("shown")]
-    lines = _lines(b, head, body, "sectioned_checking")
-    records = st.assemble_blocks(st.mark_lines(lines))
-    out, _ = st.split_by_summary_counts(records, st.summary_counts(lines))
+    # Marked lines feed two scans, so they are written once; a look at the positions tells both how long documents are.
+    marked = cut_lineage(st.mark_lines(_lines(b, head, body, "sectioned_checking")))
+    short = fits(marked, ["doc_id"], [block_of("pos")])
+    records = st.assemble_blocks(marked, short=short)
+    out, _ = st.split_by_summary_counts(records, st.summary_counts(marked, short), short)
     return out.select("doc_id", "description", "section", cents("amount").alias("cents"))
 
 

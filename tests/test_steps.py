@@ -59,3 +59,14 @@ def test_single_lines_are_matched_once(spark):
     assert "Generate inline" in _optimized(rows)
 
 
+def test_counted_statements_are_printed_once(spark, tmp_path):
+    from ledgerloom.catalog.statements import split_by_counts
+
+    day = dt.datetime(2020, 8, 1)
+    spark.createDataFrame([(n, 1, "O", 10.0 + n, day) for n in range(9)], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    out = split_by_counts(spark, str(tmp_path))
+    want = ["customer_deposit", "other_deposit", "other_deposit", "withdrawal", "check", "check", "check"]
+    assert [r.section for r in out.orderBy("description").collect()] == want
+    assert "o_orderkey" not in _optimized(out)
+
+
