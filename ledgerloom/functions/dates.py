@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import _c, matched
+from ledgerloom.functions.text import _c, let
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -32,14 +32,19 @@ def wide_year(y: Column, pivot: int) -> Column:
 def date_parse(x: str | Column, pivot: int = 69) -> Column:
     """ISO, compact ISO, `m/d/y` with `/ - .`, and `d-Mon-y`, with 2- or 4-digit years."""
     s = F.trim(_c(x))
-    us = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2}|\d{4})$"
-    mon = r"^(\d{1,2})-([A-Za-z]{3})-(\d{2}|\d{4})$"
-    iso = F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
-    flat = F.when(s.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2)))
-    part = lambda p, i: matched(s, p, i).try_cast("int")
-    american = safe_date(wide_year(part(us, 3), pivot), part(us, 1), part(us, 2))
-    named = safe_date(wide_year(part(mon, 3), pivot), month_number(F.regexp_extract(s, mon, 2)), part(mon, 1))
-    return F.coalesce(iso, flat.try_cast("date"), american, named)
+    us = r"^\d{1,2}[/.\-]\d{1,2}[/.\-](\d{2}|\d{4})$"
+    mon = r"^\d{1,2}-[A-Za-z]{3}-(\d{2}|\d{4})$"
+
+    def read(t: Column) -> Column:
+        iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(t, 1, 10)).try_cast("date")
+        flat = F.when(t.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2)))
+        year = lambda p: wide_year(p[2].try_cast("int"), pivot)
+        american = F.when(t.rlike(us), let(F.split(F.translate(t, "/.", "--"), "-"), lambda p: safe_date(year(p), p[0], p[1])))
+        named = F.when(t.rlike(mon), let(F.split(t, "-"), lambda p: safe_date(year(p), month_number(p[1]), p[0])))
+        return F.coalesce(iso, flat.try_cast("date"), american, named)
+
+    # The text is trimmed once, and its parts are only read where the pattern has told their shape.
+    return let(s, read)
 
 
 def quarter_start(d: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import _c, matched
+from ledgerloom.functions.text import _c, let
 
 MONEY = "decimal(18,2)"
 
@@ -13,14 +13,15 @@ MONEY = "decimal(18,2)"
 def money_parse(x: str | Column) -> Column:
     """`$1,234.56`, leading or trailing minus; anything else is null."""
     s = F.regexp_replace(_c(x), r"[$,\s]", "")
-    value = matched(s, r"^[+-]?(\d+\.?\d*|\.\d+)-?\z").try_cast(MONEY)
     # In text that reads as money a minus stands in front or at the end.
-    return F.when(_c(x).contains("-"), -value).otherwise(value).cast(MONEY)
+    sign = F.when(_c(x).contains("-"), "-").otherwise("")
+    value = let(s, lambda t: F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)-?\z"), F.translate(t, "+-", "")))
+    return F.concat(sign, value).try_cast(MONEY)
 
 
 def worksheet_money(x: str | Column) -> Column:
     """Worksheet cell: a lone dash is zero, a minus sign survives."""
-    return F.when(F.trim(_c(x)).isin("-", "–", "—"), F.lit(0).cast(MONEY)).otherwise(money_parse(x))
+    return let(_c(x), lambda t: F.when(F.trim(t).isin("-", "–", "—"), F.lit(0).cast(MONEY)).otherwise(money_parse(t)))
 
 
 def loose_money(x: str | Column) -> Column:

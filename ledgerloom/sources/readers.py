@@ -49,12 +49,13 @@ def read_pasted_worksheet(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",),
 
     Seven to ten columns; with two dates the later one counts; a lone dash is zero.
     """
-    cells = F.split(F.trim(text), r"\s+")
-    parsed = rows.filter(blank(text) != "").withColumn("c", cells)
-    head = parsed.groupBy(*keys).agg(F.min_by("c", order).alias("h"))
+    cells = lambda line: F.split(F.trim(line), r"\s+")
+    lines = rows.filter(blank(text) != "")
+    head = lines.groupBy(*keys).agg(F.min_by(text, order).alias("h")).withColumn("h", cells("h"))
     n_dates = F.size(F.filter("h", lambda v: date_parse(v).isNotNull()))
     head = head.select(*keys, F.size("h").alias("n"), n_dates.alias("d"))
-    r = parsed.join(head, list(keys))
+    # Lines are split once, after the join, and each cell is read once.
+    r = lines.join(head, list(keys)).withColumn("c", cells(text))
     two = (F.col("n") == 10) | ((F.col("n") == 8) & (F.col("d") == 2))
     has_sum = (F.col("n") >= 9) | ((F.col("n") == 8) & (F.col("d") == 1))
     has_pi = F.col("n") >= 9
@@ -62,10 +63,10 @@ def read_pasted_worksheet(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",),
     shift = F.when(two, 1).otherwise(0)
     cell = lambda i: F.try_element_at("c", (F.lit(i) + shift).cast("int"))
     after = lambda k: F.when(has_sum, cell(k + 1)).otherwise(cell(k))
-    first, second = date_parse(F.try_element_at("c", F.lit(1))), date_parse(F.try_element_at("c", F.lit(2)))
-    return r.filter(valid).select(
+    dates = {"__first": date_parse(F.try_element_at("c", F.lit(1))), "__second": F.when(two, date_parse(F.try_element_at("c", F.lit(2))))}
+    return r.filter(valid).withColumns(dates).select(
         *keys, F.col(order).alias("row_no"),
-        F.when(two, F.greatest(first, second)).otherwise(first).alias("date"),
+        F.greatest("__first", "__second").alias("date"),
         worksheet_money(cell(2)).alias("total"), worksheet_money(cell(3)).alias("ui"), worksheet_money(cell(4)).alias("ett"),
         F.when(has_sum, worksheet_money(cell(5))).cast(MONEY).alias("ui_ett"),
         worksheet_money(after(5)).alias("sdi"), worksheet_money(after(6)).alias("pit"),

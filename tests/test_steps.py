@@ -70,3 +70,19 @@ def test_counted_statements_are_printed_once(spark, tmp_path):
     assert "o_orderkey" not in _optimized(out)
 
 
+def test_dates_and_cells_of_a_worksheet_are_read_once(spark):
+    from ledgerloom.functions.dates import date_parse
+    from ledgerloom.functions.money import money_parse
+
+    texts = ["2020-01-02x", "20200102", "1/2/20", "01-02-1970", "3.4.99", "5-Mar-68", "13/1/20", "1/2/202", "2-Foo-20", " 1/2/2020 ", "", None]
+    days = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(date_parse("t")).collect()]
+    d = dt.date
+    assert days == [d(2020, 1, 2), d(2020, 1, 2), d(2020, 1, 2), d(1970, 1, 2), d(1999, 3, 4), d(2068, 3, 5), None, None, None, d(2020, 1, 2), None, None]
+    texts = ["$1,234.5", "-5", "5.00-", "+.5", "1.", "--5", "5-5", "1.005", "-1.005", "x", "", None, "9" * 17]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = ["1234.50", "-5.00", "-5.00", "0.50", "1.00", None, None, "1.01", "-1.01", None, None, None, None]
+    assert [r[0] and str(r[0]) for r in df.select(money_parse("t")).collect()] == want
+    read = _optimized(df.select(money_parse("t").alias("m"), date_parse("t").alias("d")))
+    assert read.count("regexp_replace") == 1 and read.count("RLIKE") <= 5 and "regexp_extract" not in read
+
+
