@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import month_number, safe_date
 from ledgerloom.functions.money import MONEY, money_parse
-from ledgerloom.plans.ordered import CHUNK_ROWS, Scan, block_of, number_rows, scan
+from ledgerloom.plans.ordered import CHUNK_ROWS, Scan, block_of, number_rows, scan, spread_of
 from ledgerloom.plans.session import cut_lineage
 
 KEYS = ("company_id", "period")
@@ -105,11 +107,16 @@ def cancel_returned_payments(payments: DataFrame, keys: Sequence[str] = KEYS, da
     )
     group = [*keys, "amount"]
     order = ["settlement_date", "__phase", "__start", "row_no"]
-    chunk = [F.col("settlement_date")] if date_chunk else None
-    leveled = stack_match(events, group, order, chunk)
+    # Only a group that is longer than a chunk is cut by date. Groups with a null in their key match
+    # nothing across dates, so they are one group a date either way.
+    lone = F.when(reduce(or_, [F.col(c).isNull() for c in group]), F.col("settlement_date"))
+    long = date_chunk and not events.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") > CHUNK_ROWS).isEmpty()
+    chunk = [F.col("settlement_date")] if long else None
+    whole = group if long or not date_chunk else [*group, "__lone"]
+    leveled = stack_match(events.withColumn("__lone", lone), whole, order, chunk)
     paired = scan(
         leveled.filter(F.col("level").isNotNull()),
-        [*group, "level"],
+        [*whole, "level"],
         order,
         chunk,
         {"__mate": Scan("prev_last", F.struct("row_no", "opens", "settlement_date"))},
@@ -117,8 +124,10 @@ def cancel_returned_payments(payments: DataFrame, keys: Sequence[str] = KEYS, da
     hits = paired.filter(F.col("matched_close")).select(
         *group, "row_no", F.col("__mate.row_no").alias("cancelled_row"), F.col("__mate.settlement_date").alias("cancelled_date")
     )
+    # Both results and what follows them name the hits, so they are written once.
+    hits = cut_lineage(hits)
     returns = (
-        leveled.filter(~F.col("opens"))
+        events.filter(~F.col("opens"))
         .select(*group, F.col("settlement_date").alias("returned_date"), "row_no")
         .join(hits, [*group, "row_no"], "left")
         .withColumn("cancelled_status", F.when(F.col("cancelled_row").isNull(), "NOT_FOUND").otherwise("Returned"))
@@ -207,7 +216,7 @@ def match_direct(
 ) -> DataFrame:
     """Worksheet rows with `direct`: the first n rows of an amount match its n payments."""
     have = payments.groupBy(*keys, F.col("amount").alias(amount)).agg(F.count("*").alias("__have"))
-    ranked = number_rows(ws, [*keys, amount], [row], [block_of(row)], "__rn")
+    ranked = number_rows(ws, [*keys, amount], [row], [spread_of(row)], "__rn")
     out = ranked.join(have, [*keys, amount], "left")
     return out.withColumn("direct", F.coalesce(F.col("__rn") <= F.col("__have"), F.lit(False))).drop("__rn", "__have")
 
@@ -311,7 +320,7 @@ def residual_report(ws: DataFrame, payments: DataFrame, keys: Sequence[str] = KE
     halves = _demand(ws.filter("split").select(*keys, "row_no", F.col("ui_ett").alias("part_a"), F.col("p_i").alias("part_b")), keys)
     spent = done.unionByName(halves.select(*keys, "amount", "need")).groupBy(*keys, "amount").agg(F.sum("need").alias("__spent"))
     have = payments.groupBy(*keys, "amount").agg(F.count("*").alias("__have"))
-    ranked = number_rows(payments, [*keys, "amount"], ["row_no"], [block_of("row_no")], "__rn")
+    ranked = number_rows(payments, [*keys, "amount"], ["row_no"], [spread_of("row_no")], "__rn")
     # The report keeps the first (count left) payments of an amount in source order.
     extra = (
         ranked.join(have, [*keys, "amount"])

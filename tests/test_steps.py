@@ -86,3 +86,19 @@ def test_dates_and_cells_of_a_worksheet_are_read_once(spark):
     assert read.count("regexp_replace") == 1 and read.count("RLIKE") <= 5 and "regexp_extract" not in read
 
 
+def test_returns_of_short_groups_are_written_once(spark, monkeypatch):
+    rng = random.Random(2)
+    day = lambda: dt.date(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 9))
+    rows = [(rng.choice([1, 2, None]), "p", n, day(), None, Decimal(rng.randint(1, 2)), rng.choice(["Settled", "Returned"])) for n in range(120)]
+    df = spark.createDataFrame(rows, "company_id int, period string, row_no int, settlement_date date, initiation_date date, amount decimal(18,2), status string")
+    written = []
+    keep = lambda frame: written.append(1) or frame
+    with monkeypatch.context() as m:
+        m.setattr(rc, "cut_lineage", keep)
+        m.setattr(ordered, "cut_lineage", keep)
+        short = [sorted(map(str, part.collect())) for part in rc.cancel_returned_payments(df)]
+    assert len(written) == 1
+    monkeypatch.setattr(rc, "CHUNK_ROWS", 5)
+    assert [sorted(map(str, part.collect())) for part in rc.cancel_returned_payments(df)] == short
+
+
