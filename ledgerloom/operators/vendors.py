@@ -9,7 +9,7 @@ shuffles otherwise; matches are ranked by aggregation, which combines before the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ RUN = 3
 LONG_RUN = 16
 #: A dictionary of more terms is never sent whole to every task: written it is far smaller than in memory.
 BROADCAST_TERMS = 100_000
+#: So many different runs are also listed in the plan, so that the other runs of a text never become rows.
+LISTED_RUNS = 1_000
 
 
 def build_vendor_dict(vendors: DataFrame, order: str | None = None) -> DataFrame:
@@ -46,10 +48,11 @@ def build_vendor_dict(vendors: DataFrame, order: str | None = None) -> DataFrame
     return out.withColumn("norm_len", F.length("norm"))
 
 
-def _runs(text: Column, k: int) -> Column:
-    """Distinct runs of k characters."""
+def _runs(text: Column, k: int, only: Callable[[Column], Column] | None = None) -> Column:
+    """Distinct runs of k characters, or those of them that pass `only`."""
     n = F.length(text)
     cut = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(k)))
+    cut = F.filter(cut, only) if only else cut
     return F.when(n >= k, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
@@ -71,7 +74,9 @@ def contained_pairs(
     sizes = sorted(r[0] for r in held)
     if sum(r[1] for r in held) > BROADCAST_TERMS:
         keyed, terms = keyed.hint("merge"), terms.hint("merge")
-    runs = F.flatten(F.array(*[_runs(F.col(text), k) for k in sizes])) if sizes else F.array().cast("array<string>")
+    listed = [r[0] for r in keyed.select("__run").distinct().limit(LISTED_RUNS + 1).collect()]
+    of_terms = (lambda run: run.isin(*listed)) if 0 < len(listed) <= LISTED_RUNS else None
+    runs = F.flatten(F.array(*[_runs(F.col(text), k, of_terms) for k in sizes])) if sizes else F.array().cast("array<string>")
     probe = texts.select(*keys, text).distinct().select(*keys, text, F.explode(runs).alias("__run"))
     met = probe.join(keyed, [*keys, "__run"]).filter(F.contains(F.col(text), F.col(term))).drop("__run")
     return met.join(terms, [*keys, term])

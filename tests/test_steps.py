@@ -102,3 +102,12 @@ def test_returns_of_short_groups_are_written_once(spark, monkeypatch):
     assert [sorted(map(str, part.collect())) for part in rc.cancel_returned_payments(df)] == short
 
 
+def test_runs_of_no_term_never_become_rows(spark, monkeypatch):
+    left = spark.createDataFrame([("BLUE RING BRAND#7 #10012345",), ("HOT BOLT",), ("xyz",)], "x string")
+    right = spark.createDataFrame([("BLUE RING",), ("BOLT",), ("HO",)], "y string")
+    pairs = lambda: {(r.x, r.y) for r in vd.contained_pairs(left, "x", right, "y").collect()}
+    few = pairs()
+    assert few == {("BLUE RING BRAND#7 #10012345", "BLUE RING"), ("HOT BOLT", "BOLT"), ("HOT BOLT", "HO")}
+    assert re.search(r" IN \(", _optimized(vd.contained_pairs(left, "x", right, "y")))
+    monkeypatch.setattr(vd, "LISTED_RUNS", 1)
+    assert pairs() == few
