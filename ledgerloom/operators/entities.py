@@ -220,22 +220,26 @@ def tasks_for_clients(tasks: DataFrame, clients: DataFrame, enabled_only: bool =
 def resolve_task_owner(tasks: DataFrame, clients: DataFrame) -> DataFrame:
     """Rewrite client_id to the owner's EIN, else SSN: by position, then name, then stored id.
 
-    Adds `outcome`: updated, unchanged, no_number or not_found.
+    Adds `outcome`: updated, unchanged, no_number or not_found.  A task without a key matches nothing;
+    in its place stands a hash of the task, so such tasks do not all meet in one join task.
     """
+    spare = F.concat(F.lit("s"), F.xxhash64(*[c for c, kind in tasks.dtypes if "map<" not in kind]).cast("string"))
+    key = lambda c: F.concat(F.lit("k"), c.cast("string"))
+    spread = lambda c: F.when(c.cast("string") != "", key(c)).otherwise(spare)
     owner = clients.select(
         "client_idx", blank(_col(clients, "id")).alias("__id"), F.lower(blank("name")).alias("__name"),
         ein9(_col(clients, "ein")).alias("__ein"), ssn9(_col(clients, "ssn")).alias("__ssn"),
     )
-    last = lambda col: owner.filter(F.col(col) != "").groupBy(col).agg(F.max("client_idx").alias(f"__by{col}"))
+    last = lambda col: owner.filter(F.col(col) != "").groupBy(key(F.col(col)).alias(col)).agg(F.max("client_idx").alias(f"__by{col}"))
     own_id = blank("client_id")
-    rows = tasks.withColumns({"__name": F.lower(blank("client_name")), "__id": own_id, "__ein": ein9(own_id), "__ssn": ein9(own_id)})
-    known = owner.select(F.col("client_idx").alias("__by_idx"))
-    rows = rows.join(known, rows["client_idx"] == known["__by_idx"], "left")
+    sought = {"__idx": F.col("client_idx"), "__name": F.lower(blank("client_name")), "__id": own_id, "__ein": ein9(own_id), "__ssn": ein9(own_id)}
+    rows = tasks.withColumns({col: spread(value) for col, value in sought.items()})
+    rows = rows.join(owner.select(key(F.col("client_idx")).alias("__idx"), F.col("client_idx").alias("__by_idx")), "__idx", "left")
     for col in ("__name", "__id", "__ein", "__ssn"):
         rows = rows.join(last(col), col, "left")
     pick = F.coalesce("__by_idx", "__by__name", "__by__id", "__by__ein", "__by__ssn")
-    numbers = owner.select(F.col("client_idx").alias("__owner"), F.coalesce(F.nullif("__ein", F.lit("")), F.nullif("__ssn", F.lit(""))).alias("__new"))
-    rows = rows.withColumn("__owner", pick).join(numbers, "__owner", "left")
+    numbers = owner.select(key(F.col("client_idx")).alias("__at"), F.coalesce(F.nullif("__ein", F.lit("")), F.nullif("__ssn", F.lit(""))).alias("__new"))
+    rows = rows.withColumn("__owner", pick).withColumn("__at", spread(F.col("__owner"))).join(numbers, "__at", "left")
     outcome = (
         F.when(F.col("__owner").isNull(), "not_found")
         .when(F.col("__new").isNull(), "no_number")

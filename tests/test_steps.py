@@ -111,3 +111,24 @@ def test_runs_of_no_term_never_become_rows(spark, monkeypatch):
     assert re.search(r" IN \(", _optimized(vd.contained_pairs(left, "x", right, "y")))
     monkeypatch.setattr(vd, "LISTED_RUNS", 1)
     assert pairs() == few
+def test_tasks_without_an_owner_do_not_meet_in_one_task(spark, monkeypatch):
+    clients = spark.createDataFrame([(1, "Ann", "", "12-3456789", ""), (2, "Bob", "", "", "")], "client_idx int, name string, id string, ein string, ssn string")
+    rows = [(n, None, "", "nobody") for n in range(400)] + [(1000, 1, "", ""), (1001, None, " ANN ", ""), (1002, None, "bob", "x"), (1003, None, None, "123456789"), (1004, 9, "", "")]
+    tasks = spark.createDataFrame(rows, "n int, client_idx int, client_name string, client_id string")
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        found = en.resolve_task_owner(tasks, clients).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {r.n: (r.client_id, r.outcome) for r in found}
+    number = "123456789"
+    assert {n: got[n] for n in range(1000, 1005)} == {1000: (number, "updated"), 1001: (number, "updated"), 1002: ("x", "no_number"), 1003: (number, "unchanged"), 1004: ("", "not_found")}
+    assert all(got[n] == ("nobody", "not_found") for n in range(400))
+    parts = [r.at for r in found if r.n < 400]
+    assert max(parts.count(p) for p in set(parts)) < 200
+
+
