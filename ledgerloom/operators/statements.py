@@ -27,6 +27,8 @@ TX_COLUMNS = (
 CARD_CREDIT_WORDS = r"(?i)return|refund| cr |\bcr$|payment.*thank you|thank you.*payment|mobile payment"
 # Words that mean money in when a statement prints no balance.
 DEPOSIT_WORDS = r"(?i)ELECTRONIC CREDIT|MISC DEPOSIT|ATM DEPOSIT|CHECK REVERSAL|SERV CHARGE REV"
+# Lines a task sorts at most, about, where documents are dealt out whole.
+TASK_LINES = 1 << 19
 
 
 def text_to_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,6 +115,16 @@ def _chunks(short: bool, pos: str = "pos") -> list | None:
     return None if short else [block_of(pos)]
 
 
+def deal_documents(lines: DataFrame, total: int) -> DataFrame:
+    """Lines dealt out by document to as many tasks as `total` lines ask for; scans, groups and joins by document stay there.
+
+    The session's own number of shuffle partitions serves where it is larger.
+    """
+    tasks = -(-total // TASK_LINES)
+    own = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.repartition(tasks, "doc_id") if tasks > own else lines
+
+
 def tag_sections(marked: DataFrame, short: bool = False) -> DataFrame:
     """Carry the last section header down; an end marker clears it."""
     out = scan(marked, ["doc_id"], ["pos"], _chunks(short), {"section": Scan("last", F.col("mk_section"))}, near=True)
@@ -137,42 +149,62 @@ def _joined(rows: Column) -> Column:
     return F.trim(F.array_join(F.transform(ordered, lambda r: r["text"]), " "))
 
 
-def assemble_blocks(marked: DataFrame, start: Column | None = None, of: Column | None = None, short: bool | None = None) -> DataFrame:
+def _in_checks() -> Column:
+    """Whether a line or record of a section is one of checks that their numbers begin."""
+    return _needs("checks") & (F.col("section") == "checks")
+
+
+def begin_checks(marked: DataFrame, short: bool = False) -> DataFrame:
+    """Add sections; in check sections of profiles with check numbers the number line is the start, and no amount."""
+    tagged = tag_sections(marked, short)
+    if short:
+        # in the order of the other scans, so all use one sort
+        tagged = tagged.withColumn("__dated", F.lead("is_start").over(Window.partitionBy("doc_id").orderBy("pos")))
+    else:
+        rev = tagged.withColumn("__back", -F.col("pos"))
+        tagged = scan(rev, ["doc_id"], ["__back"], [block_of("__back")], {"__dated": Scan("prev_last", F.col("is_start"))}, near=True).drop("__back")
+    number = _by_profile(lambda p: F.lit(p.checks[1]) if p.checks else None, F.lit(None).cast("string"))
+    # A bare number is a check only when a date follows it; a prefixed one always is.
+    follows = F.coalesce("__dated", F.lit(False)) | ~_needs("check_before_date")
+    anchor = F.col("mk_section").isNull() & ~F.col("is_noise") & follows & F.when(_in_checks(), _found(number)).isNotNull()
+    return tagged.withColumns(
+        {"is_start": F.when(_in_checks(), anchor).otherwise(F.col("is_start")), "is_amount": F.col("is_amount") & ~anchor}
+    ).drop("__dated")
+
+
+def assemble_blocks(marked: DataFrame, checks: bool = False, short: bool | None = None) -> DataFrame:
     """Records that begin at their date (or check-number) line and end at their amount.
 
     Lines after the amount belong to the record only under layouts with a trailing
     description.  In long documents records without an amount are dropped before anything is
     collected, so a date that no amount follows does not gather the rest of its document.
-    `of` keeps records by their profile and section, before they are assembled; `short` says
-    whether every document fits a chunk, and is looked up if not given.
+    `checks` says that records of check sections begin at their number; no record leaves its
+    section, so one pass serves both kinds.  `short` says whether every document fits a
+    chunk, and is looked up if not given.
     """
-    begin = F.col("is_start") if start is None else start
-    boundary = begin | F.col("mk_section").isNotNull()
+    if short is None:
+        short = fits(marked, ["doc_id"], [block_of("pos")])
     ends = _needs("ref_ends") & F.col("is_ref")
+    # Furniture that begins and ends nothing is done with, unless a number line looks at its next line.
+    used = ~F.col("is_noise") | F.col("mk_section").isNotNull() | ends
+    lines = marked.filter(used | _needs("check_before_date") if checks else used)
+    if checks:
+        lines = begin_checks(lines, short)
+    begin = F.col("is_start")
+    boundary = begin | F.col("mk_section").isNotNull()
     state = (
         F.when(begin, "open")
         .when(F.col("mk_section").isNotNull(), "none")
         .when(F.col("is_amount"), "closed")
         .when(ends, "none")
     )
-    if short is None:
-        short = fits(marked, ["doc_id"], [block_of("pos")])
-    found = scan(
-        marked,
-        ["doc_id"],
-        ["pos"],
-        _chunks(short),
-        {
-            "section": Scan("last", F.col("mk_section")),
-            "block": Scan("sum", F.when(boundary, 1).otherwise(0)),
-            "before": Scan("prev_last", state),
-        },
-    ).withColumn("section", F.coalesce("section", F.lit("")))
+    specs = {"block": Scan("sum", F.when(boundary, 1).otherwise(0)), "before": Scan("prev_last", state)}
+    if not checks:
+        specs["section"] = Scan("last", F.col("mk_section"))
+    found = scan(lines, ["doc_id"], ["pos"], _chunks(short), specs, near=True).withColumn("section", F.coalesce("section", F.lit("")))
     in_section = (F.col("section") != "") | ~_needs("needs_section")
     open_row = begin | (F.col("before") == "open") | (_needs("tail") & (F.col("before") == "closed"))
     rows = found.filter(~F.col("is_noise") & F.col("mk_section").isNull() & in_section & F.coalesce(open_row, F.lit(False)))
-    if of is not None:
-        rows = rows.filter(of)
     if short:
         rows = rows.filter(F.col("doc_id").isNotNull())
     else:
@@ -192,7 +224,7 @@ def assemble_blocks(marked: DataFrame, start: Column | None = None, of: Column |
         F.min_by("text", F.when(printed_ref, F.col("pos"))).alias("ref_line"),
     )
     rest = F.trim(F.substr(F.col("start_line"), F.length("start_text") + 1))
-    lead = F.nullif(rest, F.lit("")) if start is None else F.lit(None).cast("string")
+    lead = F.nullif(F.when(~_in_checks(), rest) if checks else rest, F.lit(""))
     body = F.concat_ws(" ", lead, F.nullif(_joined(F.col("__text")), F.lit("")))
     return out.filter(F.col("amount_text").isNotNull()).select(
         "doc_id",
@@ -312,33 +344,21 @@ def parse_single_line(marked: DataFrame, short: bool = False) -> DataFrame:
     return sectioned.filter(keep).select("doc_id", "profile", "section", F.col("pos").alias("line_no"), F.inline(paid))
 
 
-def parse_checks(marked: DataFrame, short: bool | None = None) -> DataFrame:
-    """Check-section records anchored on the check-number line."""
-    if short is None:
-        short = fits(marked, ["doc_id"], [block_of("pos")])
-    number = _by_profile(lambda p: F.lit(p.checks[1]) if p.checks else None, F.lit(None).cast("string"))
-    numbered = marked.filter(_needs("checks")).withColumn("check_no", _found(number))
-    if short:
-        # in the order of the assembly, so both use one sort
-        numbered = numbered.withColumn("__dated", F.lead("is_start").over(Window.partitionBy("doc_id").orderBy("pos")))
-    else:
-        rev = numbered.withColumn("__back", -F.col("pos"))
-        numbered = scan(rev, ["doc_id"], ["__back"], [block_of("__back")], {"__dated": Scan("prev_last", F.col("is_start"))}, near=True)
-    # A bare number is a check only when a date follows it; a prefixed one always is.
-    follows = F.coalesce("__dated", F.lit(False)) | ~_needs("check_before_date")
-    anchor = F.col("check_no").isNotNull() & F.col("mk_section").isNull() & ~F.col("is_noise") & follows
-    records = assemble_blocks(
-        numbered.withColumn("is_amount", F.col("is_amount") & ~anchor), start=anchor, of=F.col("section") == "checks", short=short
-    ).filter(F.col("date_raw").isNotNull())
-    check = F.regexp_extract("start_text", r"(\d+)", 1)
+def title_checks(records: DataFrame) -> DataFrame:
+    """Check numbers: of bare numbers in check sections, and of records that a number line began, with payee and reference."""
+    ours = _in_checks()
+    own = F.regexp_extract("start_text", r"(\d+)", 1)
+    bare = F.when(F.col("section") == "checks", F.nullif(F.regexp_extract("description", r"^(\d{4,})\*?$", 1), F.lit("")))
     payee = F.trim(F.regexp_replace("description", rf"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s*\d{{1,2}}\b|\b[A-Z]*\d{{7,}}\*?", ""))
-    return records.select(
+    reference = F.regexp_extract("description", r"\b([A-Z]*\d{7,})\*?", 1)
+    numbered = records.filter(~ours | F.col("date_raw").isNotNull()).withColumn("check_number", F.when(ours, own).otherwise(bare))
+    return numbered.select(
         "doc_id", "profile", "section", "line_no", "date_raw",
-        F.concat(F.lit("Check "), check).alias("description"),
-        (-F.abs("amount")).cast(MONEY).alias("amount"),
-        F.lit(None).cast(MONEY).alias("balance"),
-        F.regexp_extract("description", r"\b([A-Z]*\d{7,})\*?", 1).alias("reference"),
-        check.alias("check_number"), payee.alias("payee"),
+        F.when(F.col("check_number").isNotNull(), F.concat(F.lit("Check "), "check_number")).otherwise(F.col("description")).alias("description"),
+        F.when(ours, -F.abs("amount")).otherwise(F.col("amount")).cast(MONEY).alias("amount"),
+        F.when(~ours, F.col("balance")).alias("balance"),
+        F.when(ours, reference).otherwise(F.col("reference")).alias("reference"),
+        "check_number", F.when(ours, payee).alias("payee"),
     )
 
 
@@ -652,7 +672,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     only the layouts that occur are planned.
     """
     marked = cut_lineage(mark_lines(lines))
-    there = [BY_NAME[r["profile"]] for r in marked.select("profile").distinct().collect() if r["profile"] in BY_NAME]
+    counts = {r["profile"]: r["count"] for r in marked.groupBy("profile").count().collect()}
+    there = [BY_NAME[name] for name in counts if name in BY_NAME]
     if not there:
         return _no_rows(marked)
 
@@ -661,39 +682,34 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     # One look at the positions tells all scans whether a document is longer than a chunk.
     short = fits(marked, ["doc_id"], [block_of("pos")])
+    lines = deal_documents(marked, sum(counts.values())) if short else marked
     parts = []
-    pending = marked
+    pending = lines
     if names := of(lambda p: p.single is not None):
-        single = cut_lineage(parse_single_line(marked.filter(_wanted(names)), short))
+        single = cut_lineage(parse_single_line(lines.filter(_wanted(names)), short))
         # Documents with one-line records need no assembly; without such records only the columns are kept,
         # so the other parts stay dealt out by document.
+        read = single.select("doc_id").distinct()
         if single.isEmpty():
             single = single.limit(0)
         else:
-            pending = marked.join(single.select("doc_id").distinct(), "doc_id", "left_anti")
+            pending = lines.join(read, "doc_id", "left_anti")
         parts.append(single)
     if names := of(lambda p: p.layout == "forward"):
-        anchored = F.col("profile").isin(*[p.name for p in PROFILES if p.checks]) & (F.col("section") == "checks")
-        rows = assemble_blocks(pending.filter(_wanted(names)), of=~anchored, short=short).drop("start_text")
-        number = F.nullif(F.regexp_extract("description", r"^(\d{4,})\*?$", 1), F.lit(""))
-        check = F.when(F.col("section") == "checks", number)
-        rows = rows.withColumn("check_number", check)
-        title = F.when(check.isNotNull(), F.concat(F.lit("Check "), check)).otherwise(F.col("description"))
-        parts.append(rows.withColumn("description", title))
-    if names := of(lambda p: p.checks is not None):
-        parts.append(parse_checks(pending.filter(_wanted(names)), short))
+        checks = bool(of(lambda p: p.checks is not None))
+        parts.append(title_checks(assemble_blocks(pending.filter(_wanted(names)), checks, short)))
     if names := of(lambda p: p.layout == "backward"):
         parts.append(assemble_blocks_backward(pending.filter(_wanted(names)), short))
     if names := of(lambda p: p.layout == "fixed"):
         parts.append(parse_fixed_layout(pending.filter(_wanted(names)), short))
 
-    period = statement_period(marked)
+    period = statement_period(lines)
     dated = assign_year(union_transactions(*parts), period)
     rules = {
         "printed": lambda df: df,
         "inverted": lambda df: df.withColumn("amount", (-F.col("amount")).cast(MONEY)),
         "section": sign_by_section,
-        "balance": lambda df: sign_by_balance(df, opening_balance(marked)),
+        "balance": lambda df: sign_by_balance(df, opening_balance(lines)),
     }
     used = {kind: of(lambda p, kind=kind: p.sign == kind) for kind in rules}
     used = {kind: names for kind, names in used.items() if names}
@@ -701,7 +717,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         dated = cut_lineage(dated)
     signed = union_transactions(*[rules[kind](dated.filter(_wanted(names))) for kind, names in used.items()])
     if of(lambda p: p.name == "card_billing"):
-        signed = union_transactions(signed, parse_fees_interest(marked, signed, period))
+        signed = union_transactions(signed, parse_fees_interest(lines, signed, period))
     return dedupe_transactions(extract_refs(signed), short)
 
 

@@ -52,6 +52,27 @@ def test_long_documents_are_parsed_like_short_ones(spark, monkeypatch):
     assert parse() == short
 
 
+def test_checks_and_dates_are_assembled_in_one_pass_dealt_by_lines(spark, monkeypatch):
+    month = [
+        "July 1, 2020 to June 30, 2021", "Jul 04", "Account summary", "1,000.00", "DEPOSIT", "Page 2", "ONE", "Jul 05", "1234567", "lost", "8.00", "Checks paid this statement period",
+        "#1234", "Aug 09", "Page 3", "-5.00", "ACME", "9876543", "#1235", "6.00", "Total checks paid", "Jul 06", "5.00", "LATE",
+    ]
+    plain = ["Statement Period: Jul 1, 2020 through Jun 30, 2021", "Checks Paid", "2001", "$", "2002", "Aug 01", "7001234567", "3.50", "Balance Summary", "Other Deposits", "Jul 10 IN", "$", "2.00"]
+    lines = _lines(spark, "month_day", {"m": month}).unionByName(_lines(spark, "sectioned_checking", {"s": plain, "t": ["Jul 1, 2020"]}))
+    want = {
+        ("m", "2020-07-04", "DEPOSIT ONE", "1000.00", "", ""), ("m", "2020-08-09", "Check 1234", "-5.00", "1234", ""), ("m", "2020-07-06", "LATE", "5.00", "", ""),
+        ("s", "2020-08-01", "Check 2002", "-3.50", "2002", "7001234567"), ("s", "2020-07-10", "IN", "2.00", "", ""),
+    }
+    read = lambda out: {(r.doc_id, str(r.tx_date), r.description, str(r.amount), r.check_number, r.reference) for r in out.collect()}
+    assert read(st.parse_lines(lines)) == want
+    monkeypatch.setattr(st, "TASK_LINES", 4)
+    assert read(st.parse_lines(lines)) == want
+    dealt = re.findall(r"RepartitionByExpression \[doc_id#\d+\], (\d+)", _optimized(st.parse_lines(lines.filter("doc_id = 'm'"))))
+    assert dealt == ["6", "6"]  # the records and the period
+    monkeypatch.setattr(st, "block_of", lambda c: ordered.block_of(c, 5))
+    assert read(st.parse_lines(lines)) == want
+
+
 def test_single_lines_are_matched_once(spark):
     docs = {"a": ["Purchases and Other Charges", "07/01 07/02 SHOP 5 777777777777777 1,234.50", "07/01 07/02 SHOP 6 777777777777777 ,", "noise"]}
     rows = st.parse_single_line(st.mark_lines(_lines(spark, "card_fixed", docs)))
