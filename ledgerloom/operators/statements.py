@@ -688,10 +688,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     if names := of(lambda p: p.single is not None):
         single = cut_lineage(parse_single_line(lines.filter(_wanted(names)), short))
         # Documents with one-line records need no assembly; without such records only the columns are kept,
-        # so the other parts stay dealt out by document.
+        # so the other parts stay dealt out by document.  No layout makes a record without an amount line.
         read = single.select("doc_id").distinct()
         if single.isEmpty():
             single = single.limit(0)
+        elif marked.filter("is_amount").select("doc_id").join(read, "doc_id", "left_anti").isEmpty():
+            pending = marked.limit(0)
         else:
             pending = lines.join(read, "doc_id", "left_anti")
         parts.append(single)

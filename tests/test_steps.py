@@ -80,6 +80,17 @@ def test_single_lines_are_matched_once(spark):
     assert "Generate inline" in _optimized(rows)
 
 
+def test_documents_of_single_lines_alone_are_not_assembled(spark):
+    one = ["Statement 07/01/2020 - 06/30/2021", "Purchases and Other Charges", "08/01 08/02 SHOP 5 777777777777777 1,234.50", "noise"]
+    five = ["Statement 07/01/2020 - 06/30/2021", "Purchases and Other Charges", "09/01", "09/02", "SHOP 6", "8" * 17, "7.00"]
+    read = lambda out: {(r.doc_id, str(r.tx_date), r.description, r.reference) for r in out.collect()}
+    alone = st.parse_lines(_lines(spark, "card_fixed", {"a": one, "b": one}))
+    assert read(alone) == {(d, "2020-08-01", "SHOP 5", "7" * 15) for d in "ab"}
+    assert "LeftAnti" not in _optimized(alone)
+    both = st.parse_lines(_lines(spark, "card_fixed", {"a": one, "b": five, "c": one + five}))
+    assert read(both) == {("a", "2020-08-01", "SHOP 5", "7" * 15), ("b", "2020-09-01", "SHOP 6", "8" * 17), ("c", "2020-08-01", "SHOP 5", "7" * 15)}
+
+
 def test_counted_statements_are_printed_once(spark, tmp_path):
     from ledgerloom.catalog.statements import split_by_counts
 
