@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY, money_parse
 from ledgerloom.functions.payroll_text import (
+    has_words_only,
     is_payroll_furniture,
-    is_payroll_name,
+    one_spaced,
     payroll_detail,
+    payroll_numbers,
     payroll_phrases,
+    payroll_rate,
     payroll_section,
-    payroll_tokens,
 )
 from ledgerloom.plans.ordered import CHUNK_ROWS, Scan, Spread, fits, number_rows, scan, spread_of
 
@@ -113,47 +115,59 @@ def threshold_days(lines: DataFrame, hours: float) -> DataFrame:
 
 def payroll_lines(lines: DataFrame) -> DataFrame:
     """Sheet lines with employee and section; a new name clears the section."""
-    t = F.trim(F.regexp_replace("text", r"\s+", " "))
-    clean = lines.withColumn("text", t).filter(~is_payroll_furniture(t))
-    name, section = is_payroll_name(F.col("text")), payroll_section(F.col("text"))
+    clean = lines.filter(~is_payroll_furniture(F.col("text"))).withColumn("text", one_spaced(F.col("text")))
+    # A line of words is a section or else a name; each is read once, before the scan.
+    worded = clean.withColumn("__words", F.when(has_words_only(F.col("text")), F.col("text")))
+    marked = worded.withColumn("__section", payroll_section(F.col("__words")))
     marks = {
-        "name": F.when(name, F.col("text")),
-        "section": F.when(name, "").otherwise(section),
-        # The name line that still waits for a salary or a section.
-        "waiting": F.when(name, True).when(section.isNotNull(), False),
+        "name": Scan("last", F.when(F.col("__section").isNull(), F.col("__words"))),
+        # Blank at a name line, which waits for a salary or a section.
+        "section": Scan("last", F.when(F.col("__words").isNotNull(), F.coalesce("__section", F.lit("")))),
     }
-    out = carry_forward(clean, marks)
-    return out.withColumn("is_mark", name | section.isNotNull()).withColumn("section", F.nullif("section", F.lit("")))
+    flagged = marked.withColumn("is_mark", F.col("__words").isNotNull())
+    out = scan(flagged, ["doc_id"], ["pos"], _split(lines, "pos"), marks, near=True).drop("__words", "__section")
+    return out.withColumns({"waiting": F.col("section") == "", "section": F.nullif("section", F.lit(""))})
 
 
 def payroll_by_section(lines: DataFrame) -> DataFrame:
     """Totals per (doc, name, section), with the first non-zero rate and the last salary and memo."""
-    tagged = payroll_lines(lines)
-    plain = ~F.col("is_mark")
-    salary_line = plain & F.col("waiting") & F.col("text").rlike(BIG_NUMBER)
-    memo_line = plain & F.col("text").contains("보고")
-    notes = tagged.filter(F.col("name").isNotNull() & (salary_line | memo_line)).groupBy("doc_id", "name").agg(
-        F.max_by(money_parse("text"), F.when(salary_line, F.col("pos"))).alias("salary"),
-        F.max_by("text", F.when(memo_line & ~salary_line, F.col("pos"))).alias("memo"),
-    )
+    text, kind, rate, numbers = (F.col(c) for c in ("text", "kind", "rate", "numbers"))
+    said = F.when(F.col("is_mark"), "mark").when(F.col("waiting") & text.rlike(BIG_NUMBER), "salary").when(text.contains("보고"), "memo")
+    staged = payroll_lines(lines).filter(F.col("name").isNotNull()).select("doc_id", "name", "section", "pos", "text", said.alias("kind"))
+    # Step by step, so that what later columns name several times is a column and not computed again.
+    staged = staged.withColumn("detail", kind.isNull() & F.col("section").isNotNull())
+    staged = staged.withColumn("rate", F.when(F.col("detail"), payroll_rate(text)))
+    staged = staged.withColumn("numbers", F.when(rate.isNotNull(), payroll_numbers(text)))
+    fields = payroll_detail(text, rate, numbers) | payroll_phrases(text)
+    detail = F.when(rate.isNotNull() | (F.col("detail") & text.rlike(DETAIL_WORDS)), F.struct(*[v.alias(k) for k, v in fields.items()]))
+    rows = staged.select(
+        "doc_id", "name", "section", "pos", kind, detail.alias("d"),
+        F.when(kind == "salary", money_parse("text")).alias("salary"), F.when(kind == "memo", text).alias("memo"),
+    )
     zero = F.lit(0).cast(MONEY)
-    line = plain & ~salary_line & ~memo_line
-    owned = tagged.filter(F.col("name").isNotNull() & F.col("section").isNotNull())
-    # Tokens first, then one struct per detail line: later columns only read fields of it.
-    staged = owned.select("doc_id", "name", "section", "pos", "text", F.when(line, payroll_tokens(F.col("text"))).alias("tok"))
-    fields = payroll_detail(F.col("text"), F.col("tok")) | payroll_phrases(F.col("text"))
-    counts = F.coalesce(F.try_element_at("tok", F.lit(1)).rlike(r"^\d{1,2}(\.\d{1,2})?$") | F.col("text").rlike(DETAIL_WORDS), F.lit(False))
-    detail = F.when(F.col("tok").isNotNull() & counts, F.struct(*[v.alias(k) for k, v in fields.items()]))
-    rows = staged.select("doc_id", "name", "section", "pos", detail.alias("d"))
-    total = lambda *cs: F.coalesce(F.sum(sum((F.col(f"d.{c}") for c in cs[1:]), F.col(f"d.{cs[0]}"))), zero).cast(MONEY)
-    out = rows.groupBy("doc_id", "name", "section").agg(
-        F.min_by("d.rate", F.when(F.col("d.rate") > 0, F.col("pos"))).alias("rate"),
-        total("reg").alias("reg"), total("over").alias("over"), total("double").alias("double"),
-        total("tip").alias("tip"), total("advance", "extra_advance").alias("advance"),
-        total("bonus").alias("bonus"), total("sick").alias("sick"),
+    paid = F.when(F.col("d.rate") > 0, F.col("pos"))
+    sums = {c: F.col(f"d.{c}") for c in ("reg", "over", "double", "tip", "bonus", "sick")} | {"advance": F.col("d.advance") + F.col("d.extra_advance")}
+    # A memo is part of the key at first: texts in the aggregates would have all rows sorted for them.
+    parts = rows.groupBy("doc_id", "name", "section", "memo").agg(
+        F.min_by("d.rate", paid).alias("rate"), F.min(paid).alias("rate_at"),
+        *[F.sum(v).alias(c) for c, v in sums.items()],
+        F.max_by("salary", F.when(kind == "salary", F.col("pos"))).alias("salary"),
+        F.max(F.when(kind == "salary", F.col("pos"))).alias("salary_at"),
+        F.max(F.when(kind == "memo", F.col("pos"))).alias("memo_at"),
+    )
+    latest = lambda c: F.max(F.when(F.col(f"{c}_at").isNotNull(), F.struct(f"{c}_at", c)))
+    out = parts.groupBy("doc_id", "name", "section").agg(
+        F.min_by("rate", "rate_at").alias("rate"), *[F.sum(c).alias(c) for c in sums], latest("salary").alias("salary"), latest("memo").alias("memo")
+    )
+    # Salary and memo belong to the name, whatever the section; lines of no document belong to none.
+    person = Window.partitionBy("doc_id", "name")
+    note = lambda c: F.when(F.col("doc_id").isNotNull(), F.max(c).over(person)[c])
+    noted = out.withColumns({"salary": note("salary"), "memo": note("memo")}).filter(F.col("section").isNotNull())
+    return noted.select(
+        "doc_id", "name", "section", F.coalesce("rate", zero).alias("rate"),
+        *[F.coalesce(F.col(c), zero).cast(MONEY).alias(c) for c in ("reg", "over", "double", "tip", "advance", "bonus", "sick")],
+        F.coalesce("salary", zero).alias("salary"), F.coalesce("memo", F.lit("")).alias("memo"),
     )
-    joined = out.join(notes, ["doc_id", "name"], "left")
-    return joined.withColumns({"rate": F.coalesce("rate", zero), "salary": F.coalesce("salary", zero), "memo": F.coalesce("memo", F.lit(""))})
 
 
 def payroll_totals(agg: DataFrame) -> DataFrame:

@@ -330,3 +330,26 @@ def test_wage_records_of_any_length(spark):
     assert [(r.last_name, r.first_name, float(r.amount_1)) for r in rows.collect()] == [("Doe", "Jane", 700000.0)]
     kept, dropped = wg.filter_wage_rows(rows)
     assert kept.count() == 0 and [(r.reason, r.n) for r in dropped.collect()] == [("implausible", 1)]
+
+
+def test_payroll_lines_are_read_in_one_pass(spark):
+    """Notes of any section of a name, memos that come twice, odd white space, lines of no document."""
+    from ledgerloom.operators import payroll as pr
+
+    texts = [
+        "Old 5 5", "ANN  LEE", "1,500", "보고 1", "kitchen", "12 3.5 1 0 5 2.25 $1,200.5 tips sick 1.5", "0 9", "PAY\tDATE 3", "보고 2", "9 1 extra $x 7", "BOB", "Server", "보너스 100",
+        "Ann Lee", "SUSHI  BAR", "50 빼고", "ANN LEE", "2,000", "Server", " 12.345 8", "빌려간돈 1,000 $", "보고 1", "kitchen", "20 4 SICK2",
+    ]
+    lines = spark.createDataFrame([(d, i, t) for d in ("a", None) for i, t in enumerate(texts)], "doc_id string, pos bigint, text string")
+    out = pr.payroll_by_section(lines)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    names = ("rate", "reg", "over", "double", "tip", "advance", "bonus", "sick", "salary")
+    got = {(r.doc_id, r["name"], r.section): (*[float(r[c]) for c in names], r.memo) for r in out.collect()}
+    want = {
+        ("ANN LEE", "KITCHEN"): (12, 17.5, 1, 0, 1200.5, -7.25, 0, 3.5, 2000, "보고 1"),
+        ("ANN LEE", "SERVER"): (0, 0, 0, 0, 0, -1000, 0, 0, 2000, "보고 1"),
+        ("BOB", "SERVER"): (0, 0, 0, 0, 0, 0, 100, 0, 0, ""),
+        ("Ann Lee", "SUSHI BAR"): (50, 0, 0, 0, 0, -50, 0, 0, 0, ""),
+    }
+    assert got == {("a", *k): v for k, v in want.items()} | {(None, *k): (*v[:8], 0, "") for k, v in want.items()}
